@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, pii, quality, simhash
+from . import html_extraction, language_id, line_dedup, mixing, packing, pii, quality, simhash
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn_from_split(docs, table(spark, sf_dir, "labels"))
@@ -38,12 +42,87 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.mix(table(spark, sf_dir, "documents"))
+    taken = made.draws.groupBy("doc_id", "copy").agg(F.sum("words").alias("taken")).withColumnsRenamed({"doc_id": "_doc", "copy": "_copy"})
+    docs = made.documents.join(taken, made.documents["doc_id"].eqNullSafe(taken["_doc"]) & (made.documents["copy"] == taken["_copy"]), "left")
+    return docs.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
+    "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # the same keys by string functions; the edit distance decides
+    "op6_line_dedup": r"""
+WITH lines AS (
+    SELECT doc_id, i - 1 AS line_no, parts[i] AS raw, trim(parts[i], ' ' || chr(9) || chr(13)) AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+), counted AS (SELECT * FROM lines WHERE length(line) >= 20
+), firsts AS (
+    SELECT line, length(line) AS n, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS place FROM counted GROUP BY line
+), halves AS (
+    SELECT line, n, place, n AS ref, 'l' AS side, left(line, n // 2) AS part FROM firsts
+    UNION ALL SELECT line, n, place, n, 'r', right(line, n - n // 2) FROM firsts
+), probes AS (
+    SELECT line, n, place, n - 1 AS ref, 'l' AS side, left(line, (n - 1) // 2) AS part FROM firsts
+    UNION ALL SELECT line, n, place, n - 1, 'r', right(line, n - 1 - (n - 1) // 2) FROM firsts
+    UNION ALL SELECT * FROM halves
+), late AS (
+    SELECT DISTINCT CASE WHEN a.place < b.place THEN b.place ELSE a.place END AS place
+    FROM halves a JOIN probes b ON a.ref = b.ref AND a.side = b.side AND a.part = b.part AND a.line <> b.line
+    WHERE levenshtein(a.line, b.line) <= 1
+), dropped AS (
+    SELECT c.doc_id, c.line_no FROM counted c JOIN firsts f ON c.line = f.line LEFT JOIN late l ON f.place = l.place
+    WHERE l.place IS NOT NULL OR c.doc_id <> f.place.doc_id OR c.line_no <> f.place.line_no
+), kept AS (
+    SELECT l.doc_id, count(*) AS n_lines, count(d.doc_id) AS n_dropped, coalesce(string_agg(l.raw, chr(10) ORDER BY l.line_no) FILTER (WHERE d.doc_id IS NULL), '') AS text
+    FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.line_no = d.line_no GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_dropped, text FROM kept
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+""",
+    "op9_mixing": r"""
+WITH sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents
+), docs AS (
+    SELECT doc_id, source, size, row_number() OVER (PARTITION BY doc_id ORDER BY source, size, digest) AS copy FROM sized
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM docs GROUP BY source
+), weighed AS (
+    SELECT source, source_size, (k - 1) % 3 + 1 AS weight, 3 * source_size AS most FROM sources
+), levels AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (rising ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / (sum(weight) OVER (rising ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+    FROM weighed WINDOW rising AS (ORDER BY most / weight, source NULLS LAST)
+), level AS (SELECT max(level) FILTER (WHERE most > level * weight) AS level FROM levels
+), targets AS (
+    SELECT source, source_size, CASE WHEN l.level IS NULL OR weight * l.level >= most THEN most::DOUBLE ELSE weight * l.level END AS target FROM weighed, level l
+), ordered AS (
+    SELECT d.doc_id, d.copy, d.source, d.size, t.source_size, t.target,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', 'mix', d.doc_id, d.copy)), d.doc_id, d.copy ROWS UNBOUNDED PRECEDING) - d.size AS pos,
+        greatest(1, ceil((SELECT sum(size) FROM docs) / (64 * 16)))::BIGINT AS block_words
+    FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), placed AS (SELECT *, (pos // block_words)::BIGINT AS block FROM ordered
+), blocks AS (
+    SELECT source, block, min(pos) AS head, sum(size) AS words, any_value(source_size) AS source_size, floor(any_value(target) + 0.5)::BIGINT AS goal FROM placed GROUP BY source, block
+), turned AS (
+    SELECT source, block, head, words, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes, CASE WHEN source_size > 0 THEN goal % source_size ELSE 0 END AS rest,
+        sum(words) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', 'mix last', source, block)), block ROWS UNBOUNDED PRECEDING) - words AS before FROM blocks
+), tails AS (SELECT source, block, head, passes, greatest(0, least(words, rest - before)) AS tail FROM turned)
+SELECT p.doc_id, p.size, p.source_size, p.target, (t.passes * p.size + greatest(0, least(p.size, t.tail - (p.pos - t.head))))::BIGINT AS taken
+FROM placed p JOIN tails t ON p.source IS NOT DISTINCT FROM t.source AND p.block = t.block
+""",
+}
