@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, line_dedup, mixing, packing, pii, quality, simhash
+from . import html_extraction, language_id, line_dedup, mixing, packing, pii, quality, simhash, topk
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect_pii(table(spark, sf_dir, "documents")).drop("base_spans")
 
@@ -55,6 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_top_k": op2_top_k,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
@@ -65,6 +70,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_top_k": """
+WITH parts AS (
+    SELECT vec_id, len(embedding) AS dim, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id IS NOT NULL
+), bad AS (SELECT DISTINCT vec_id FROM parts WHERE x IS NULL OR NOT isfinite(x)
+), v AS (SELECT vec_id, dim, i, floor(64 * x)::BIGINT AS q FROM parts WHERE vec_id NOT IN (SELECT vec_id FROM bad)
+), packed AS (SELECT vec_id, dim, list(q::DOUBLE ORDER BY i) AS q FROM v GROUP BY vec_id, dim
+), scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM packed a JOIN packed b ON a.dim = b.dim AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
     # the same keys by string functions; the edit distance decides
     "op6_line_dedup": r"""
 WITH lines AS (
