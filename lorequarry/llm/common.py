@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space and words as the contracts define them (ASCII white space only).
@@ -76,3 +76,17 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
         raise RuntimeError("the components did not settle")
     roots = pairs.select(F.col("v").alias("u"), "v").distinct()
     return pairs.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def bounded_sample(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """At most n rows of each label, those with the smallest hashes of key.
+
+    The rows are thinned by hash to about 3n of each label before they are ranked, so that what
+    a task ranks doesn't grow with the input. Labels with up to 3n rows are ranked whole.
+    """
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_rows")).withColumnRenamed(label, "_label")
+    span = 1 << 40
+    near = F.pmod(F.xxhash64(F.col(key)), F.lit(span)) < F.lit(3.0 * n * span) / F.col("_rows")
+    thin = rows.join(sizes, rows[label] == sizes["_label"]).filter(near).drop("_label", "_rows")
+    order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
+    return thin.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")

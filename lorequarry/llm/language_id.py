@@ -18,9 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 UNKNOWN = "und"
 DIMS = 4096
 # Families of languages by ISO 639-1 code. A code that isn't here is a family of its own.
@@ -126,9 +128,7 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 def learn(labelled: DataFrame, per_language: int = 600) -> LanguageModel:
     """A model of labelled (doc_id, text, lang): at most per_language rows of each language go to the driver, as trigram vectors."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
-    ids = ids.filter(F.col("rank") <= per_language).select("doc_id").distinct()
+    ids = bounded_sample(labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang"), "lang", "doc_id", per_language).select("doc_id").distinct()
     rows = labelled.filter("lang is not null").select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,9 +20,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
 from .html_extraction import STOP_WORDS
 from .language_id import remainder
 
@@ -116,8 +117,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> QualityM
     A document with several labels counts with the highest.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label).select("doc_id", "quality")
+    sample = bounded_sample(known, "quality", "doc_id", per_label)
     # 2 * per_label rows at most
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "doc_id", "text")
 

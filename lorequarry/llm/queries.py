@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, line_dedup, mixing, packing, pii, quality, simhash, topk
+from . import embedding_dedup, html_extraction, language_id, line_dedup, mixing, packing, pii, quality, simhash, topk
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), bound=0.93)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mix(table(spark, sf_dir, "documents"))
     taken = made.draws.groupBy("doc_id", "copy").agg(F.sum("words").alias("taken")).withColumnsRenamed({"doc_id": "_doc", "copy": "_copy"})
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
