@@ -26,10 +26,10 @@ BLOCK_TAGS = frozenset(
     " option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style template textarea title noframes noembed iframe xmp svg math object audio video canvas head".split())
+RAW_TAGS = frozenset("script style template textarea title noframes noembed iframe xmp svg math object audio video canvas".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is never main text, whatever stands in it.
-BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu button select fieldset noscript search".split())
+BOILERPLATE_TAGS = frozenset("head nav footer aside form dialog menu button select fieldset noscript search".split())
 #: Words in class, id and similar attributes that mark a container as boilerplate.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners billboard breadcrumb"
@@ -87,9 +87,9 @@ class Block:
     label: str = ""
 
 
-def marks(name: str, rest: str) -> tuple[bool, bool]:
-    """Whether an element's own tag marks it as boilerplate, and as an article."""
-    bad, good = name in BOILERPLATE_TAGS, name == "article"
+def marks(name: str, rest: str) -> tuple[bool, bool, bool]:
+    """Whether an element's own tag marks it as boilerplate, as an article, and as hidden."""
+    bad, good, hidden = name in BOILERPLATE_TAGS, name == "article", False
     if "=" in rest or "hidden" in rest:
         for key, a, b, c in ATTRIBUTE.findall(rest):
             key, value = key.lower(), a or b or c
@@ -103,8 +103,8 @@ def marks(name: str, rest: str) -> tuple[bool, bool]:
                 bad |= value.lower() in BOILERPLATE_ROLES
                 good |= value.lower() == "article"
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                bad = True
-    return bad, good
+                hidden = True
+    return bad, good, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -117,8 +117,8 @@ def blocks_of(page: str) -> list[Block]:
     size = len(page)
 
     def say(text: str) -> None:
-        if not text:
-            return
+        if not text or (stack and stack[-1][1] and stack[-1][0] not in BLOCK_TAGS):
+            return  # nothing, or within a hidden inline element
         text = html_lib.unescape(text) if "&" in text else text
         block.parts.append(text)
         if links:
@@ -153,8 +153,8 @@ def blocks_of(page: str) -> list[Block]:
         if name in RAW_TAGS:
             if closing or (rest.endswith("/") and name in ("svg", "math")):
                 continue
-            shut = re.compile(rf"</{name}\s*>" if name != "head" else r"</head\s*>|(?=<body\b|<article\b|<main\b)", re.I).search(page, at)
-            at = shut.end() if shut else size if name != "head" else at
+            shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = shut.end() if shut else size if name in ("script", "style") else at
             continue
         if name == "br":
             say(" ")
@@ -175,22 +175,19 @@ def blocks_of(page: str) -> list[Block]:
         if not is_block and not rest:
             continue  # a bare inline element changes nothing
         if is_block:
-            while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCK_TAGS):
+            while stack and (stack[-1][0] in ("p", "head") or stack[-1][0] not in BLOCK_TAGS):
                 stack.pop()
             if name in ("li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] in ({name} | {"dt": {"dd"}, "dd": {"dt"}, "td": {"th"}, "th": {"td"}}.get(name, set())):
                 stack.pop()
-        bad, good = marks(name, rest)
+        bad, good, hidden = marks(name, rest)
         inside = stack[-1] if stack else ("", False, False)
         if name == "header":  # a page's header, not an article's own
             bad |= not inside[2]
         if name == "article" and inside[2]:  # articles in an article are what readers add
             bad = True
-        if not is_block:
-            if bad and name in ("span", "a", "b", "i", "em", "strong", "small"):
-                bad = False  # inline text belongs to its block
-            if not bad:
-                continue
-        stack.append((name, inside[1] or bad, inside[2] or good))
+        if not is_block and not hidden:
+            continue  # inline text belongs to its block
+        stack.append((name, inside[1] or bad or hidden, inside[2] or good))
     end()
     return out
 
