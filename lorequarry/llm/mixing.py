@@ -24,6 +24,7 @@ an empty result; only doc_id, source and text are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,6 +106,11 @@ def drawn_blocks(docs: DataFrame, seed: str) -> DataFrame:
     return drawn.select("source", "block", "first", "epoch", "take", F.row_number().over(turn).alias("turn"))
 
 
+def marker(seed: str) -> Callable[[Column], Column]:
+    """Puts a slot's random mark before it."""
+    return lambda s: F.struct(key(seed, s["source"], s["slot"]).alias("mark"), s["source"].alias("source"), s["slot"].alias("slot"))
+
+
 def split_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
     """(source, shard, low, high): the turns of each source's sequence that go to each shard.
 
@@ -117,8 +123,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
     slots = quotas.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks"))).alias("slot"), "source")
     node = slots.groupBy(F.lit(0).alias("node")).agg(F.collect_list(F.struct("source", "slot")).alias("slots"))
     for level in range(levels):
-        mark = lambda s, level=level: F.struct(key(f"{seed} tree {level}", s["source"], s["slot"]).alias("mark"), s["source"].alias("source"), s["slot"].alias("slot"))
-        mixed = node.select("node", F.array_sort(F.transform("slots", mark)).alias("slots")).withColumn("half", F.ceil(F.size("slots") / 2).cast("int"))
+        mixed = node.select("node", F.array_sort(F.transform("slots", marker(f"{seed} tree {level}"))).alias("slots")).withColumn("half", F.ceil(F.size("slots") / 2).cast("int"))
         children = F.array(
             F.struct((F.col("node") * 2).alias("node"), F.slice("slots", F.lit(1), F.col("half")).alias("slots")),
             F.struct((F.col("node") * 2 + 1).alias("node"), F.slice("slots", F.col("half") + 1, F.size("slots")).alias("slots")),
@@ -152,11 +157,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
 
 def mixed_documents(docs: DataFrame, made: Mix) -> DataFrame:
     """The drawn documents with docs' columns, shard by shard in shuffled order; one drawn in part keeps its first words."""
-    columns = docs.columns
-    rows = numbered(docs).withColumnsRenamed({"size": "_size", "copy": "_copy"})
-    draws = made.draws.select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_draw"), "shard", "words", "place")
-    both = rows.join(draws, rows["doc_id"].eqNullSafe(draws["_doc"]) & (rows["_copy"] == draws["_draw"]))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
-    text = F.when(F.col("words") < F.col("_size"), part).otherwise(F.col("text"))
-    both = both.withColumn("text", text).repartition("shard").sortWithinPartitions("shard", "place")
-    return both.select(*columns)
+    rest = [c for c in docs.columns if c != "text"]
+    rows = numbered(docs.select("doc_id", "source", "text", F.struct(*rest).alias("row"))).select("row", "text", "size", "doc_id", "copy")
+    draws = made.draws.select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), "shard", "words", "place")
+    both = rows.join(draws, rows["doc_id"].eqNullSafe(draws["_doc"]) & (rows["copy"] == draws["_copy"]))
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    part = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
+    text = F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text"))
+    both = both.select("row", text.alias("text"), "shard", "place").repartition("shard").sortWithinPartitions("shard", "place")
+    return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
