@@ -129,7 +129,8 @@ def remainder(doc_id: Column, n: int) -> Column:
 def learn(labelled: DataFrame, per_language: int = 600) -> LanguageModel:
     """A model of labelled (doc_id, text, lang): at most per_language rows of each language go to the driver, as trigram vectors."""
     ids = bounded_sample(labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang"), "lang", "doc_id", per_language).select("doc_id").distinct()
-    rows = labelled.filter("lang is not null").select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
+    # no more ids than vectors that the driver is about to hold
+    rows = labelled.filter("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
