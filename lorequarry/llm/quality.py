@@ -20,10 +20,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, release_memory
 from .html_extraction import STOP_WORDS
 from .language_id import remainder
 
@@ -130,21 +130,20 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> QualityM
     return fit(np.array([np.frombuffer(v) for _, v in got]), np.array([q for q, _ in got]))
 
 
-def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, score and predicted (1 if the score reaches ACCEPT_AT) for every row."""
-    rows = docs.select("text", *(x for x in keep if x != "text"))
-    names = [*keep, "score", "predicted"]
+def score_column(model: QualityModel, text: Column) -> Column:
+    """The score of a text as a column; only the text goes to Python and only the score comes back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            s = model.score(np.array([measures(x.as_py()) for x in batch.column(0)]))
-            columns = [batch.column(batch.schema.get_field_index(x)) for x in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= ACCEPT_AT).astype(np.int32))], names)
-
-    kinds = ", ".join(f"{x} {rows.schema[x].dataType.simpleString()}" for x in keep)
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+            yield pa.array(model.score(np.array([measures(x.as_py()) for x in batch])) if len(batch) else np.zeros(0), pa.float64())
+        release_memory()
+
+    return F.arrow_udf(run, "double").asNondeterministic()(text)
+
+
+def score(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """docs with score and predicted (1 if the score reaches ACCEPT_AT) added, for every row."""
+    return docs.withColumn("score", score_column(model, F.col("text"))).withColumn("predicted", (F.col("score") >= ACCEPT_AT).cast("int"))
 
 
 def learn_from_split(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> QualityModel:

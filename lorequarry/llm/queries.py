@@ -43,7 +43,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn_from_split(docs, table(spark, sf_dir, "labels"))
     held_out = language_id.remainder(F.col("doc_id"), 5) == 0
-    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
