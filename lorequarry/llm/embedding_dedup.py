@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-Unit vectors are centred, turned by their principal axes and by a rotation learned to bring them
-close to the corners of the cube (iterative quantisation), and kept as sign bits. Several such
+Unit vectors are turned by their principal axes and by a rotation learned to bring them close to
+the corners of the cube (iterative quantisation), and kept as sign bits. They aren't centred, as
+then the chance that a bit differs follows the angle, which the bound is on. Several such
 codes, each from another random start, are cut into substrings; every substring is a table, and
 vectors with equal substrings are retrieved together. What is retrieved is reranked with the
 original vectors: a pair links when its cosine, in double precision, reaches the bound. A pair
@@ -41,22 +42,19 @@ SAMPLE = 8192
 PART = 1024
 
 
-def fit_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection for codes of so many bits, learned by iterative quantisation of unit vectors x."""
+def fit_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 40) -> np.ndarray:
+    """Projection for codes of so many bits, learned by iterative quantisation of unit vectors x."""
     dim = x.shape[1]
     draw = np.random.default_rng(seed)
-    mean = x.mean(0) if len(x) else np.zeros(dim)
-    if len(x) > bits:
-        _, _, axes = np.linalg.svd(x - mean, full_matrices=True)
-        axes = axes[:bits].T
-    else:
-        axes = np.linalg.qr(draw.normal(size=(dim, dim)))[0][:, :bits]
+    learned = len(x) > bits
+    axes = np.linalg.svd(x, full_matrices=False)[2] if learned and len(x) >= dim else np.linalg.qr(draw.normal(size=(dim, dim)))[0]
+    axes = axes[:bits].T
     turn = np.linalg.qr(draw.normal(size=(bits, bits)))[0]
-    v = (x - mean) @ axes
-    for _ in range(rounds if len(x) > bits else 0):
-        u, _, w = np.linalg.svd(np.sign(v @ turn).T @ v)
+    v = x @ axes
+    for _ in range(rounds if learned else 0):
+        u, _, w = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
         turn = (u @ w).T
-    return mean, axes @ turn
+    return axes @ turn
 
 
 def vector_of(value: pa.Scalar) -> np.ndarray | None:
@@ -79,15 +77,15 @@ class Coder:
         self.bits, self.substring, self.rotations = bits, substring, rotations
         self.fitted = {dim: self.fit(x) for dim, x in sample.items()}
 
-    def fit(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def fit(self, x: np.ndarray) -> list[np.ndarray]:
         return [fit_rotation(x, min(self.bits, x.shape[1]), seed) for seed in range(self.rotations)]
 
     def substrings(self, x: np.ndarray) -> np.ndarray:
         """One row of table keys for each unit vector of x."""
         fitted = self.fitted.get(x.shape[1]) or self.fit(np.zeros((0, x.shape[1])))
         out = []
-        for mean, projection in fitted:
-            signs = (x - mean) @ projection >= 0
+        for projection in fitted:
+            signs = x @ projection >= 0
             width = min(self.substring, signs.shape[1])
             for at in range(0, signs.shape[1] - width + 1, width):
                 out.append(signs[:, at : at + width] @ (1 << np.arange(width)))
