@@ -37,7 +37,7 @@ CAP = 3
 SHARDS = 64
 BLOCKS_PER_SHARD = 16
 #: Documents that a task orders at once, about.
-BUCKET_DOCS = 50_000
+BUCKET_DOCS = 5_000
 
 
 @dataclass(frozen=True)
