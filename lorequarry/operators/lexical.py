@@ -27,10 +27,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float
     only postings of query terms are shuffled, and document frequencies are counted on those.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    lengths = docs.select(F.size(tokens(F.col("text"))).alias("len"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    worded = docs.select("id", tokens(F.col("text")).alias("words"))
+    totals = worded.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_len"))
     vocabulary = asked.select("term").distinct()
-    spread = docs.select("id", F.size(tokens(F.col("text"))).alias("len"), F.explode(tokens(F.col("text"))).alias("term"))
+    # the length travels with each term, so that neither text nor words are copied to every row
+    spread = worded.select("id", F.inline(F.transform("words", lambda w: F.struct(F.size("words").alias("len"), w.alias("term")))))
     hits = spread.join(vocabulary, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n = F.broadcast(totals)  # one row
