@@ -10,8 +10,8 @@ that meets in several tables counts in the first of them.
 
 Equal vectors of a label are one class from the start, so copies are never compared with each
 other. Buckets with many classes are cut by hash into parts of bounded size, and each pair of
-parts is a task's unit of work: it reports how many links each class has there and links that
-keep the parts' components together (a spanning forest), never the pairs.
+parts is a task's unit of work: it reports how many links each class has there and pairs that
+keep the parts' components together (a spanning forest), never all pairs.
 
 The rotations are fitted on a bounded sample (`sample` vectors, by a hash of vec_id); every
 vector is coded and looked up. Whether a pair at the bound is retrieved is a matter of chance:
@@ -39,7 +39,7 @@ SUBSTRING = 12
 ROTATIONS = 5
 SAMPLE = 8192
 #: Classes in a part of a bucket, about.
-PART = 1024
+PART = 512
 
 
 def fit_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 40) -> np.ndarray:
@@ -74,6 +74,8 @@ class Coder:
     """Sign codes of vectors by dimension, cut into substrings."""
 
     def __init__(self, sample: dict[int, np.ndarray], bits: int, substring: int, rotations: int):
+        if substring > 15:
+            raise ValueError("substrings of more than 15 bits don't fit their keys")
         self.bits, self.substring, self.rotations = bits, substring, rotations
         self.fitted = {dim: self.fit(x) for dim, x in sample.items()}
 
@@ -89,7 +91,7 @@ class Coder:
             width = min(self.substring, signs.shape[1])
             for at in range(0, signs.shape[1] - width + 1, width):
                 out.append(signs[:, at : at + width] @ (1 << np.arange(width)))
-        return np.stack(out, 1).astype(np.int32)
+        return np.stack(out, 1).astype(np.int16)
 
 
 def learn(rows: DataFrame, bits: int = BITS, substring: int = SUBSTRING, rotations: int = ROTATIONS, sample: int = SAMPLE) -> Coder:
@@ -108,8 +110,9 @@ def learn(rows: DataFrame, bits: int = BITS, substring: int = SUBSTRING, rotatio
 
 
 def coded(classes: DataFrame, coder: Coder) -> DataFrame:
-    """(rep, copies, label, dim, vec, keys) of the classes that can link."""
+    """(rep, copies, label, dim, vec, keys) of the classes that can link; vec holds the components as they came."""
     kind = classes.schema["label"].dataType.simpleString()
+    width = width_of(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,86 +120,101 @@ def coded(classes: DataFrame, coder: Coder) -> DataFrame:
             for at, value in enumerate(batch.column(3)):
                 x = vector_of(value)
                 if x is not None:
-                    got.setdefault(len(x), []).append((at, unit(x)))
+                    got.setdefault(len(x), []).append((at, x))
             for dim, rows in got.items():
                 at = pa.array([i for i, _ in rows], pa.int64())
                 x = np.array([v for _, v in rows])
-                keys = coder.substrings(x)
+                keys = coder.substrings(unit(x))
                 kept = [batch.column(i).take(at) for i in range(3)]
-                more = [pa.array([dim] * len(rows), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int32()))]
+                more = [pa.array([dim] * len(rows), pa.int32()), pa.array([v.astype(width).tobytes() for v in x], pa.binary()), pa.array(list(keys), pa.list_(pa.int16()))]
                 yield pa.RecordBatch.from_arrays([*kept, *more], ["rep", "copies", "label", "dim", "vec", "keys"])
 
-    return classes.select("rep", "copies", "label", "embedding").mapInArrow(run, f"rep long, copies long, label {kind}, dim int, vec binary, keys array<int>")
+    return classes.select("rep", "copies", "label", "embedding").mapInArrow(run, f"rep long, copies long, label {kind}, dim int, vec binary, keys array<short>")
 
 
-def members(values) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def width_of(classes: DataFrame) -> str:
+    """How vectors are packed: single precision only where they came so."""
+    return "f4" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
+
+
+def members(part: pa.Scalar, width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, copies, unit vectors and keys of a part."""
-    ids = np.array([m["rep"] for m in values], np.int64)
-    copies = np.array([m["copies"] for m in values], np.int64)
-    return ids, copies, np.frombuffer(b"".join(m["vec"] for m in values)).reshape(len(ids), -1), np.array([m["keys"] for m in values], np.int32)
+    rows = part.values
+    n = len(rows)
+    x = np.frombuffer(b"".join(rows.field("vec").to_pylist()), width).astype(np.float64).reshape(n, -1)
+    keys = rows.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    return rows.field("rep").to_numpy(), rows.field("copies").to_numpy(), unit(x), keys
 
 
-def linked(a, b, table: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of two parts (or of one with itself) that link and meet in no earlier table."""
+def linked(a, b, table: int, bound: float) -> np.ndarray:
+    """Which pairs of two parts (or of one with itself, the upper half) link and meet in no earlier table."""
     (_, _, x, kx), (_, _, y, ky) = a, b
     close = x @ y.T >= bound
     if a is b:
         close &= np.tri(len(x), k=-1, dtype=bool).T
-    i, j = np.nonzero(close)
-    for t in range(table):
-        new = kx[i, t] != ky[j, t]
-        i, j = i[new], j[new]
-    return i, j
-
-
-def forest(pairs: np.ndarray) -> np.ndarray:
-    """Of pairs of ids, enough to keep their components."""
-    parent: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    kept = []
-    for u, v in pairs.tolist():
-        ru, rv = root(u), root(v)
-        if ru != rv:
-            parent[ru] = rv
-            kept.append((u, v))
-    return np.array(kept, np.int64).reshape(-1, 2)
-
-
-def link_counts(codes: DataFrame, bound: float, part: int) -> DataFrame:
-    """(rep, other, links): for each unit of work the links of a class (other null), and links of a spanning forest (links null)."""
+    if close.any():
+        for t in range(table):
+            close &= kx[:, t, None] != ky[None, :, t]
+    return close
+
+
+def forest(close: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Pairs of positions (columns count on from the rows unless they are the same) that keep the components of a link matrix.
+
+    A search over whole rows at a time: each new vertex is joined to its component's first.
+    """
+    n = len(close)
+    m = n if same else n + close.shape[1]
+    seen = np.zeros(m, bool)
+    out = []
+    for start in np.flatnonzero(close.any(1)).tolist():
+        if seen[start]:
+            continue
+        seen[start] = True
+        edge = np.array([start])
+        while len(edge):
+            near = np.zeros(m, bool)
+            rows = edge[edge < n]
+            if same:
+                near |= close[rows].any(0) | close[:, rows].any(1)
+            else:
+                near[n:] |= close[rows].any(0)
+                near[:n] |= close[:, edge[edge >= n] - n].any(1)
+            edge = np.flatnonzero(near & ~seen)
+            seen[edge] = True
+            out += [(start, v) for v in edge.tolist()]
+    return out
+
+
+def link_counts(codes: DataFrame, bound: float, part: int, width: str) -> DataFrame:
+    """(rep, other, links): for each unit of work the links of a class (other null), and pairs that keep the components (links null)."""
     hits = codes.select("*", F.posexplode("keys").alias("table", "key"))
     bucket = ["label", "dim", "table", "key"]
     sizes = hits.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
     hits = hits.join(sizes, bucket).withColumn("part", F.pmod(F.xxhash64("rep", "table"), F.ceil(F.col("n") / part)).cast("int"))
     parts = hits.groupBy(*bucket, "part").agg(F.first(F.ceil(F.col("n") / part)).alias("parts"), F.collect_list(F.struct("rep", "copies", "vec", "keys")).alias("rows"))
+    parts = materialize(parts, "parts")
     single = parts.filter("parts = 1").select("table", F.col("rows").alias("a"), F.lit(None).cast(parts.schema["rows"].dataType).alias("b"))
-    many = materialize(parts.filter("parts > 1"), "parts")
+    many = parts.filter("parts > 1")
     a = many.select(*bucket, F.col("part").alias("i"), F.col("rows").alias("a"))
     b = many.select(*bucket, F.col("part").alias("j"), F.col("rows").alias("b"))
     across = a.join(b, bucket).filter("i <= j").select("table", "a", F.when(F.col("i") < F.col("j"), F.col("b")).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                r = batch.slice(at, 1).to_pylist()[0]
-                a = members(r["a"])
-                b = a if r["b"] is None else members(r["b"])
-                i, j = linked(a, b, r["table"], bound)
-                if not len(i):
+            for table, part_a, part_b in zip(*batch.columns):
+                a = members(part_a, width)
+                b = members(part_b, width) if part_b.is_valid else a
+                close = linked(a, b, table.as_py(), bound)
+                if not close.any():
                     continue
-                ids = np.concatenate([a[0][i], b[0][j]])
-                who, place = np.unique(ids, return_inverse=True)
-                links = np.bincount(place, np.concatenate([b[1][j], a[1][i]]).astype(float)).astype(np.int64)
-                edges = forest(np.stack([a[0][i], b[0][j]], 1))
+                at, of_a, of_b = (a[0] if b is a else np.concatenate([a[0], b[0]])), close @ b[1], a[1] @ close
+                links = of_a + of_b if b is a else np.concatenate([of_a, of_b])
+                who = np.flatnonzero(links)
+                edges = np.array(forest(close, b is a))
                 n, m = len(who), len(edges)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([who, edges[:, 0]])), pa.array([None] * n + edges[:, 1].tolist(), pa.int64()), pa.array(links.tolist() + [None] * m, pa.int64())],
+                    [pa.array(np.concatenate([at[who], at[edges[:, 0]]])), pa.array([None] * n + at[edges[:, 1]].tolist(), pa.int64()), pa.array(links[who].tolist() + [None] * m, pa.int64())],
                     ["rep", "other", "links"],
                 )
 
@@ -212,7 +230,7 @@ def near_duplicates(rows: DataFrame, bound: float = 0.93, coder: Coder | None =
     known = marked.filter("usable")
     classes = materialize(known.groupBy("label", F.col("vec").alias("embedding")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
     codes = materialize(coded(classes, coder), "vector-codes")
-    found = materialize(link_counts(codes, bound, part), "vector-links")
+    found = materialize(link_counts(codes, bound, part, width_of(classes)), "vector-links")
     counts = found.filter("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("other is not null").select("rep", "other"), "rep", "other")
     facts = classes.select("rep", "copies", "label", F.col("embedding").alias("vec")).join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
