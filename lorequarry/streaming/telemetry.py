@@ -14,7 +14,8 @@ LATE = "10 minutes"
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """Events of new files, ts as an instant (watermarks need one)."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def rollup(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = LATE) -> DataFrame:
@@ -61,5 +62,5 @@ def ingest_files(spark: SparkSession, path: str, handle: Callable[[DataFrame], N
     """Hands new text files under path to handle as (source_id, content), each once."""
     from ..sources.files import source_id
 
-    rows = spark.readStream.option("wholetext", True).text(path).select(source_id(F.col("_metadata.file_path")).alias("source_id"), F.col("value").alias("content"))
+    rows = spark.readStream.text(path, wholetext=True).select(source_id(F.col("_metadata.file_path")).alias("source_id"), F.col("value").alias("content"))
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: handle(df)).trigger(availableNow=True).start()
