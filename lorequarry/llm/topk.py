@@ -33,6 +33,8 @@ from .common import materialize
 BUCKET_ROWS = 4096
 QUERY_ROWS = 512
 LANES = 32
+#: Queries whose results a task holds (20 results each are 10 MB).
+HELD = 32768
 #: From this local cosine on, coordinates prune better than lengths.
 COORDINATE_COSINE = 0.8
 #: Coordinates looked at, the query's largest.
@@ -205,21 +207,44 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int, scale: float = 64.0,
     bounded = materialize(bounded, "query-blocks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of all buckets that a query block meets in this task, with bounds that rise on the way.
+
+        Results of up to HELD queries wait here, those of the block met longest ago leave first.
+        """
+        waiting: dict[tuple[int, bytes], tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]] = {}
+
+        def leave(key: tuple[int, bytes]) -> Iterator[pa.RecordBatch]:
+            q_ids, (_, best_of) = np.frombuffer(key[1], np.int64), waiting.pop(key)
+            if best_of:
+                columns = [np.concatenate([np.full(len(ids), q_ids[i]) for i, (ids, _) in best_of.items()]), *(np.concatenate([v[c] for v in best_of.values()]) for c in (0, 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
         for batch in batches:
             for at in range(batch.num_rows):
                 r = batch.slice(at, 1).to_pylist()[0]
+                key = r["dim"], r["q_ids"]
+                bounds, best_of = waiting.pop(key) if key in waiting else (np.frombuffer(r["bounds"]).copy(), {})
+                waiting[key] = bounds, best_of
                 q_ids, q_norms, q = unpack(r["q_ids"], r["q_norms"], r["q_matrix"], r["dim"])
                 x_ids, x_norms, x = unpack(r["ids"], r["norms"], r["matrix"], r["dim"])
-                found = list(answers(q_ids, q_norms, q, np.frombuffer(r["bounds"]), x_ids, x_norms, x, k))
-                if found:
-                    query = np.concatenate([np.full(len(ids), q_ids[i]) for i, ids, _ in found])
-                    columns = [query, np.concatenate([ids for _, ids, _ in found]), np.concatenate([s for _, _, s in found])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                for i, ids, scores in answers(q_ids, q_norms, q, bounds, x_ids, x_norms, x, k):
+                    if i in best_of:
+                        ids, scores = np.concatenate([best_of[i][0], ids]), np.concatenate([best_of[i][1], scores])
+                        top = best(scores, ids, k)
+                        ids, scores = ids[top], scores[top]
+                    best_of[i] = ids, scores
+                    if len(scores) == k:
+                        bounds[i] = max(bounds[i], float(scores[-1]))
+                while sum(len(b) for b, _ in waiting.values()) > HELD:
+                    yield from leave(next(iter(waiting)))
+        while waiting:
+            yield from leave(next(iter(waiting)))
 
     lane = F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")
     asked = bounded.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     # a bucket too short for every query of a block isn't even sent to it
     met = asked.join(buckets.withColumn("lane", lane), ["dim", "lane"]).filter(F.col("high") * (1 + 1e-9) >= F.col("least"))
     found = met.select("dim", "q_ids", "q_norms", "q_matrix", "bounds", "ids", "norms", "matrix").mapInArrow(search, "query_id long, vec_id long, score long")
+    # no more than k rows for each query and task
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
