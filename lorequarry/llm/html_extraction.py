@@ -29,18 +29,24 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style template textarea title noframes noembed iframe xmp svg math object audio video canvas".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is never main text, whatever stands in it.
-BOILERPLATE_TAGS = frozenset("head nav footer aside form dialog menu button select fieldset noscript search".split())
+BOILERPLATE_TAGS = frozenset("head nav footer aside form dialog menu button select datalist meter progress output fieldset noscript search".split())
 #: Words in class, id and similar attributes that mark a container as boilerplate.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners billboard breadcrumb"
     " breadcrumbs captcha comment comments commentlist consent cookie cookies copyright cta disclaimer discussion disqus"
     " feedback footer footnav form gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter"
-    " notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended"
-    " related replies reply respond rss search share sharing sidebar signin signup skyscraper social sponsor sponsored"
-    " subscribe subscription taboola teaser teasers toolbar topbar warning widget widgets".split()
+    " notice notices notification outbrain overlay pager pagination paywall popular popup promo promoted promotion recommended"
+    " rail related replies reply respond rss search share sharing sidebar signin signup skyscraper social sponsor sponsored"
+    " subscribe subscription taboola teaser teasers ticker toolbar topbar trending warning widget widgets".split()
 )
 BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
-CONTENT_WORDS = frozenset("article articlebody entry post story".split())
+#: Such containers are boilerplate only where they aren't the article's own.
+HEAD_WORDS = frozenset("header masthead".split())
+#: Words that mute even an inline element.
+INLINE_WORDS = frozenset("ad ads advert advertisement adverts comment comments cookie cookies newsletter promo share sharing social sponsor sponsored subscribe".split())
+CONTENT_WORDS = frozenset("article articlebody content entry main post story".split())
+#: How sure a container is of holding the article: by its tag, as the main part of the page, by its name.
+BY_TAG, BY_ROLE, BY_NAME = 3, 2, 1
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
     "the of and to a in is that it for was on are as with be by at this from or an have not he his they which but you we"
@@ -82,37 +88,52 @@ class Block:
     link_chars: int = 0
     heading: bool = False
     boilerplate: bool = False
-    article: bool = False
+    level: int = 0
     text: str = ""
     label: str = ""
 
 
-def marks(name: str, rest: str) -> tuple[bool, bool, bool]:
-    """Whether an element's own tag marks it as boilerplate, as an article, and as hidden."""
-    bad, good, hidden = name in BOILERPLATE_TAGS, name == "article", False
+@dataclass(frozen=True)
+class Marks:
+    """What an element's own tag says: boilerplate, how surely the article, not shown at all."""
+
+    bad: bool
+    level: int
+    hidden: bool
+
+
+def marks(name: str, rest: str, inside: int) -> Marks:
+    """The marks of a start tag within a container that holds the article as surely as inside says."""
+    bad = name in BOILERPLATE_TAGS or (name == "header" and not inside)
+    level = BY_TAG if name == "article" else BY_ROLE if name == "main" else 0
+    is_block = name in BLOCK_TAGS
+    hidden = bad and not is_block
     if "=" in rest or "hidden" in rest:
         for key, a, b, c in ATTRIBUTE.findall(rest):
             key, value = key.lower(), a or b or c
             if key in ("class", "id", "itemprop", "data-role"):
                 words = {x.lower() for x in NAME_PARTS.findall(value)}
-                if words & BOILERPLATE_WORDS:
+                if not is_block:
+                    hidden |= bool(words & INLINE_WORDS)
+                elif words & BOILERPLATE_WORDS - (HEAD_WORDS if inside else set()):
                     bad = True
-                elif key != "id" and words & CONTENT_WORDS and name in ("div", "section", "main"):
-                    good = True
+                elif words & CONTENT_WORDS and name in ("div", "section", "td"):
+                    level = max(level, BY_NAME)
             elif key == "role":
                 bad |= value.lower() in BOILERPLATE_ROLES
-                good |= value.lower() == "article"
+                level = max(level, {"article": BY_TAG, "main": BY_ROLE}.get(value.lower(), 0))
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 hidden = True
-    return bad, good, hidden
+    # an article within an article is what readers add
+    return Marks(bad or (name == "article" and inside == BY_TAG), level, hidden)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, each with what its containers say of it."""
     out: list[Block] = []
     block = Block()
-    #: open elements: name, boilerplate here or above, article here or above
-    stack: list[tuple[str, bool, bool]] = []
+    #: open elements: name, boilerplate here or above, how surely the article here or above
+    stack: list[tuple[str, bool, int]] = []
     at, links = 0, 0
     size = len(page)
 
@@ -129,8 +150,8 @@ def blocks_of(page: str) -> list[Block]:
         if block.parts:
             block.text = " ".join("".join(block.parts).split())
             if block.text:
-                top = stack[-1] if stack else ("", False, False)
-                block.boilerplate, block.article = top[1], top[2]
+                top = stack[-1] if stack else ("", False, 0)
+                block.boilerplate, block.level = top[1], top[2]
                 block.heading = any(x[0] in HEADINGS for x in stack[-3:])
                 out.append(block)
         block = Block()
@@ -172,35 +193,30 @@ def blocks_of(page: str) -> list[Block]:
             if depth is not None and (is_block or not any(x[0] in BLOCK_TAGS for x in stack[depth:])):
                 del stack[depth:]
             continue
-        if not is_block and not rest:
+        if not is_block and not rest and name not in BOILERPLATE_TAGS:
             continue  # a bare inline element changes nothing
         if is_block:
             while stack and (stack[-1][0] in ("p", "head") or stack[-1][0] not in BLOCK_TAGS):
                 stack.pop()
             if name in ("li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] in ({name} | {"dt": {"dd"}, "dd": {"dt"}, "td": {"th"}, "th": {"td"}}.get(name, set())):
                 stack.pop()
-        bad, good, hidden = marks(name, rest)
-        inside = stack[-1] if stack else ("", False, False)
-        if name == "header":  # a page's header, not an article's own
-            bad |= not inside[2]
-        if name == "article" and inside[2]:  # articles in an article are what readers add
-            bad = True
-        if not is_block and not hidden:
-            continue  # inline text belongs to its block
-        stack.append((name, inside[1] or bad or hidden, inside[2] or good))
+        _, bad, level = stack[-1] if stack else ("", False, 0)
+        m = marks(name, rest, level)
+        if is_block or m.hidden:  # other inline text belongs to its block
+            stack.append((name, bad or m.bad or m.hidden, max(level, m.level)))
     end()
     return out
 
 
-def decide(block: Block, rules: Rules, has_article: bool) -> str:
-    """Pass one: the label of a block by itself."""
+def decide(block: Block, rules: Rules, level: int) -> str:
+    """Pass one: the label of a block by itself, on a page whose surest container of the article has a level."""
     text = block.text
     density = block.link_chars / max(1, len(text.replace(" ", "")))
-    if block.boilerplate or (has_article and not block.article):
+    if block.boilerplate or block.level < level:
         return BAD
     words = WORDS.findall(text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if block.article:
+    if block.level:
         # the page itself says that this is the article: only link lists stay in doubt
         return NEAR if density > rules.max_link_density else GOOD
     if density > rules.max_link_density:
@@ -253,9 +269,9 @@ def extract(page: str | None, rules: Rules = Rules()) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    has_article = any(b.article and not b.boilerplate for b in blocks)
+    level = max((b.level for b in blocks if not b.boilerplate), default=0)
     for b in blocks:
-        b.label = decide(b, rules, has_article)
+        b.label = decide(b, rules, level)
     settle(blocks, rules)
     return "\n\n".join(b.text for b in blocks if b.label == GOOD)
 

@@ -13,7 +13,7 @@ Lines are compared without the blanks at their ends. Lines shorter than `min_cha
 evidence of copying and stay. Defined results: null text stays null and an empty text empty; a
 document may lose all its lines; documents with a null doc_id stay as they are; rows that share
 a doc_id hold the same places, so neither is dropped for the other; an empty table gives an empty
-result; columns other than doc_id and text are passed on untouched.
+result; columns other than doc_id and text are passed on untouched, but for earlier n_lines and n_dropped.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, blocks: int = BLOCK
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_drops", i)), "\n")
     text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept).alias("text")
-    same = [text if c == "text" else F.col(c) for c in docs.columns]
+    same = [text if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
     counts = [n_lines.cast("long").alias("n_lines"), F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long").alias("n_dropped")]
     return docs.join(drops, docs["doc_id"] == drops["_doc"], "left").select(*same, *counts)

@@ -29,6 +29,14 @@ def test_block_rules_without_an_article():
     assert extract(html) == f"Short title\n\n{text}\n\nOk.\n\n{text}"
 
 
+def test_other_containers():
+    assert extract(page("<div>top</div><main><header><h1>T</h1></header><p>Short.</p><nav>n</nav></main><div>end</div>")) == "T\n\nShort."
+    assert extract(page('<div id="top-menu">m</div><div id="content" class="x"><div class="article-header"><h1>T</h1></div><p>Short.</p><div class="shareBar">s</div></div>')) == "T\n\nShort."
+    assert extract(page("<main><p>Teaser</p><article><p>Body <button>Save</button>text <span class='ad'>Buy</span>on <span class='term'>and</span> on</p></article></main>")) == "Body text on and on"
+    assert extract(page("<div role='main'><p>One</p></div><div role='complementary'><p>Two</p></div>")) == "One"
+    assert extract(page("<article><p>A</p><ul><li><a href=x>all link</a></li></ul><p>B</p></article>")) == "A\n\nall link\n\nB"
+
+
 def test_odd_pages():
     assert extract(None) == extract("") == extract("<html></html>") == extract("<script>a<") == ""
     assert extract("<article>a<b c='d") == "a<b c='d"
