@@ -11,7 +11,7 @@ from . import schemas
 from .functions import html_ops as H
 from .functions import text as X
 from .operators import chunking, enrich, hierarchy, lexical, maintenance, models, telemetry, vector
-from .plans import evaluate, search
+from .plans import evaluate, run, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,6 +259,68 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(asked, chunks, docs, groups=[])
 
 
+@query("""
+WITH c AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label),
+near AS (SELECT q.vec_id AS query_id, label AS g, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], m), 6) DESC, c.label) AS r FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q, c),
+s AS (SELECT n.query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM near n JOIN embeddings e ON e.label = n.g JOIN embeddings q ON q.vec_id = n.query_id WHERE n.r <= 3 AND e.vec_id <> n.query_id)
+SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank <= 5
+""")
+def staged_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return run.staged(ask_embeddings(e), e.select(F.col("vec_id").alias("id"), "embedding", "label"), "label", 3, 5)
+
+
+@query(f"""
+WITH b AS ({BM25_SQL.format(k=50)}), s AS (SELECT b.query_id, b.id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM b JOIN embeddings q ON q.vec_id = b.query_id JOIN embeddings e ON e.vec_id = b.id)
+SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank <= 5
+""")
+def lexical_then_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return run.lexical_then_vector(lexical_hits(spark, sf_dir, 50), e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"), 5)
+
+
+@query(r"""
+WITH q AS (SELECT item_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g'))) AS query_hash FROM benchmark)
+SELECT item_id, query_hash, CASE WHEN item_id % 2 = 0 THEN 'answer ' || item_id END AS answer FROM q
+""")
+def query_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    known = q.filter("item_id % 2 = 0").select(F.md5(run.normalized(F.upper("query")).cast("binary")).alias("query_hash"), F.concat(F.lit("answer "), F.col("item_id").cast("string")).alias("answer"))
+    return run.cached(q, known).drop("query")
+
+
+@query("SELECT doc_id, source AS tenant FROM documents WHERE source = 'src3'")
+def tenant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run.tenant_only(read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("tenant")), "src3")
+
+
+@query(f"SELECT doc_id::VARCHAR AS source_id FROM documents WHERE doc_id NOT IN (SELECT id FROM ({BM25_SQL.format(k=10)}))")
+def source_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = lexical_hits(spark, sf_dir, 10).select(F.col("id").cast("string").alias("source_id"))
+    return run.source_gaps(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id")), hits)
+
+
+@query(f"SELECT label AS cluster, count(*) AS n, count(*) FILTER (WHERE best < 0.45::DOUBLE) AS low, avg((best < 0.45::DOUBLE)::INT) AS share FROM (SELECT query_id, max(score) AS best FROM ({knn_sql(5)}) GROUP BY query_id) h JOIN embeddings e ON h.query_id = e.vec_id GROUP BY label")
+def query_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("cluster"))
+    return run.query_gaps(near(spark, sf_dir, 5), clusters, 0.45)
+
+
+@query(f"SELECT query_id, max(score) AS best, CASE WHEN max(score) >= 0.6::DOUBLE THEN 'good' WHEN max(score) >= 0.3::DOUBLE THEN 'doubtful' ELSE 'ask again' END AS grade FROM ({knn_sql(5)}) GROUP BY query_id")
+def retrieval_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run.graded(near(spark, sf_dir, 5), "score")
+
+
+@query()
+def query_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run.query_clusters(ask_embeddings(read(spark, sf_dir, "embeddings")), 4)
+
+
+@query()
+def query_time_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run.chunk_at_query_time(lexical_hits(spark, sf_dir, 3), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 # --- evaluation ------------------------------------------------------------------------------
 
 
@@ -393,6 +455,17 @@ def offline_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", "answer", F.explode(models.judge_columns(F.col("text"), F.col("answer"), F.col("text"), F.col("context"))).alias("metric", "s")).select("item_id", "answer", "metric", "s.score", "s.success")
 
 
+@query()
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation records over benchmark passages as golden questions, with the offline models, judged and summed up."""
+    d = read(spark, sf_dir, "documents")
+    chunks = chunking.paragraphs(d, "doc_id", "text").withColumnRenamed("doc_id", "document_id")
+    chunks = models.embed(chunks.withColumns({"id": F.xxhash64("document_id", "chunk_index"), "heading_path": F.array(F.lit("Documents")), "chunk_type": F.lit("text")}), "content")
+    docs = d.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("source_id"), F.col("source").alias("title"), F.lit("").alias("source_url"))
+    golden = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("id"), F.substring("text", 1, 300).alias("query"), F.col("text").alias("answer"), F.col("item_id").cast("string").alias("source_article_id"), F.lit(None).cast("array<string>").alias("source_article_id_alt"), F.lit("passage").alias("query_type"))
+    return evaluate.proxies(run.evaluation(golden, chunks, docs, limit=30))
+
+
 # --- ingestion -------------------------------------------------------------------------------
 
 
@@ -650,6 +723,12 @@ def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), X.vector_literal(F.slice("embedding", 1, 8)).alias("literal"))
 
 
+@query("SELECT count(*) AS topics_discovered, count(*) FILTER (WHERE kids = 0 AND found > 0) AS leaf_topics, (SELECT count(DISTINCT o_custkey) FROM orders) AS articles_discovered, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS articles_downloaded FROM (SELECT n_nationkey, n_regionkey % 2 AS kids, n_nationkey % 3 AS found FROM nation)")
+def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topics = read(spark, sf_dir, "nation").select((F.col("n_regionkey") % 2).alias("child_count"), (F.col("n_nationkey") % 3).alias("article_count"))
+    return run.crawl_stats(topics, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_orderstatus") == "F").alias("downloaded")))
+
+
 # --- telemetry -------------------------------------------------------------------------------
 
 

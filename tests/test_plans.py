@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorequarry import schemas
 from lorequarry.functions import text as X
 from lorequarry.operators import enrich, hierarchy, maintenance, models, telemetry, vector
-from lorequarry.plans import evaluate, ingest, search
+from lorequarry.plans import evaluate, ingest, run, search
 from lorequarry.sources import files, portal
 
 
@@ -212,3 +212,36 @@ def test_models(spark):
 def test_verdicts(spark):
     rows = spark.createDataFrame([("idk_rate", 0.1), ("idk_rate", -0.1), ("topk", 0.1), ("topk", 0.0005), ("topk", None)], "m string, d double")
     assert [r[0] for r in rows.select(evaluate.verdict(F.col("m"), F.col("d"))).collect()] == ["worse", "better", "better", "same", "missing"]
+
+
+def test_evaluation_run(spark, corpus):
+    _, docs, stored = corpus
+    golden = spark.createDataFrame(
+        [(1, "When is the housing allowance paid?", "at the end of each month", "100", None, "a"), (2, "zebra", "x", None, ["200"], "b"), (3, " ", "x", "1", None, "b")],
+        "id int, query string, answer string, source_article_id string, source_article_id_alt array<string>, query_type string",
+    )
+    out = {r.id: r for r in run.evaluation(golden, stored, docs).collect()}
+    assert out[1].top1_source_match and out[1].topk_source_match and "[Chunk 1]\nSource: 100" in out[1].context_strings[0] and "month" in out[1].answer and out[1].error is None
+    assert out[2].answer == X.IDK + "." and out[3].error == "invalid query" and out[3].answer is None
+    records = run.evaluation(golden, stored, docs)
+    p = evaluate.proxies(records).first()
+    assert p.n == 3 and abs(p.idk_rate - 1 / 3) < 1e-9
+    summary = {r.metric: r for r in evaluate.score_summary(run.judged(records)).collect()}
+    assert summary["faithfulness"].mean > 0 and set(summary) <= {"faithfulness", "answer_relevancy", "contextual_precision", "contextual_recall", "contextual_relevancy"}
+    assert [r.id for r in run.evaluation(golden, stored, docs, ids=[2]).collect()] == [2]
+    a, b = evaluate.same_queries(golden, golden.filter("id > 1"))
+    assert a.count() == b.count() == 2
+
+
+def test_traces_and_caches(spark, corpus):
+    _, docs, stored = corpus
+    rows = ask(spark, [(1, "housing allowance", "3", "20")])
+    hits = search.search(rows, stored, docs)
+    span = run.spans(hits, rows, F.timestamp_millis(F.lit(1000)), F.timestamp_millis(F.lit(1250))).first()
+    assert span.latency_ms == 250 and span.top_rerank_score is not None and '"source_id":"100"' in span.output_value
+    same = spark.createDataFrame([("Housing  ALLOWANCE?",), ("other",)], "query string")
+    known = same.limit(1).select(F.md5(run.normalized(F.lit("housing allowance")).cast("binary")).alias("query_hash"), F.lit("yes").alias("answer"))
+    assert {r.query: r.answer for r in run.cached(same, known).collect()} == {"Housing  ALLOWANCE?": "yes", "other": None}
+    with pytest.raises(ValueError):
+        run.tenant_only(same, "")
+    assert run.hypothetical(same, lambda q: F.lit(None).cast("string")).count() == 2
