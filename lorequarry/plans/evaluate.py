@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ TOLERANCES = {
     "answer_keyword_recall_mean": ("down", 0.05),
     "idk_rate": ("up", 0.10),
 }
+#: Up to so many terms are looked up by an automaton that every task builds.
+VOCABULARY = 50_000
 #: Metrics of which less is better.
 LESS_IS_BETTER = ("idk_rate", "avg_input_tokens", "avg_output_tokens")
 
@@ -123,15 +128,40 @@ def audit(golden: DataFrame, documents: DataFrame) -> DataFrame:
     return q.select("id", "subject", "terms").join(missing, "id", "left").join(answered, "id", "left").join(alternates, "id", "left")
 
 
+def terms_found(text: Column, terms: list[str]) -> Column:
+    """Those of the terms that stand in a text as substrings, by one pass of a matching automaton."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            import ahocorasick
+        except ImportError:
+            find = lambda t: [x for x in terms if x in t]
+        else:
+            automaton = ahocorasick.Automaton()
+            for x in terms:
+                automaton.add_word(x, x)
+            automaton.make_automaton()
+            find = lambda t: sorted({x for _, x in automaton.iter(t)})
+        for batch in batches:
+            yield pa.array([find(t) if (t := v.as_py()) and terms else [] for v in batch], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(text)
+
+
 def other_sources(questions: DataFrame, documents: DataFrame, n: int = 5) -> DataFrame:
     """(id, alternates): the n documents outside expected_source_ids with most distinctive terms, almost all at least.
 
-    Every term is looked up in every text once: the distinct terms of a golden set are few and go
-    to the tasks by broadcast.
+    The distinct terms of a golden set are few: up to VOCABULARY of them are looked up in every
+    text by one automaton, more by a join on containment.
     """
     terms = questions.select("id", "expected_source_ids", F.size("distinctive").alias("n"), F.explode("distinctive").alias("term"))
     vocabulary = terms.select(F.lower("term").alias("term")).distinct()
-    hits = documents.select("source_id", F.lower("content").alias("low")).join(F.broadcast(vocabulary), F.contains(F.col("low"), F.col("term"))).select("source_id", "term")
+    texts = documents.select("source_id", F.lower("content").alias("low"))
+    few = [r.term for r in vocabulary.limit(VOCABULARY + 1).collect()]
+    if len(few) <= VOCABULARY:
+        hits = texts.select("source_id", F.explode(terms_found(F.col("low"), sorted(few))).alias("term"))
+    else:
+        hits = texts.join(vocabulary, F.contains(F.col("low"), F.col("term"))).select("source_id", "term")
     counted = terms.withColumn("term", F.lower("term")).join(hits, "term").groupBy("id", "expected_source_ids", "n", "source_id").agg(F.count("*").alias("hits"))
     near = counted.filter((F.col("hits") >= F.greatest(F.lit(2), F.col("n") - 1)) & ~F.array_contains("expected_source_ids", F.col("source_id")))
     ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("hits"), "source_id"))).filter(F.col("place") <= n)
