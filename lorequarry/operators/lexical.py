@@ -28,7 +28,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     worded = docs.select("id", tokens(F.col("text")).alias("words"))
-    totals = worded.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_len"))
+    length = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"))
+    totals = docs.agg(F.count("*").alias("n"), F.avg(length).alias("avg_len"))
     vocabulary = asked.select("term").distinct()
     # the length travels with each term, so that neither text nor words are copied to every row
     spread = worded.select("id", F.inline(F.transform("words", lambda w: F.struct(F.size("words").alias("len"), w.alias("term")))))

@@ -41,9 +41,9 @@ class HashEmbedder:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in zip(out, texts):
             words = WORD.findall(text.lower())
-            for w in (*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))):
-                h = zlib.crc32(w.encode())
-                row[h % self.dim] += 1.0 if h >> 31 else -1.0
+            pairs = map(" ".join, zip(words, words[1:]))
+            h = np.array([zlib.crc32(w.encode()) for w in (*words, *pairs)], np.uint32)
+            row[:] = np.bincount(h % self.dim, np.where(h >> 31, 1.0, -1.0), self.dim)
             n = np.linalg.norm(row)
             if n:
                 row /= n
