@@ -81,8 +81,9 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         pairs = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
-        inner = pairs.select("u").join(pairs.select(F.col("v").alias("u")), "u", "left_semi")
-        if inner.isEmpty() and not pairs.groupBy("u").count().filter("count > 1").head(1):
+        ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        unsettled = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or (below > 0 and above > 0)")
+        if unsettled.isEmpty():
             break
     else:
         raise RuntimeError("the components did not settle")

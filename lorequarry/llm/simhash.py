@@ -88,23 +88,35 @@ def near_links(prints: DataFrame, max_bits: int = 2, crowded: int = CROWDED) ->
     if not 0 <= max_bits <= 2:
         raise ValueError("the grid registers both sides at radius one, which holds up to two bits")
     placed = prints.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
-    busy = placed.groupBy("cell").count().filter(F.col("count") > crowded).select("cell")
-    calm = placed.join(busy, "cell", "left_anti")
-    a, b = calm.select(F.col("fp").alias("a"), "cell"), calm.select(F.col("fp").alias("b"), "cell")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    pairs = a.join(b, "cell").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    busy = materialize(placed.groupBy("cell").count().filter(F.col("count") > crowded).select("cell"), "crowded-cells")
+    if busy.isEmpty():
+        return cell_pairs(placed, max_bits)
     dense = placed.join(busy, "cell", "left_semi").select("fp").distinct()
-    if max_bits < 2:
-        masks = [1 << i for i in range(64)] if max_bits == 1 else []
-        points = [F.col("fp")]
-        other = dense.select(F.col("fp").alias("b"), F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(signed(m))) for m in masks])).alias("a")) if masks else None
-        stars = other.join(dense.select(F.col("fp").alias("a")), "a", "left_semi").select("a", "b") if other is not None else pairs.limit(0)
-    else:
-        points = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)]]
-        spread = dense.select("fp", F.explode(F.array(*points)).alias("point"))
-        low = spread.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a <> top").select("point", "a")
-        stars = spread.join(low, "point").filter("a <> fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars)
+    return cell_pairs(placed.join(busy, "cell", "left_anti"), max_bits).unionByName(stars(dense, max_bits))
+
+
+def cell_pairs(placed: DataFrame, max_bits: int) -> DataFrame:
+    """All pairs of fingerprints that meet in a cell and differ in max_bits or fewer."""
+    a, b = placed.select(F.col("fp").alias("a"), "cell"), placed.select(F.col("fp").alias("b"), "cell")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    return a.join(b, "cell").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+
+
+def stars(prints: DataFrame, max_bits: int) -> DataFrame:
+    """Links with the components of all pairs within max_bits, by one-bit segments.
+
+    Within two bits fingerprints share a point one bit from both, and link to its smallest;
+    within one bit one of them is the other's point; within none there are no two.
+    """
+    if max_bits == 0:
+        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    points = [F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)]
+    if max_bits == 1:
+        other = prints.select(F.explode(F.array(*points)).alias("a"), F.col("fp").alias("b"))
+        return other.join(prints.select(F.col("fp").alias("a")), "a", "left_semi")
+    spread = prints.select("fp", F.explode(F.array(F.col("fp"), *points)).alias("point"))
+    low = spread.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a <> top").select("point", "a")
+    return spread.join(low, "point").filter("a <> fp").select("a", F.col("fp").alias("b"))
 
 
 def signed(x: int) -> int:
