@@ -6,7 +6,8 @@ length one shorter (for a partner that lacks a character), as hashed keys. Lines
 bound share a key whatever the edit; lines that share one are verified with the edit distance on
 their texts. A line is dropped when a line at an earlier place (doc_id, then line number) has the
 same text or is within one edit of it, whether or not that earlier line is itself dropped.
-The first place of every text and its keys are found without moving text; only lines of
+Keys that a common template fills with lines are made finer first, so that its lines don't all
+meet each other. The first place of every text and its keys are found without moving text; only lines of
 candidate pairs and, at the end, the documents are shuffled.
 
 Lines are compared without the blanks at their ends. Lines shorter than `min_chars` are no
@@ -25,6 +26,8 @@ from .common import materialize
 
 MIN_CHARS = 20
 BLOCKS = 4
+#: Keys shared by more lines than this are made finer before they are joined.
+CROWDED = 512
 #: Up to so many documents with candidate lines are looked up by a broadcast of their ids (8 MB); more by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -57,14 +60,44 @@ def identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
 
 
-def near_candidates(firsts: DataFrame, blocks: int) -> DataFrame:
-    """Pairs of first places (a before b) that share a variant key, one of them at its own length."""
-    keys = firsts.select("place", F.posexplode("keys").alias("k", "key")).select("place", "key", (F.col("k") < blocks).alias("own"))
+def pairs_by_key(keys: DataFrame) -> DataFrame:
+    """Pairs of places (a before b) that share a key, one of them at its own length."""
     a = keys.select(F.col("place").alias("a"), "key", F.col("own").alias("own_a"))
     b = keys.select(F.col("place").alias("b"), "key", F.col("own").alias("own_b"))
     return a.join(b, "key").filter((F.col("own_a") | F.col("own_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
+def finer_keys(keys: DataFrame, lines: DataFrame, blocks: int) -> DataFrame:
+    """Keys (place, k, key, own) made finer: with the deleted block back in, less each of its characters in turn."""
+    both = keys.join(lines, "place")
+    n = F.char_length("line")
+    ref = n - F.when(F.col("own"), 0).otherwise(1)
+    j = F.col("k") % blocks
+    start = F.floor(ref * j / blocks).cast("int")
+    rest = (ref - F.floor(ref * (j + 1) / blocks)).cast("int")
+    both = both.select("place", "own", "key", F.substring(F.col("line"), start + 1, n - start - rest).alias("block"))
+    size = F.char_length("block")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.xxhash64("key", F.concat(F.left("block", i), F.substring(F.col("block"), i + 2, size))))
+    variants = F.when(size > 0, F.array_append(cut, F.xxhash64("key", "block"))).otherwise(F.array(F.xxhash64("key", "block")))
+    return both.select("place", "own", F.explode(F.array_distinct(variants)).alias("key"))
+
+
+def near_candidates(firsts: DataFrame, docs: DataFrame, min_chars: int, blocks: int, crowded: int) -> DataFrame:
+    """Pairs of first places (a before b) that may be one edit apart, and all that are.
+
+    Keys shared by more than `crowded` lines (a common template) aren't joined as they are: their
+    lines emit the deletion neighbourhood of the deleted block, character by character, which
+    only lines within the bound, or nearly so, share.
+    """
+    keys = firsts.select("place", F.posexplode("keys").alias("k", "key")).withColumn("own", F.col("k") < blocks)
+    busy = materialize(keys.groupBy("key").count().filter(F.col("count") > crowded).select("key"), "line-crowds")
+    if busy.isEmpty():
+        return pairs_by_key(keys)
+    crowd = materialize(keys.join(busy, "key", "left_semi").select("place", "k", "key", "own"), "line-crowd")
+    lines = texts_at(docs, crowd.select("place").distinct(), min_chars).dropDuplicates(["place"])
+    return pairs_by_key(keys.join(busy, "key", "left_anti")).unionByName(pairs_by_key(finer_keys(crowd, lines, blocks))).distinct()
+
+
 def texts_at(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     """(place, line) of the wanted places."""
     ids = wanted.select("place.doc_id").distinct()
@@ -74,7 +107,7 @@ def texts_at(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     return lines.select(F.struct("doc_id", "line_no").alias("place"), "line").join(wanted, "place", "left_semi")
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, blocks: int = BLOCKS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, blocks: int = BLOCKS, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, drops): the sorted numbers, from 0, of the lines that each document loses."""
     source = docs.select("doc_id", "text")
     lines = places(source, min_chars).withColumn("n", F.char_length("line"))
@@ -82,7 +115,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, blocks: int = BLO
     one = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "keys")).alias("m"), F.count("*").alias("copies"))
     firsts = materialize(one.select("h1", "h2", F.struct("m.doc_id", "m.line_no").alias("place"), "m.keys", "copies"), "lines")
 
-    pairs = materialize(near_candidates(firsts, blocks), "line-pairs")
+    pairs = materialize(near_candidates(firsts, source, min_chars, blocks, crowded), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
     line = texts_at(source, wanted, min_chars).dropDuplicates(["place"])
     checked = (
@@ -98,9 +131,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, blocks: int = BLO
     return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, blocks: int = BLOCKS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, blocks: int = BLOCKS, crowded: int = CROWDED) -> DataFrame:
     """docs with the dropped lines gone from text, and n_lines, n_dropped added at the end."""
-    drops = dropped_lines(docs, min_chars, blocks).select(F.col("doc_id").alias("_doc"), F.col("drops").alias("_drops"))
+    drops = dropped_lines(docs, min_chars, blocks, crowded).select(F.col("doc_id").alias("_doc"), F.col("drops").alias("_drops"))
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_drops", i)), "\n")
     text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept).alias("text")

@@ -35,8 +35,25 @@ def test_against_all_pairs(docs_of):
 
     rows = [(i, "\n".join(edited(edited(r.choice(base))) if r.random() < 0.9 else r.choice(["", " ", "\t"]) for _ in range(r.randint(1, 8)))) for i in range(80)]
     rows += [(200, None), (201, ""), (202, "\n\n"), (None, base[0]), (203, "x" * 50_000), (204, "x" * 49_999 + "y"), (203, "x" * 50_000)]
-    for blocks in (2, 4):
-        assert run(docs_of([(i, t, None, None) for i, t in rows]), min_chars=5, blocks=blocks) == brute(rows, 5)
+    for blocks, crowded in ((2, 10**6), (4, 512), (4, 0), (3, 2)):
+        assert run(docs_of([(i, t, None, None) for i, t in rows]), min_chars=5, blocks=blocks, crowded=crowded) == brute(rows, 5)
+
+
+def test_a_template_with_many_lines(docs_of):
+    rows = [(i, f"This very common line of a template says that item {i * 7919 % 9000:04d} was sold") for i in range(1500)]
+    out = line_dedup.near_candidates
+    seen = []
+
+    def spy(*args):
+        seen.append(out(*args))
+        return seen[-1]
+
+    line_dedup.near_candidates = spy
+    try:
+        assert run(docs_of([(i, t, None, None) for i, t in rows])) == brute(rows, line_dedup.MIN_CHARS)
+    finally:
+        line_dedup.near_candidates = out
+    assert seen[0].count() < 60 * len(rows)  # all pairs would be 750 for each
 
 
 def test_documents_pass_whole(docs_of, odd_rows):
