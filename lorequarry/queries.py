@@ -255,7 +255,7 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.paragraphs(d, "doc_id", "text").withColumnRenamed("doc_id", "document_id")
     chunks = models.embed(chunks.withColumns({"id": F.xxhash64("document_id", "chunk_index"), "heading_path": F.array(F.lit("Documents")), "chunk_type": F.lit("text")}), "content")
     docs = d.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("source_id"), F.col("source").alias("title"), F.lit("").alias("source_url"), F.lit("public").alias("acl"), F.col("lang").alias("source_type"))
-    asked = read(spark, sf_dir, "benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 500).alias("query"), F.lit("5").alias("k"), F.lit("20").alias("pool"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("5").alias("k"), F.lit("20").alias("pool"))
     return search.search(asked, chunks, docs, groups=[])
 
 
@@ -462,8 +462,8 @@ def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.paragraphs(d, "doc_id", "text").withColumnRenamed("doc_id", "document_id")
     chunks = models.embed(chunks.withColumns({"id": F.xxhash64("document_id", "chunk_index"), "heading_path": F.array(F.lit("Documents")), "chunk_type": F.lit("text")}), "content")
     docs = d.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("source_id"), F.col("source").alias("title"), F.lit("").alias("source_url"))
-    golden = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("id"), F.substring("text", 1, 300).alias("query"), F.col("text").alias("answer"), F.col("item_id").cast("string").alias("source_article_id"), F.lit(None).cast("array<string>").alias("source_article_id_alt"), F.lit("passage").alias("query_type"))
-    return evaluate.proxies(run.evaluation(golden, chunks, docs, limit=30))
+    golden = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("id"), F.col("text").alias("query"), F.col("text").alias("answer"), F.col("item_id").cast("string").alias("source_article_id"), F.lit(None).cast("array<string>").alias("source_article_id_alt"), F.lit("passage").alias("query_type"))
+    return evaluate.proxies(run.evaluation(golden, chunks, docs))
 
 
 # --- ingestion -------------------------------------------------------------------------------
