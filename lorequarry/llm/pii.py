@@ -3,10 +3,11 @@
 Four base kinds are defined by patterns and checks; their spans are always reported. A
 semi-Markov conditional random field adds the kinds that no pattern pins down (access keys,
 passwords, tokens): it scores whole candidate segments, and a dynamic program over segments of
-at most `max_tokens` tokens chooses boundaries and types jointly. The field works on the windows
-around digits and equal signs that base spans leave free; everything outside them is no entity,
-as a candidate segment must hold a digit. The weights are learned here, by the gradient of the
-conditional likelihood on generated sentences (fixed seed), and travel with the task.
+at most `max_tokens` tokens, and over whole runs of a value's characters whatever their tokens,
+chooses boundaries and types jointly. The field works on the windows around digits and after cue
+words (password, token, ...) that base spans leave free; everything outside them is no entity, as a
+candidate segment must hold a digit or follow a cue. The weights are learned here, by the gradient of
+the conditional likelihood on generated sentences (fixed seed), and travel with the task.
 
 Defined results: a null or empty text has no spans; texts are scanned whole and in linear time;
 equal rows give equal rows; an empty table gives an empty result; only doc_id and text are read.
@@ -113,13 +114,17 @@ CUES = {
     "token": "token", "secret": "token", "bearer": "token", "api": "token", "apikey": "token", "auth": "token",
     "akia": "key", "access": "key",
 }
-KEY_HEADS = ("AKIA", "ASIA", "ghp", "gho", "sk", "xox")
+KEY_HEADS = ("AKIA", "ASIA", "ghp", "gho", "sk", "xox", "eyJ")
+#: Characters of one value, as in UUIDs, base64 and web tokens, with the padding after it.
+RUN = re.compile(r"[^\s\"'`<>=:,;(){}\[\]]+(?:={1,2}(?![\w=]))?")
+#: A cue is looked for among so many tokens before a segment.
+CUE_REACH = 6
 
 
 class Window:
     """Tokens of a stretch of text with what segment features need."""
 
-    __slots__ = ("text", "tokens", "glued", "cue")
+    __slots__ = ("text", "tokens", "glued", "cue", "context")
 
     def __init__(self, text: str, start: int, end: int):
         self.text = text
@@ -127,11 +132,37 @@ class Window:
         #: token i follows the one before without white space
         self.glued = [i > 0 and self.tokens[i - 1][1] == s for i, (s, _) in enumerate(self.tokens)]
         self.cue = [CUES.get(text[s:e].lower(), "") for s, e in self.tokens]
+        #: the cue before each token, and whether an equal sign or colon stands between
+        self.context = [self.before(i) for i in range(len(self.tokens))]
+
+    def before(self, i: int) -> tuple[str, bool]:
+        equal = False
+        for back in range(i - 1, max(-1, i - CUE_REACH - 1), -1):
+            if self.cue[back]:
+                return self.cue[back], equal
+            s, e = self.tokens[back]
+            equal |= self.text[s:e] in "=:"
+            if e - s > 4:
+                break
+        return "", equal
 
     def candidates(self, max_tokens: int) -> dict[int, list[int]]:
-        """For each end the starts of candidate segments: unbroken, bounded, with a digit, six characters at least."""
+        """For each end the starts of candidate segments: unbroken, with a digit or after a cue, six characters at least; bounded or a whole run."""
         out: dict[int, list[int]] = {}
         n = len(self.tokens)
+        if n:
+            starts, ends = {s: i for i, (s, _) in enumerate(self.tokens)}, {e: i + 1 for i, (_, e) in enumerate(self.tokens)}
+            for m in RUN.finditer(self.text, self.tokens[0][0], self.tokens[-1][1]):
+                s, e = m.start(), m.end()
+                while s < e and not self.text[s].isalnum():
+                    s += 1
+                while s < e and not (self.text[e - 1].isalnum() or self.text[e - 1] == "="):
+                    e -= 1
+                i, j = starts.get(s), ends.get(e)
+                if i is None or j is None or e - s < 6 or not (self.context[i][0] or DIGIT.search(self.text, s, e)):
+                    continue
+                if j - i > max_tokens or self.text[e - 1] == "=":  # the others come below
+                    out.setdefault(j, []).append(i)
         for i in range(n):
             if not self.text[self.tokens[i][0]].isalnum():
                 continue
@@ -139,7 +170,7 @@ class Window:
                 if j > i + 1 and not self.glued[j - 1]:
                     break
                 s, e = self.tokens[i][0], self.tokens[j - 1][1]
-                if e - s >= 6 and self.text[e - 1].isalnum() and DIGIT.search(self.text, s, e):
+                if e - s >= 6 and self.text[e - 1].isalnum() and (self.context[i][0] or DIGIT.search(self.text, s, e)):
                     out.setdefault(j, []).append(i)
         return out
 
@@ -155,16 +186,7 @@ class Window:
         left = text[s - 1] if s else " "
         right = text[e] if e < len(text) else " "
         side = lambda c: "space" if c.isspace() else "quote" if c in "\"'`<>" else "equal" if c in "=:" else "stop" if c in ".,;!?)" else "other"
-        back, cue, equal = i - 1, "", False
-        while back >= 0 and back >= i - 4:
-            if self.cue[back]:
-                cue = self.cue[back]
-                break
-            piece = text[self.tokens[back][0] : self.tokens[back][1]]
-            equal |= piece in "=:"
-            if len(piece) > 4:
-                break
-            back -= 1
+        cue, equal = self.context[i]
         head = next((h for h in KEY_HEADS if value.startswith(h)), "")
         return [
             "bias", f"size:{size}", f"shape:{shape}", f"size:{size},shape:{shape}", f"digits:{min(4, 5 * digits // n)}", f"left:{side(left)}", f"right:{side(right)}",
@@ -306,20 +328,39 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[Span]]]:
             pass
         return x
 
+    def uuid():
+        return "-".join(pick(hexa, k, k) for k in (8, 4, 4, 4, 12))
+
+    def base64(a, b, signs="+/"):
+        ends = low + up + num
+        return pick(ends, 1, 1) + pick(ends * 3 + signs * 3, a, b) + pick(ends, 1, 1)
+
+    def jwt():
+        return "eyJ" + ".".join(base64(a, b, "-_") for a, b in ((20, 40), (30, 120), (30, 45)))
+
     entity = {
         "key": [
             ("", lambda: with_digit(lambda: r.choice(("AKIA", "ASIA")) + pick(up + num, 16, 16)), ""),
             ("", lambda: r.choice(("ghp_", "gho_")) + with_digit(lambda: pick(low + up + num, 36, 36)), ""),
             ("", lambda: r.choice(("sk-", "sk_")) + with_digit(lambda: pick(low + up + num, 24, 40)), ""),
         ],
-        "password": [(f"{c}{eq}", lambda: with_digit(lambda: pick(r.choice((hexa, low + num, low + up + num)), 6, 24)), "") for c in ("password", "passwd", "pwd", "Password") for eq in ("=", ": ", " = ")],
-        "token": [(f"{c}{eq}{q}", lambda: with_digit(lambda: pick(r.choice((hexa, hexa, low + up + num)), 20, 48)), q) for c in ("token", "secret", "api_key", "auth_token", "Token") for eq in (" = ", "=", ": ") for q in ('"', "'", "")],
-    }
+        "password": [(f"{c}{eq}{q}", make, q) for c in ("password", "passwd", "pwd", "Password") for eq in ("=", ": ", " = ") for q in ("", '"') for make in (
+            lambda: with_digit(lambda: pick(r.choice((hexa, low + num, low + up + num)), 6, 24)),
+            lambda: pick(r.choice((low, low + up)), 6, 24),
+            lambda: "-".join(pick(low, 3, 8) for _ in range(r.randint(2, 7))),
+        )],
+        "token": [(f"{c}{eq}{q}", make, q) for c in ("token", "secret", "api_key", "auth_token", "Token") for eq in (" = ", "=", ": ") for q in ('"', "'", "") for make in (
+            lambda: with_digit(lambda: pick(r.choice((hexa, hexa, low + up + num)), 20, 48)),
+            lambda: pick(low + up, 20, 48),
+            lambda: r.choice((uuid, jwt, lambda: base64(18, 80) + r.choice(("", "=", "=="))))(),
+        )] + [("", jwt, ""), ("Bearer ", jwt, "")],
+    }
     plain = [
         lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}.", lambda: str(r.randint(1900, 2100)), lambda: f"{r.randint(1, 999)},{pick(num, 3, 3)}.{pick(num, 2, 2)}", lambda: f"{pick(num, 4, 4)}-{pick(num, 2, 2)}-{pick(num, 2, 2)}",
         lambda: f"page={r.randint(1, 99)}", lambda: f"x = {r.randint(1, 99999)}", lambda: f"id={pick(num, 4, 9)}", lambda: f"utm_source={pick(low, 4, 9)}{pick(num, 0, 1)}", lambda: pick(up, 2, 5) + pick(num, 2, 4), lambda: pick(low, 3, 9) + pick(num, 1, 2),
         lambda: f"{pick(num, 3, 3)}-{pick(num, 4, 4)}", lambda: pick(num, 6, 20), lambda: f"{r.randint(256, 999)}.{r.randint(0, 999)}.{r.randint(0, 999)}.{r.randint(0, 999)}", lambda: f"https://{pick(low, 3, 8)}.example.com/{pick(low, 2, 6)}/{pick(num, 2, 6)}", lambda: f"version={r.randint(1, 9)}.{r.randint(0, 99)}.{r.randint(0, 9)}",
         lambda: f"{r.choice(('commit', 'build', 'sha', 'md5'))} {pick(hexa, 7, 40)}", lambda: f"{pick(low, 3, 7)}={pick(low, 3, 12)}", lambda: f"key {r.randint(1, 9)} of {r.randint(10, 99)}", lambda: f"token {r.randint(1, 9999)}", lambda: f"ISO-{pick(num, 4, 5)}",
+        uuid, lambda: f"{r.choice(('request', 'trace', 'id:'))} {uuid()}", lambda: f"{r.choice(list(CUES))} {pick(low, 2, 12)}", lambda: f"{r.choice(list(CUES))} {pick(low, 2, 9)} {pick(low, 2, 9)}", lambda: f"{pick(low, 3, 8)}-{pick(low, 3, 8)}-{pick(num, 1, 4)}.{pick(low, 2, 4)}",
     ]
     out = []
     for _ in range(n):
@@ -341,11 +382,15 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[Span]]]:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 500, max_tokens: int = 8) -> SemiCrf:
+def trained(n: int = 800, max_tokens: int = 8) -> SemiCrf:
     return SemiCrf(max_tokens).fit(sentences(n, seed=11))
 
 
+CUE = re.compile(rf"(?<![^\W_])(?:{'|'.join(sorted(CUES, key=len, reverse=True))})(?![^\W_])", re.IGNORECASE)
+#: What may stand between a cue and its value: more of a name, quotes, an equal sign or colon.
+LINK = re.compile(r"(?:[_-][^\W_]{1,16}){0,3}[\"'`]?[ \t]{0,4}(?:[=:]>?[ \t]{0,4})?[\"'`]?")
 TRIGGER = re.compile(r"[0-9]")
+TRIGGER_OR_CUE = re.compile(f"[0-9]|{CUE.pattern}", re.IGNORECASE)
 SPACE = re.compile(r"\s")
 #: A window takes at most so many characters before and after the piece that holds the trigger.
 REACH = 24
@@ -354,10 +399,13 @@ LONGEST = 4000
 
 
 def windows(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """Stretches around pieces of eight or more characters that hold a digit, clear of taken spans."""
+    """Stretches around pieces of six or more characters that hold a digit or a cue, with the value after a cue, clear of taken spans."""
     at, k, size = 0, 0, len(text)
     blocked = sorted((s, e) for _, s, e in taken)
-    m = TRIGGER.search(text)
+    folded = text.lower()
+    cued = any(c in folded for c in CUES)
+    trigger = TRIGGER_OR_CUE if cued else TRIGGER
+    m = trigger.search(text)
     while m:
         p = m.start()
         while k < len(blocked) and blocked[k][1] <= p:
@@ -365,19 +413,26 @@ def windows(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
             k += 1
         if k < len(blocked) and blocked[k][0] <= p:
             at = blocked[k][1]
-            m = TRIGGER.search(text, at)
+            m = trigger.search(text, at)
             continue
         limit = blocked[k][0] if k < len(blocked) else size
         low = max(at, *(text.rfind(c, at, p) + 1 for c in " \n\t\r"))
         stop = SPACE.search(text, p, limit)
         end = min(stop.start() if stop else limit, max(p, low) + LONGEST)
+        cue = CUE.search(text, p, end) if cued else None
+        while cue and end - low < LONGEST:  # on to the end of the value, which may hold or precede another cue
+            value = LINK.match(text, cue.end(), limit).end()
+            if value >= end:
+                stop = SPACE.search(text, value, limit)
+                end = min(stop.start() if stop else limit, value + LONGEST)
+            cue = CUE.search(text, cue.end(), end)
         if end - low >= 6:
             first = max(at, low - REACH)
             if first > at and (gap := SPACE.search(text, first, low)):
                 first = gap.start()
             yield first, end
         at = end
-        m = TRIGGER.search(text, max(end, p + 1))
+        m = trigger.search(text, max(end, p + 1))
 
 
 def find_spans(text: str | None, model: SemiCrf) -> tuple[list[Span], list[Span]]:
