@@ -5,7 +5,8 @@ dealt by hash to shards of bounded size, and each shard is packed by itself: pie
 size, each put into the tightest bin that can take it. Bins stand ordered by residual space; each
 carries a bitmap of its sources and one of its duplicate clusters. A piece fits a bin with enough
 space that holds neither its source nor its cluster; the successor search goes on from the first
-residual of enough space upwards until such a bin is found, or opens a new bin.
+residual of enough space upwards until such a bin is found, or opens a new bin. Clusters are
+exact copies, letter case and white space aside, unless those of near copies (near_clusters) are given.
 
 A source that holds most documents thus gets one piece per bin, and bins are at least as many as
 its pieces. Defined results: every word is placed once, a document without words as one piece of
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_text
 from .common import materialize, word_count
 
 CAPACITY = 2048
@@ -101,13 +103,24 @@ def bits(values: list, lonely: bool) -> list[int]:
 OUT = "bin_id long, slot int, doc_id {0}, piece int, start_word long, n_words long, source string, cluster long, bin_words long"
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """One row per piece: bin_id, slot in the bin, doc_id, piece, start_word, n_words, source, cluster, and the words in the bin."""
+def near_clusters(docs: DataFrame) -> DataFrame:
+    """(copies, near): for each cluster of copies the smallest one of its component of near copies."""
+    texts = docs.select(same_text(F.col("text")).alias("doc_id"), F.lower("text").alias("text")).dropDuplicates(["doc_id"])
+    return near_text.near_duplicates(texts).select(F.col("doc_id").alias("copies"), F.col("component_id").alias("near"))
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, clusters: DataFrame | None = None) -> DataFrame:
+    """One row per piece: bin_id, slot in the bin, doc_id, piece, start_word, n_words, source, cluster, and the words in the bin.
+
+    clusters, if given, is (copies, near) as near_clusters makes it.
+    """
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("words"), same_text(F.col("text")).alias("cluster"))
     last = F.greatest(F.ceil(F.col("words") / capacity), F.lit(1)).cast("int") - 1
     pieces = sized.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * capacity
     pieces = pieces.select("doc_id", "piece", start.alias("start_word"), F.least(F.col("words") - start, F.lit(capacity)).alias("n_words"), "source", "cluster")
+    if clusters is not None:
+        pieces = pieces.join(clusters, F.col("cluster") == F.col("copies"), "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("copies", "near")
     pieces = materialize(pieces, "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_words", "cluster"), F.lit(shards)))

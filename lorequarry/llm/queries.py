@@ -58,7 +58,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, clusters=packing.near_clusters(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
