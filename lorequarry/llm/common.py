@@ -45,7 +45,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing reads any more."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def named(column: str) -> Column:
+    """A column by its name, whatever signs the name has."""
+    return F.col("`" + column.replace("`", "``") + "`").alias(column)
 
 
 def release_memory() -> None:
@@ -80,7 +103,8 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
         small = large.join(floor, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
-        pairs = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
+        before, pairs = pairs, materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
+        discard(before)
         ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         unsettled = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or (below > 0 and above > 0)")
         if unsettled.isEmpty():

@@ -93,15 +93,16 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 WITH lines AS (
     SELECT doc_id, i - 1 AS line_no, parts[i] AS raw, trim(parts[i], ' ' || chr(9) || chr(13)) AS line
     FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
-), counted AS (SELECT * FROM lines WHERE length(line) >= 20
+), counted AS (SELECT * FROM lines WHERE line <> ''
 ), firsts AS (
     SELECT line, length(line) AS n, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS place FROM counted GROUP BY line
+), long AS (SELECT * FROM firsts WHERE n >= 20
 ), halves AS (
-    SELECT line, n, place, n AS ref, 'l' AS side, left(line, n // 2) AS part FROM firsts
-    UNION ALL SELECT line, n, place, n, 'r', right(line, n - n // 2) FROM firsts
+    SELECT line, n, place, n AS ref, 'l' AS side, left(line, n // 2) AS part FROM long
+    UNION ALL SELECT line, n, place, n, 'r', right(line, n - n // 2) FROM long
 ), probes AS (
-    SELECT line, n, place, n - 1 AS ref, 'l' AS side, left(line, (n - 1) // 2) AS part FROM firsts
-    UNION ALL SELECT line, n, place, n - 1, 'r', right(line, n - 1 - (n - 1) // 2) FROM firsts
+    SELECT line, n, place, n - 1 AS ref, 'l' AS side, left(line, (n - 1) // 2) AS part FROM long
+    UNION ALL SELECT line, n, place, n - 1, 'r', right(line, n - 1 - (n - 1) // 2) FROM long
     UNION ALL SELECT * FROM halves
 ), late AS (
     SELECT DISTINCT CASE WHEN a.place < b.place THEN b.place ELSE a.place END AS place
