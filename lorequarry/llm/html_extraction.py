@@ -1,8 +1,10 @@
 """Main-text extraction from HTML pages with two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides each block from its own
-figures (stop-word density, length, link density) and from the containers around it.
-Pass two lets the ambiguous short blocks inherit the label of the nearest decided neighbours.
+A page is cut into blocks at block-level tags. Pass one classifies each block by its own figures:
+link density, length and stop-word density. Pass two lets the ambiguous blocks (short ones, those of middling
+figures) inherit the label of the nearest decided neighbours, those of their own container first.
+Containers only speak against: what stands in a menu, footer, form and the like is bad, as is what stands
+outside the page's surest container of an article, where there is one; inside it a block isn't bad for its figures alone.
 
 Defined results: a null or empty page, and a page without article text, give the empty string;
 pages of any length are read whole; unclosed and stray tags never fail; rows repeat in the
@@ -26,6 +28,8 @@ BLOCK_TAGS = frozenset(
     " option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that are a block each rather than hold several.
+LEAF_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption summary legend pre".split())
 RAW_TAGS = frozenset("script style template textarea title noframes noembed iframe xmp svg math object audio video canvas".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is never main text, whatever stands in it.
@@ -74,8 +78,9 @@ class Rules:
 
     short_chars: int = 70
     long_chars: int = 200
-    stop_low: float = 0.30
-    stop_high: float = 0.32
+    #: for the few dozen stop words a language has here
+    stop_low: float = 0.05
+    stop_high: float = 0.15
     max_link_density: float = 0.33
     heading_reach: int = 200
 
@@ -89,8 +94,12 @@ class Block:
     heading: bool = False
     boilerplate: bool = False
     level: int = 0
+    #: number of the nearest open element that holds several blocks
+    container: int = 0
     text: str = ""
     label: str = ""
+    #: what gave the label: container, links, stop words, neighbours or, where no block of the article is decided, nothing against it
+    rule: str = ""
 
 
 @dataclass(frozen=True)
@@ -132,9 +141,9 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, each with what its containers say of it."""
     out: list[Block] = []
     block = Block()
-    #: open elements: name, boilerplate here or above, how surely the article here or above
-    stack: list[tuple[str, bool, int]] = []
-    at, links = 0, 0
+    #: open elements: name, boilerplate here or above, how surely the article here or above, number
+    stack: list[tuple[str, bool, int, int]] = []
+    at, links, opened = 0, 0, 0
     size = len(page)
 
     def say(text: str) -> None:
@@ -150,8 +159,9 @@ def blocks_of(page: str) -> list[Block]:
         if block.parts:
             block.text = " ".join("".join(block.parts).split())
             if block.text:
-                top = stack[-1] if stack else ("", False, 0)
+                top = stack[-1] if stack else ("", False, 0, 0)
                 block.boilerplate, block.level = top[1], top[2]
+                block.container = next((x[3] for x in reversed(stack) if x[0] in BLOCK_TAGS and x[0] not in LEAF_TAGS), 0)
                 block.heading = any(x[0] in HEADINGS for x in stack[-3:])
                 out.append(block)
         block = Block()
@@ -200,80 +210,90 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             if name in ("li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] in ({name} | {"dt": {"dd"}, "dd": {"dt"}, "td": {"th"}, "th": {"td"}}.get(name, set())):
                 stack.pop()
-        _, bad, level = stack[-1] if stack else ("", False, 0)
+        _, bad, level, _ = stack[-1] if stack else ("", False, 0, 0)
         m = marks(name, rest, level)
         if is_block or m.hidden:  # other inline text belongs to its block
-            stack.append((name, bad or m.bad or m.hidden, max(level, m.level)))
+            opened += 1
+            stack.append((name, bad or m.bad or m.hidden, max(level, m.level), opened))
     end()
     return out
 
 
-def decide(block: Block, rules: Rules, level: int) -> str:
-    """Pass one: the label of a block by itself, on a page whose surest container of the article has a level."""
+def decide(block: Block, rules: Rules, level: int) -> tuple[str, str]:
+    """Pass one: the label of a block by itself, and the rule that gave it, on a page whose surest container of the article has a level."""
     text = block.text
-    density = block.link_chars / max(1, len(text.replace(" ", "")))
     if block.boilerplate or block.level < level:
-        return BAD
+        return BAD, "container"
+    doubt = NEAR if block.level else BAD
+    if block.link_chars > rules.max_link_density * len(text.replace(" ", "")):
+        return doubt, "links"
+    if len(text) < rules.short_chars:
+        return (doubt, "links") if block.link_chars else (SHORT, "")
     words = WORDS.findall(text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if block.level:
-        # the page itself says that this is the article: only link lists stay in doubt
-        return NEAR if density > rules.max_link_density else GOOD
-    if density > rules.max_link_density:
-        return BAD
-    if len(text) < rules.short_chars:
-        return BAD if block.link_chars else SHORT
-    if stop >= rules.stop_high:
-        return GOOD if len(text) > rules.long_chars else NEAR
-    return NEAR if stop >= rules.stop_low else BAD
-
-
-def settle(blocks: list[Block], rules: Rules) -> None:
-    """Pass two: ambiguous blocks take the label of the nearest decided neighbours."""
-    n = len(blocks)
-    before: list[int | None] = [None] * n
-    after: list[int | None] = [None] * n
-    last = None
-    for i in range(n):
-        before[i] = last
-        last = i if blocks[i].label in (GOOD, BAD) else last
-    last = None
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = i if blocks[i].label in (GOOD, BAD) else last
+    if len(text) <= rules.long_chars:
+        return (NEAR if stop >= rules.stop_high else SHORT), ""
+    return (GOOD if stop >= rules.stop_high else NEAR if stop >= rules.stop_low else doubt), "stop words"
+
+
+def nearest(first: list[str], groups: list[int]) -> list[tuple[int | None, int | None]]:
+    """For each block the nearest decided ones before and after it in its group."""
+    out: list[list[int | None]] = [[None, None] for _ in first]
+    for side, order in ((0, range(len(first))), (1, range(len(first) - 1, -1, -1))):
+        last: dict[int, int] = {}
+        for i in order:
+            out[i][side] = last.get(groups[i])
+            if first[i] in (GOOD, BAD):
+                last[groups[i]] = i
+    return [(a, b) for a, b in out]
+
+
+def settle(blocks: list[Block], rules: Rules, level: int) -> None:
+    """Pass two: ambiguous blocks take the label of the nearest decided neighbours: of their container, else of the article, else of the page."""
     first = [b.label for b in blocks]
+    inside = [int(not b.boilerplate and b.level >= level) for b in blocks]
+    kin = nearest(first, [b.container if inside[i] else -1 for i, b in enumerate(blocks)])
+    article, page = nearest(first, inside), nearest(first, [0] * len(blocks))
     for i, b in enumerate(blocks):
         if first[i] in (GOOD, BAD):
             continue
-        left, right = before[i], after[i]
-        left_label = first[left] if left is not None else BAD
-        right_label = first[right] if right is not None else BAD
-        if left_label == right_label:
-            b.label = left_label
+        b.rule = "neighbours"
+        left, right = next((x for x in (kin[i], article[i]) if x != (None, None)), page[i])
+        if level and (kin[i], article[i]) == ((None, None), (None, None)):
+            b.label, b.rule = GOOD, "nothing against"
+            continue
+        labels = {first[x] for x in (left, right) if x is not None}
+        if len(labels) == 1:
+            b.label = labels.pop()
+        elif not labels:
+            b.label = BAD
         elif first[i] == NEAR:
             b.label = GOOD
-        elif b.heading and right_label == GOOD and sum(len(x.text) for x in blocks[i + 1 : right]) <= rules.heading_reach:
+        elif b.heading and first[right] == GOOD and sum(len(x.text) for x in blocks[i + 1 : right]) <= rules.heading_reach:
             b.label = GOOD
         else:
-            near_left = left is not None and (right is None or i - left < right - i)
-            b.label = left_label if near_left else right_label if right is not None and (left is None or right - i < i - left) else BAD
+            # of two as near as each other, the one that speaks against
+            b.label = first[left] if i - left < right - i else first[right] if right - i < i - left else BAD
     if all(b.label == BAD for b in blocks):
-        # a page of short blocks only: what no rule speaks against
+        # a page without a decided block of text: what no rule of pass one speaks against
         for i, b in enumerate(blocks):
-            if first[i] == NEAR:
-                b.label = GOOD
+            if first[i] != BAD:
+                b.label, b.rule = GOOD, "nothing against"
 
 
-def extract(page: str | None, rules: Rules = Rules()) -> str:
-    """The main text of one page: its good blocks, joined by an empty line."""
-    if not page:
-        return ""
+def labelled(page: str, rules: Rules = Rules()) -> list[Block]:
+    """The blocks of a page with their labels, and the rules that gave them."""
     blocks = blocks_of(page)
     level = max((b.level for b in blocks if not b.boilerplate), default=0)
     for b in blocks:
-        b.label = decide(b, rules, level)
-    settle(blocks, rules)
-    return "\n\n".join(b.text for b in blocks if b.label == GOOD)
+        b.label, b.rule = decide(b, rules, level)
+    settle(blocks, rules, level)
+    return blocks
+
+
+def extract(page: str | None, rules: Rules = Rules()) -> str:
+    """The main text of one page: its good blocks, joined by an empty line."""
+    return "\n\n".join(b.text for b in labelled(page, rules) if b.label == GOOD) if page else ""
 
 
 def extract_main_text(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
