@@ -116,14 +116,27 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
 
 
 def bounded_sample(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
-    """At most n rows of each label, those with the smallest hashes of key.
+    """(label, key): at most n different keys of each label, those with the smallest hashes.
 
-    The rows are thinned by hash to about 3n of each label before they are ranked, so that what
-    a task ranks doesn't grow with the input. Labels with up to 3n rows are ranked whole.
+    Keys are thinned by hash to about 3n of each label before they are ranked, so that what a task
+    ranks doesn't grow with the input. Labels with up to 2n keys are ranked whole.
     """
-    sizes = rows.groupBy(label).agg(F.count("*").alias("_rows")).withColumnRenamed(label, "_label")
+    pairs = rows.select(label, key)
+    # within 5 hundredths, mostly
+    sizes = pairs.groupBy(label).agg(F.approx_count_distinct(key).alias("_keys"))
     span = 1 << 40
-    near = F.pmod(F.xxhash64(F.col(key)), F.lit(span)) < F.lit(3.0 * n * span) / F.col("_rows")
-    thin = rows.join(sizes, rows[label] == sizes["_label"]).filter(near).drop("_label", "_rows")
+    near = F.pmod(F.xxhash64(F.col(key)), F.lit(span)) < F.lit(3.0 * n * span) / F.col("_keys")
+    thin = pairs.join(sizes, label).filter(near).select(label, key).distinct()
     order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
     return thin.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def sampled_texts(docs: DataFrame, ids: DataFrame, label: str, n: int) -> DataFrame:
+    """(label, text): at most n different rows (doc_id, text) of each label, among the rows of docs with the ids of (label, doc_id).
+
+    Rows are chosen by what they hold, as an id may stand for any number of them. ids has at
+    most n rows of each label, so it is broadcast. docs has a column label, or ids gives it.
+    """
+    rows = docs.join(F.broadcast(ids), [c for c in ids.columns if c in docs.columns]).select(label, "text", F.xxhash64("doc_id", "text").alias("row"))
+    picked = bounded_sample(rows, label, "row", n)
+    return rows.join(F.broadcast(picked), [label, "row"]).dropDuplicates([label, "row"]).select(label, "text")

@@ -2,8 +2,9 @@
 
 A multiclass linear support vector machine over hashed byte trigrams picks the language family;
 inside a family one-versus-one linear machines vote between the closely related languages.
-All machines are learned from a bounded sample of the labelled rows (`per_language` rows of each
-language, chosen by a hash of doc_id); every text is predicted from the whole of it.
+All machines are learned from a bounded sample of the labelled rows (`per_language` of each language:
+so many ids by a hash, and so many different rows of those by a hash of what they hold); every
+text is predicted from the whole of it.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any labelled
 row every text is; a single learned language is predicted with score 1; equal rows give equal
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, sampled_texts
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -128,13 +129,12 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 def learn(labelled: DataFrame, per_language: int = 600) -> LanguageModel:
     """A model of labelled (doc_id, text, lang): at most per_language rows of each language go to the driver, as trigram vectors."""
-    ids = bounded_sample(labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang"), "lang", "doc_id", per_language).select("doc_id").distinct()
-    # no more ids than vectors that the driver is about to hold
-    rows = labelled.filter("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang", "text")
+    rows = sampled_texts(rows, bounded_sample(rows, "lang", "doc_id", per_language), "lang", per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(lang.as_py(), features(t)) for lang, x in zip(batch.column(1), batch.column(2)) if has_letter(t := x.as_py())]
+            kept = [(lang.as_py(), features(t)) for lang, x in zip(*batch.columns) if has_letter(t := x.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([v.tobytes() for _, v in kept], pa.binary())], ["lang", "x"])
 
     got = sorted((r["lang"], bytes(r["x"])) for r in rows.mapInArrow(run, "lang string, x binary").collect())

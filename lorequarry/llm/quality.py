@@ -2,14 +2,16 @@
 
 Each document has a strength linear in features of its whole text. Strengths are learned from
 preference pairs (a document marked 1 over one marked 0) by the logistic loss on the difference
-of their features, from a bounded sample of the labelled rows (`per_label` of each label, chosen
-by a hash of doc_id). Documents are then accepted above a quantile of the strengths; the quantile
+of their features, from a bounded sample of the labelled rows (`per_label` of each label: so many
+ids by a hash, and so many different rows of those by a hash of what they hold). Documents are
+then accepted above a quantile of the strengths; the quantile
 is the one that agrees best with the sample's labels. The score maps the accepting strength to
 `accept_at`.
 
 Defined results: null counts as the empty text, which has a score like any other; without rows of
 both labels the strength is the same for all and every document is accepted; equal rows give
-equal rows; empty tables give an empty result; only doc_id, text and quality are read.
+equal rows; empty tables give an empty result; only doc_id, text and quality are read; columns named score or
+predicted are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, release_memory
+from .common import bounded_sample, release_memory, sampled_texts
 from .html_extraction import STOP_WORDS
 from .language_id import remainder
 
@@ -117,13 +119,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> QualityM
     A document with several labels counts with the highest.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = bounded_sample(known, "quality", "doc_id", per_label)
-    # 2 * per_label rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "doc_id", "text")
+    rows = sampled_texts(docs.select("doc_id", "text"), bounded_sample(known, "quality", "doc_id", per_label), "quality", per_label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [measures(v.as_py()).tobytes() for v in batch.column(2)]
+            x = [measures(v.as_py()).tobytes() for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary())], ["quality", "x"])
 
     got = sorted((r["quality"], bytes(r["x"])) for r in rows.mapInArrow(run, "quality int, x binary").collect())
