@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 MATRIX_QUERIES = 8192
 #: Rows of a block where queries and corpus meet block by block.
 BLOCK = 2048
-LANES = 64
+#: Pairs of blocks that a task scores, about.
+BLOCK_PAIRS = 16
+#: Scores that a task holds at once.
+CELLS = 1 << 22
 #: Scores are rounded to this many decimals, so that engines agree on ties.
 DIGITS = 6
 
@@ -31,78 +35,147 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def _unit(values) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a direction: their positions and their unit vectors."""
-    width = max((len(v) for v in values if v is not None), default=0)
-    at = [i for i, v in enumerate(values) if v is not None and len(v) == width and width and None not in v]
-    x = np.array([values[i] for i in at], float).reshape(len(at), width)
-    n = np.sqrt((x * x).sum(1))
-    keep = (n > 0) & np.isfinite(n)
-    return np.array(at, int)[keep], x[keep] / n[keep, None]
-
-
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, skip_self: bool) -> Iterator[pa.RecordBatch]:
-    """For each query its k best rows of x, ties to the smaller id."""
-    if not len(q_ids) or not len(ids) or q.shape[1] != x.shape[1]:
-        return
-    scores = np.round(q @ x.T, DIGITS) + 0.0
-    if skip_self:
-        scores[q_ids[:, None] == ids[None, :]] = -np.inf
-    out = []
-    for i in range(len(q_ids)):
-        row = scores[i]
-        some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
-        some = some[row[some] > -np.inf]
-        top = some[np.lexsort((ids[some], -row[some]))[:k]]
-        out.append((np.full(len(top), q_ids[i]), ids[top], row[top]))
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "id", "score"])
+def units(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Positions and unit vectors of a list column's rows by their width; rows without a direction (null, empty, zero, with null or non-finite parts) are left out."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    widths = np.where(column.is_valid().to_numpy(False), pc.fill_null(column.value_lengths(), 0).to_numpy(False), 0)
+    flat = column.flatten().cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)  # nulls become NaN
+    starts = np.cumsum(widths) - widths
+    out = {}
+    for width in np.unique(widths[widths > 0]).tolist():
+        at = np.flatnonzero(widths == width)
+        x = flat[starts[at][:, None] + np.arange(width)]
+        most = np.abs(x).max(1)
+        keep = np.isfinite(most) & (most > 0)
+        x = x[keep] / most[keep, None]
+        out[width] = at[keep], x / np.sqrt((x * x).sum(1))[:, None]
+    return out
+
+
+class Best:
+    """The k corpus rows of highest score for each query of a matrix, over any number of corpus matrices; ties go to the smaller id."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool):
+        self.q_ids, self.q, self.k, self.skip_self = q_ids, q, k, skip_self
+        self.bound = np.full(len(q_ids), -np.inf)
+        self.found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        step = max(64, CELLS // max(1, len(self.q_ids)))
+        for at in range(0, len(ids) if len(self.q_ids) else 0, step):
+            some = ids[at : at + step]
+            scores = np.round(self.q @ x[at : at + step].T, DIGITS) + 0.0
+            if self.skip_self:
+                own = np.flatnonzero(np.isin(some, self.q_ids))
+                scores[:, own] = np.where(self.q_ids[:, None] == some[own], -np.inf, scores[:, own])
+            bound = self.bound
+            if len(some) > self.k:
+                bound = np.maximum(bound, np.partition(scores, len(some) - self.k, axis=1)[:, len(some) - self.k])
+            rows, columns = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
+            self.waiting.append((rows, some[columns], scores[rows, columns]))
+            self.n_waiting += len(rows)
+            if self.n_waiting > CELLS:
+                self.settle()
+
+    def settle(self) -> None:
+        row, ids, scores = (np.concatenate(c) for c in zip(self.found, *self.waiting))
+        order = np.lexsort((ids, -scores, row))
+        row, ids, scores = row[order], ids[order], scores[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.bound[row[last]] = scores[last]
+        keep = place < self.k
+        self.found, self.waiting, self.n_waiting = (row[keep], ids[keep], scores[keep]), [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self.settle()
+        row, ids, scores = self.found
+        return pa.RecordBatch.from_arrays([pa.array(self.q_ids[row]), pa.array(ids), pa.array(scores)], ["query_id", "id", "score"])
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the k corpus vectors of highest cosine for every query, ties to the smaller id.
 
-    queries is (query_id, embedding) and corpus (id, embedding). A query set of bounded size goes
-    to every task as one matrix and the corpus isn't shuffled; a larger one meets the corpus
+    queries is (query_id, embedding) and corpus (id, embedding); only vectors of equal width meet. A query set of
+    bounded size goes to every task as matrices and the corpus isn't shuffled; a larger one meets the corpus
     block by block. Either way a task keeps k rows per query and the global ranking reads those.
+    Rows without an id or a direction (null, empty, zero, with null or non-finite parts) take no part.
     """
-    queries = queries.select(F.col("query_id").cast("long"), "embedding")
-    corpus = corpus.select(F.col("id").cast("long"), "embedding")
+    queries = queries.select(F.col("query_id").cast("long"), "embedding").filter("query_id is not null and embedding is not null")
+    corpus = corpus.select(F.col("id").cast("long"), "embedding").filter("id is not null and embedding is not null")
     head = queries.limit(MATRIX_QUERIES + 1).toArrow()
     if head.num_rows <= MATRIX_QUERIES:
-        at, q = _unit(head.column(1).to_pylist())
-        q_ids = head.column(0).to_numpy()[at]
+        ids = head.column(0).to_numpy()
+        asked = {width: (ids[at], x) for width, (at, x) in units(head.column(1)).items()}
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {width: Best(*q, k, skip_self) for width, q in asked.items()}
             for batch in batches:
-                at, x = _unit(batch.column(1).to_pylist())
-                yield from _best(q_ids, q, batch.column(0).to_numpy(zero_copy_only=False)[at], x, k, skip_self)
+                for width, (at, x) in units(batch.column(1)).items():
+                    if width in best:
+                        best[width].meet(batch.column(0).to_numpy(zero_copy_only=False)[at], x)
+            yield from (b.rows() for b in best.values())
 
-        found = corpus.filter("id is not null and embedding is not null").mapInArrow(local, "query_id long, id long, score double")
+        found = corpus.mapInArrow(local, "query_id long, id long, score double")
     else:
         found = _blockwise(queries, corpus, k, skip_self)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _blocks(df: DataFrame, id_column: str, name: str) -> DataFrame:
-    """Rows gathered by hash into blocks of about BLOCK."""
-    count = df.count()
-    block = F.pmod(F.xxhash64(id_column), F.lit(max(1, count // BLOCK))).alias("block")
-    return df.filter(F.col(id_column).isNotNull() & F.col("embedding").isNotNull()).groupBy(block).agg(F.collect_list(F.struct(F.col(id_column).alias("id"), "embedding")).alias(name))
+def grid(rows: int, columns: int, cells: int) -> tuple[int, int]:
+    """Into how many lanes rows and columns of blocks are dealt, so that a pair of lanes is about `cells` block pairs and least is copied.
+
+    Rows are copied to every lane of columns and columns to every lane of rows.
+    """
+    rows, columns = max(1, rows), max(1, columns)
+    tasks = max(1.0, rows * columns / cells)
+    a = min(rows, max(1, round((tasks * rows / columns) ** 0.5)))
+    return a, min(columns, max(1, round(tasks / a)))
+
+
+def _blocks(df: DataFrame, id_column: str) -> DataFrame:
+    """(width, ids, matrix): the unit vectors of each partition in blocks of up to BLOCK rows of one width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def block(width: int) -> pa.RecordBatch:
+            ids, x = (np.concatenate(c) for c in zip(*held.pop(width)))
+            return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["width", "ids", "matrix"])
+
+        for batch in batches:
+            for width, (at, x) in units(batch.column(1)).items():
+                ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
+                for i in range(0, len(ids), BLOCK):
+                    held.setdefault(width, []).append((ids[i : i + BLOCK], x[i : i + BLOCK]))
+                    if sum(len(v) for v, _ in held[width]) >= BLOCK:
+                        yield block(width)
+        for width in list(held):
+            yield block(width)
+
+    # in a fixed order, so that a lost task makes the same blocks again
+    return df.sortWithinPartitions(id_column, "embedding").mapInArrow(run, "width int, ids binary, matrix binary")
 
 
 def _blockwise(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    asked = _blocks(queries, "query_id", "q").select("q", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"))
-    rows = _blocks(corpus, "id", "x").select("x", F.pmod("block", F.lit(LANES)).cast("int").alias("lane"))
+    n_q, n_x = (df.count() // BLOCK + df.rdd.getNumPartitions() for df in (queries, corpus))
+    q_lanes, x_lanes = grid(n_q, n_x, BLOCK_PAIRS)
+    lane = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = _blocks(queries, "query_id").select("width", F.col("ids").alias("q_ids"), F.col("matrix").alias("q"), lane(q_lanes).alias("i"), every(x_lanes).alias("j"))
+    rows = _blocks(corpus, "id").select("width", "ids", "matrix", lane(x_lanes).alias("j"), every(q_lanes).alias("i"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                q_at, q = _unit([r["embedding"] for r in row["q"]])
-                x_at, x = _unit([r["embedding"] for r in row["x"]])
-                yield from _best(np.array([r["id"] for r in row["q"]], np.int64)[q_at], q, np.array([r["id"] for r in row["x"]], np.int64)[x_at], x, k, skip_self)
+            for width, q_ids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns)):
+                best = Best(np.frombuffer(q_ids, np.int64), np.frombuffer(q).reshape(-1, width), k, skip_self)
+                best.meet(np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, width))
+                yield best.rows()
 
-    return asked.join(rows, "lane").select("q", "x").mapInArrow(local, "query_id long, id long, score double")
+    return asked.join(rows, ["width", "i", "j"]).select("width", "q_ids", "q", "ids", "matrix").mapInArrow(local, "query_id long, id long, score double")
 
 
 def drift(vectors: DataFrame, group: str) -> DataFrame:

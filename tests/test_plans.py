@@ -94,6 +94,32 @@ def test_knn_paths_agree(spark, monkeypatch):
         assert [i for a, i, _, _ in sorted((t for t in one if t[0] == q), key=lambda t: t[3])] == want
 
 
+def test_knn_of_mixed_widths(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in r.normal(size=2 + i % 3)]) for i in range(90)]
+    rows += [(100, None), (101, []), (102, [0.0, 0.0]), (103, [1.0, None]), (104, [float("nan"), 1.0]), (105, [float("inf"), 1.0]), (106, [1e300, 1e300]), (None, [1.0, 1.0]), (3, [0.5, 0.5])]
+    queries = [(7, [1.0, 1.0]), (8, [1.0, 0.0, 0.0]), (9, None), (10, [1.0, None]), (11, [0.0, 0.0]), (None, [1.0, 1.0]), (12, [1.0] * 9)]
+    asked = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    want = []
+    for q, a in ((7, [1.0, 1.0]), (8, [1.0, 0.0, 0.0])):
+        hits = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and len(v) == len(a) and np.isfinite(v).all() and any(v)]
+        scored = [(-round(float(v / np.abs(v).max() @ a / np.linalg.norm(v / np.abs(v).max()) / np.linalg.norm(a)), 6) + 0.0, i) for i, v in hits]
+        want += [(q, i, -s, rank) for rank, (s, i) in enumerate(sorted(scored)[:5], 1)]
+    for queries_at_once in (100, 2):
+        monkeypatch.setattr(vector, "MATRIX_QUERIES", queries_at_once)
+        for parts, order in ((1, rows), (7, rows[::-1])):
+            corpus = spark.createDataFrame(order, "id long, embedding array<double>").repartition(parts)
+            got = sorted(map(tuple, vector.knn(asked, corpus, 5).select("query_id", "id", "score", "rank").collect()), key=lambda t: (t[0], t[3]))
+            assert [(a, b, round(c, 6), d) for a, b, c, d in got] == [(a, b, round(c, 6), d) for a, b, c, d in want]
+
+
+def test_lanes_grow_with_the_blocks():
+    assert vector.grid(0, 0, 16) == (1, 1) and vector.grid(4, 4, 16) == (1, 1)
+    for rows, columns in ((4, 10**6), (1000, 1000), (10**4, 3)):
+        a, b = vector.grid(rows, columns, 16)
+        assert 1 <= a <= rows and 1 <= b <= columns and 8 <= rows * columns / (a * b) <= 32
+
+
 def test_gate(spark):
     m = lambda *v: spark.createDataFrame(list(zip(evaluate.TOLERANCES, v)), "metric string, value double")
     base = m(0.9, 0.9, 0.9, 0.1)
