@@ -271,3 +271,19 @@ def test_traces_and_caches(spark, corpus):
     with pytest.raises(ValueError):
         run.tenant_only(same, "")
     assert run.hypothetical(same, lambda q: F.lit(None).cast("string")).count() == 2
+
+
+def test_breadcrumbs_of_deep_trees_cycles_and_repeats(spark):
+    rows = [(i, i - 1 if i else None, f"n{i}") for i in range(300)]  # a chain
+    rows += [(1000, 1001, "a"), (1001, 1002, "b"), (1002, 1000, "c"), (1003, 1000, "d"), (1004, 1004, "e"), (1005, 9999, "f"), (1006, 1005, None), (1005, 9999, "f"), (None, 1, "x")]
+    rows += [(2000 + i, i % 7, None) for i in range(500)]
+    parent = {i: (p, n) for i, p, n in rows if i is not None}
+    got = {r.id: r.breadcrumb for r in hierarchy.breadcrumbs(spark.createDataFrame(rows, "id long, parent_id long, name string")).collect()}
+    assert got.keys() == parent.keys()
+    for i in parent:
+        path, at = [], i
+        while at in parent and at not in path:
+            path.append(at)
+            at = parent[at][0]
+        assert got[i] == [parent[x][1] for x in reversed(path)], i
+    assert hierarchy.breadcrumbs(spark.createDataFrame([], "id long, parent_id long, name string")).collect() == []
