@@ -1,17 +1,17 @@
-"""Helpers shared by the training-data operators: table access, shared storage, link components."""
+"""Helpers shared by the training-data operators: table access, samples, link components."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize
+
 #: White space and words as the contracts define them (ASCII white space only).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -21,43 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors that the cluster names in spark.checkpoint.dir.
-
-    Only where the setting is absent (tests, local mode) a temporary folder is used instead.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="checkpoint-")
-    sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage at stored files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    stored.stored_at = path
-    return stored
-
-
-def discard(*stored: DataFrame) -> None:
-    """Deletes the files of materialized tables that nothing reads any more."""
-    for df in stored:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

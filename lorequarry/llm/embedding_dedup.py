@@ -9,13 +9,16 @@ original vectors: a pair links when its cosine, in double precision, reaches the
 that meets in several tables counts in the first of them.
 
 Equal vectors of a label are one class from the start, so copies are never compared with each
-other. Buckets with many classes are cut by hash into parts of bounded size, and each pair of
-parts is a task's unit of work: it reports how many links each class has there and pairs that
-keep the parts' components together (a spanning forest), never all pairs.
+other. Buckets are counted on ids alone; vectors follow only into buckets that classes share. Buckets with many classes are cut by
+hash into parts of bounded size, and each pair of parts is a key of its own and so a task's unit of work: it reports how
+many links each class has there and pairs that keep the parts' components together (a spanning forest), never all pairs.
 
 The rotations are fitted on a bounded sample (`sample` vectors, by a hash of vec_id); every
-vector is coded and looked up. Whether a pair at the bound is retrieved is a matter of chance:
-with 25 tables of 12 bits a pair at cosine 0.93 meets in none of them about once in 400.
+vector is coded and looked up. Whether a pair at the bound is retrieved is a matter of chance. The
+number of tables is chosen so that a pair at the bound, whose bits agree with probability p = 1 - angle / pi each,
+meets in none of them once in `1 / MISS` cases: (1 - p ** width) ** tables. At cosine 0.93 and a width of 12 bits these
+are 25 tables, whatever the dimension; short vectors get them from more rotations. The width
+grows with the largest label, so that a bucket of unrelated vectors stays about as large.
 
 Defined results: a null label, and a vector that is null, empty, zero or holds a null or
 non-finite component, links with nothing and is a component of its own; only vectors of equal
@@ -35,8 +38,12 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 
 BITS = 64
-SUBSTRING = 12
-ROTATIONS = 5
+#: Widths of a table's keys.
+SUBSTRING, WIDEST = 12, 24
+#: Share of the pairs at the bound that may meet in no table.
+MISS = 1 / 400
+#: Unrelated vectors of a label in a bucket, about, before keys get wider.
+BUCKET = 32
 SAMPLE = 8192
 #: Classes in a part of a bucket, about.
 PART = 512
@@ -70,34 +77,43 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(-1, keepdims=True))
 
 
+def tables_for(bound: float, width: int, miss: float = MISS) -> int:
+    """How many tables of so many bits a pair at the bound needs."""
+    agree = 1 - np.arccos(np.clip(bound, -1, 1)) / np.pi
+    met = min(1 - 1e-12, agree**width)
+    return max(1, int(np.ceil(np.log(miss) / np.log1p(-met))))
+
+
 class Coder:
-    """Sign codes of vectors by dimension, cut into substrings."""
+    """Sign codes of vectors by dimension, cut into substrings: tables_for(bound, substring) of them."""
 
-    def __init__(self, sample: dict[int, np.ndarray], bits: int, substring: int, rotations: int):
-        if substring > 15:
-            raise ValueError("substrings of more than 15 bits don't fit their keys")
-        self.bits, self.substring, self.rotations = bits, substring, rotations
+    def __init__(self, sample: dict[int, np.ndarray], bound: float, bits: int = BITS, substring: int = SUBSTRING):
+        if not 0 < substring <= 30:
+            raise ValueError("substrings of more than 30 bits don't fit their keys")
+        self.bits, self.substring, self.bound = bits, substring, bound
         self.fitted = {dim: self.fit(x) for dim, x in sample.items()}
 
     def fit(self, x: np.ndarray) -> list[np.ndarray]:
-        return [fit_rotation(x, min(self.bits, x.shape[1]), seed) for seed in range(self.rotations)]
+        """The projection of each table."""
+        bits = min(self.bits, x.shape[1])
+        width = min(self.substring, bits)
+        tables, out, seed = tables_for(self.bound, width), [], 0
+        while len(out) < tables:
+            p = fit_rotation(x, bits, seed)
+            out += [p[:, at : at + width] for at in range(0, bits - width + 1, width)]
+            seed += 1
+        return out[:tables]
 
     def substrings(self, x: np.ndarray) -> np.ndarray:
         """One row of table keys for each unit vector of x."""
         fitted = self.fitted.get(x.shape[1]) or self.fit(np.zeros((0, x.shape[1])))
-        out = []
-        for projection in fitted:
-            signs = x @ projection >= 0
-            width = min(self.substring, signs.shape[1])
-            for at in range(0, signs.shape[1] - width + 1, width):
-                out.append(signs[:, at : at + width] @ (1 << np.arange(width)))
-        return np.stack(out, 1).astype(np.int16)
-
-
-def learn(rows: DataFrame, bits: int = BITS, substring: int = SUBSTRING, rotations: int = ROTATIONS, sample: int = SAMPLE) -> Coder:
-    """A coder fitted on at most `sample` vectors."""
-    usable = rows.filter("label is not null and embedding is not null").select("vec_id", "embedding")
-    n = usable.count()
+        return np.stack([(x @ p >= 0) @ (1 << np.arange(p.shape[1])) for p in fitted], 1).astype(np.int32)
+
+
+def learn(rows: DataFrame, bound: float, bits: int = BITS, substring: int = SUBSTRING, sample: int = SAMPLE, bucket: int = BUCKET) -> Coder:
+    """A coder for the bound, fitted on at most `sample` vectors; keys of `substring` bits or more for a large label."""
+    usable = rows.filter("label is not null and embedding is not null").select("vec_id", "label", "embedding")
+    n, most = usable.groupBy("label").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     near = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(3 * sample * (1 << 40) / max(1, n))
     picked = usable.filter(near).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
 
@@ -106,7 +122,8 @@ def learn(rows: DataFrame, bits: int = BITS, substring: int = SUBSTRING, rotatio
         x = vector_of(value)
         if x is not None:
             by_dim.setdefault(len(x), []).append(unit(x))
-    return Coder({d: np.array(v) for d, v in by_dim.items()}, bits, substring, rotations)
+    width = max(substring, min(WIDEST, (most // bucket).bit_length()))
+    return Coder({d: np.array(v) for d, v in by_dim.items()}, bound, bits, width)
 
 
 def coded(classes: DataFrame, coder: Coder) -> DataFrame:
@@ -126,10 +143,10 @@ def coded(classes: DataFrame, coder: Coder) -> DataFrame:
                 x = np.array([v for _, v in rows])
                 keys = coder.substrings(unit(x))
                 kept = [batch.column(i).take(at) for i in range(3)]
-                more = [pa.array([dim] * len(rows), pa.int32()), pa.array([v.astype(width).tobytes() for v in x], pa.binary()), pa.array(list(keys), pa.list_(pa.int16()))]
+                more = [pa.array([dim] * len(rows), pa.int32()), pa.array([v.astype(width).tobytes() for v in x], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*kept, *more], ["rep", "copies", "label", "dim", "vec", "keys"])
 
-    return classes.select("rep", "copies", "label", "embedding").mapInArrow(run, f"rep long, copies long, label {kind}, dim int, vec binary, keys array<short>")
+    return classes.select("rep", "copies", "label", "embedding").mapInArrow(run, f"rep long, copies long, label {kind}, dim int, vec binary, keys array<int>")
 
 
 def width_of(classes: DataFrame) -> str:
@@ -137,13 +154,32 @@ def width_of(classes: DataFrame) -> str:
     return "f4" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
 
 
-def members(part: pa.Scalar, width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, copies, unit vectors and keys of a part."""
-    rows = part.values
+def matrices(rows: pa.StructArray, dim: int, width: str) -> tuple[np.ndarray, ...]:
+    """Parts, ids, copies, unit vectors and keys of rows of one dimension."""
     n = len(rows)
-    x = np.frombuffer(b"".join(rows.field("vec").to_pylist()), width).astype(np.float64).reshape(n, -1)
+    x = np.frombuffer(b"".join(rows.field("vec").to_pylist()), width).astype(np.float64).reshape(n, dim)
     keys = rows.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-    return rows.field("rep").to_numpy(), rows.field("copies").to_numpy(), unit(x), keys
+    return (*(rows.field(c).to_numpy(zero_copy_only=False) for c in ("part", "rep", "copies")), unit(x), keys)
+
+
+def units_of_work(batch: pa.RecordBatch, width: str) -> Iterator[tuple[int, tuple, tuple]]:
+    """(table, a, b) for each row (dim, table, low, high, rows) of a batch: two parts, or one twice, as ids, copies, unit vectors and keys."""
+    dims, tables, lows, highs = (batch.column(i).to_numpy() for i in range(4))
+    lists = batch.column(4)
+    sizes, flat = lists.value_lengths().to_numpy(), lists.flatten()
+    starts = np.cumsum(sizes) - sizes
+    for dim in np.unique(dims).tolist():
+        own = np.flatnonzero(dims == dim)
+        at = np.cumsum(sizes[own]) - sizes[own]
+        some = flat if len(own) == len(dims) else flat.take(pa.array(np.repeat(starts[own] - at, sizes[own]) + np.arange(sizes[own].sum())))
+        part, *columns = matrices(some, dim, width)
+        for i, start, n in zip(own.tolist(), at.tolist(), sizes[own].tolist()):
+            rows = tuple(c[start : start + n] for c in columns)
+            if lows[i] == highs[i]:
+                yield int(tables[i]), rows, rows
+            else:
+                low = part[start : start + n] == lows[i]
+                yield int(tables[i]), tuple(c[low] for c in rows), tuple(c[~low] for c in rows)
 
 
 def linked(a, b, table: int, bound: float) -> np.ndarray:
@@ -186,26 +222,28 @@ def forest(close: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return out
 
 
-def link_counts(codes: DataFrame, bound: float, part: int, width: str) -> DataFrame:
-    """(rep, other, links): for each unit of work the links of a class (other null), and pairs that keep the components (links null)."""
-    hits = codes.select("*", F.posexplode("keys").alias("table", "key"))
+def in_buckets(codes: DataFrame, part: int) -> DataFrame:
+    """(rep, label, dim, table, key, part, parts): where each class stands in the buckets that it shares."""
+    hits = codes.select("rep", "label", "dim", F.posexplode("keys").alias("table", "key"))
     bucket = ["label", "dim", "table", "key"]
     sizes = hits.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
-    hits = hits.join(sizes, bucket).withColumn("part", F.pmod(F.xxhash64("rep", "table"), F.ceil(F.col("n") / part)).cast("int"))
-    parts = hits.groupBy(*bucket, "part").agg(F.first(F.ceil(F.col("n") / part)).alias("parts"), F.collect_list(F.struct("rep", "copies", "vec", "keys")).alias("rows"))
-    parts = materialize(parts, "parts")
-    single = parts.filter("parts = 1").select("table", F.col("rows").alias("a"), F.lit(None).cast(parts.schema["rows"].dataType).alias("b"))
-    many = parts.filter("parts > 1")
-    a = many.select(*bucket, F.col("part").alias("i"), F.col("rows").alias("a"))
-    b = many.select(*bucket, F.col("part").alias("j"), F.col("rows").alias("b"))
-    across = a.join(b, bucket).filter("i <= j").select("table", "a", F.when(F.col("i") < F.col("j"), F.col("b")).alias("b"))
+    parts = F.ceil(F.col("n") / part).cast("int")
+    return hits.join(sizes, bucket).select("rep", *bucket, F.pmod(F.xxhash64("rep", "table"), parts).cast("int").alias("part"), parts.alias("parts"))
+
+
+def link_counts(codes: DataFrame, bound: float, part: int, width: str) -> DataFrame:
+    """(rep, other, links): for each unit of work the links of a class (other null), and pairs that keep the components (links null)."""
+    hits = materialize(in_buckets(codes, part), "vector-buckets")
+    # a part meets itself and every other part of its bucket, each pair of parts under a key of its own
+    met = hits.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = met.join(codes.select("rep", "copies", "vec", "keys"), "rep")
+    unit_of_work = ["label", "dim", "table", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
+    work = rows.groupBy(*unit_of_work).agg(F.collect_list(F.struct("part", "rep", "copies", "vec", "keys")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for table, part_a, part_b in zip(*batch.columns):
-                a = members(part_a, width)
-                b = members(part_b, width) if part_b.is_valid else a
-                close = linked(a, b, table.as_py(), bound)
+            for table, a, b in units_of_work(batch, width):
+                close = linked(a, b, table, bound)
                 if not close.any():
                     continue
                 at, of_a, of_b = (a[0] if b is a else np.concatenate([a[0], b[0]])), close @ b[1], a[1] @ close
@@ -218,13 +256,13 @@ def link_counts(codes: DataFrame, bound: float, part: int, width: str) -> DataFr
                     ["rep", "other", "links"],
                 )
 
-    return single.unionByName(across).mapInArrow(run, "rep long, other long, links long")
+    return work.select("dim", "table", "low", "high", "rows").mapInArrow(run, "rep long, other long, links long")
 
 
 def near_duplicates(rows: DataFrame, bound: float = 0.93, coder: Coder | None = None, part: int = PART) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, label, embedding)."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    coder = coder or learn(rows)
+    coder = coder or learn(rows, bound)
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     marked = rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("vec", F.when(F.col("usable"), F.col("embedding")))
     known = marked.filter("usable")

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lorequarry.llm import embedding_dedup
 
@@ -61,6 +63,51 @@ def test_learned_codes_keep_near_vectors_together():
     x = embedding_dedup.unit(r.normal(size=(3000, 64)))
     y = embedding_dedup.unit(x + 0.045 * r.normal(size=x.shape))
     cos = (x * y).sum(1)
-    coder = embedding_dedup.Coder({64: x[:1000]}, 64, 12, 5)
+    coder = embedding_dedup.Coder({64: x[:1000]}, 0.93)
     met = (coder.substrings(x) == coder.substrings(y)).any(1)
     assert met[cos >= 0.93].mean() > 0.99
+
+
+@pytest.mark.parametrize("dim", [8, 12, 16, 24, 32, 48, 64, 128])
+def test_pairs_at_the_bound_meet(dim):
+    r = np.random.default_rng(dim)
+    x = embedding_dedup.unit(r.normal(size=(4000, dim)))
+    side = r.normal(size=x.shape)
+    side = embedding_dedup.unit(side - (side * x).sum(1)[:, None] * x)
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * side
+    for width in (12, 16):
+        coder = embedding_dedup.Coder({dim: x[:2000]}, 0.93, substring=width)
+        met = (coder.substrings(x) == coder.substrings(y)).any(1)
+        assert met[2000:].mean() >= 0.985 and met.mean() >= 0.99  # on vectors that the rotations haven't seen, and on all
+
+
+@pytest.mark.parametrize("dim", [2, 5, 8, 16])
+def test_short_vectors_against_all_pairs(spark, dim):
+    r = np.random.default_rng(dim)
+    rows = [(i, i % 2, [float(v) for v in np.round(r.normal(size=dim), 3)]) for i in range(160)]
+    got, expected = run(spark, rows, part=40), brute(rows, 0.93)
+    found, there = sum(n for _, n, _, _ in got), sum(n for _, n, _, _ in expected)
+    assert found >= 0.95 * there and all(g[1] <= e[1] for g, e in zip(got, expected))
+
+
+def test_keys_widen_with_the_largest_label(spark):
+    rows = spark.range(3000).selectExpr("id as vec_id", "if(id < 2900, 1, 2) as label", "array(cast(id % 7 as double), 1.0D, cast(id % 11 as double)) as embedding")
+    assert embedding_dedup.learn(rows, 0.93).substring == 12
+    assert embedding_dedup.tables_for(0.93, 12) == 25 and embedding_dedup.tables_for(0.93, 16) == 44
+    assert embedding_dedup.learn(rows, 0.93, substring=8, bucket=4).substring == 10
+
+
+def test_a_hot_bucket_is_many_tasks_work(spark):
+    """A third of all vectors in one bucket: no task takes more than its share of the pairs of parts."""
+    r = np.random.default_rng(9)
+    center = r.normal(size=16)
+    rows = [(i, 1, [float(v) for v in (center + 0.01 * r.normal(size=16) if i % 3 == 0 else r.normal(size=16))]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    classes = df.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), "label", "embedding")
+    codes = embedding_dedup.coded(classes, embedding_dedup.learn(df, 0.93))
+    hits = embedding_dedup.in_buckets(codes, 50)
+    parts = {(r.table, r.key): r.parts for r in hits.filter("parts > 1").collect()}
+    assert max(parts.values()) >= 10
+    work = hits.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).groupBy("table", "key", F.least("part", "other"), F.greatest("part", "other")).count()
+    assert work.agg(F.max("count")).first()[0] <= 4 * 50  # two parts of about 50
+    assert run(spark, rows, part=50) == brute(rows, 0.93)
