@@ -9,8 +9,9 @@ of the query's largest coordinates), otherwise by length (only vectors long enou
 remain). What is left is verified with exact integer products.
 
 Queries form blocks, and every block meets every bucket of its dimension that its bounds don't
-rule out: a stated query set against all rows, in blocks. Buckets are dealt to `lanes` and query
-blocks are copied to each lane, so that a task holds one block and one bucket at a time.
+rule out: a stated query set against all rows, in blocks. Buckets and query blocks are dealt to a
+grid of lanes whose sides grow with their numbers, so that a key of the join has about
+`cell` pairs of block and bucket and a task holds one of each at a time.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor
 do rows without vec_id; only vectors of equal dimension are compared; rows that repeat a vec_id
@@ -28,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.vector import grid
 from .common import materialize
 
 BUCKET_ROWS = 4096
 QUERY_ROWS = 512
-LANES = 32
+#: Pairs of query block and bucket under a key of the join, about.
+CELL = 8
+#: The longest buckets go to every task where they have up to so many bytes, one for each dimension.
+BROADCAST_BYTES = 64 << 20
 #: Queries whose results a task holds (20 results each are 10 MB).
 HELD = 32768
 #: From this local cosine on, coordinates prune better than lengths.
@@ -176,7 +181,7 @@ def unpack(ids: bytes, norms: bytes, matrix: bytes, dim: int) -> tuple[np.ndarra
     return np.frombuffer(ids, np.int64), np.frombuffer(norms), np.frombuffer(matrix).reshape(-1, dim)
 
 
-def exact_top_k(rows: DataFrame, is_query: Column, k: int, scale: float = 64.0, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS, lanes: int = LANES) -> DataFrame:
+def exact_top_k(rows: DataFrame, is_query: Column, k: int, scale: float = 64.0, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS, cell: int = CELL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest products of every query with all other rows (vec_id, embedding)."""
     all_vectors = materialize(vectors(rows, scale), "vectors")
     buckets = materialize(blocks(all_vectors, bucket_rows), "buckets")
@@ -184,7 +189,10 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int, scale: float = 64.0,
     queries = blocks(once, query_rows).withColumnsRenamed({"high": "q_high", "low": "q_low", "n": "q_n", "ids": "q_ids", "norms": "q_norms", "matrix": "q_matrix"})
 
     # one bucket per dimension: the one that begins with the longest vector
-    longest = buckets.groupBy("dim").agg(F.max_by("ids", F.struct("high", "n", "ids")).alias("ids"), F.max_by("norms", F.struct("high", "n", "ids")).alias("norms"), F.max_by("matrix", F.struct("high", "n", "ids")).alias("matrix"))
+    head = F.struct("high", "n", "ids")
+    longest = materialize(buckets.groupBy("dim").agg(*[F.max_by(c, head).alias(c) for c in ("ids", "norms", "matrix")]), "longest-buckets")
+    size = longest.agg(F.coalesce(F.sum(F.octet_length("matrix")), F.lit(0))).first()[0]
+    longest = F.broadcast(longest) if size <= BROADCAST_BYTES else longest
 
     def first_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,10 +248,13 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int, scale: float = 64.0,
         while waiting:
             yield from leave(next(iter(waiting)))
 
-    lane = F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")
-    asked = bounded.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    q_lanes, x_lanes = grid(bounded.count(), buckets.count(), cell)
+    lane = lambda ids, n: F.pmod(F.xxhash64(ids), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = bounded.withColumn("row", lane("q_ids", q_lanes)).withColumn("column", every(x_lanes))
+    dealt = buckets.withColumn("column", lane("ids", x_lanes)).withColumn("row", every(q_lanes))
     # a bucket too short for every query of a block isn't even sent to it
-    met = asked.join(buckets.withColumn("lane", lane), ["dim", "lane"]).filter(F.col("high") * (1 + 1e-9) >= F.col("least"))
+    met = asked.join(dealt, ["dim", "row", "column"]).filter(F.col("high") * (1 + 1e-9) >= F.col("least"))
     found = met.select("dim", "q_ids", "q_norms", "q_matrix", "bounds", "ids", "norms", "matrix").mapInArrow(search, "query_id long, vec_id long, score long")
     # no more than k rows for each query and task
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -29,7 +29,7 @@ def test_all_prunings_agree_with_brute_force(spark):
     x[0] = 0
     rows = [(i, [float(v) for v in v]) for i, v in enumerate(x)]
     rows += [(5000, None), (5020, [1.0] * 8), (5021, [float("nan")] * 8), (5022, [None] * 8), (5040, [1.0, 2.0]), (5041, [3.0, 1.0]), (5060, [1e300] * 8), (None, [1.0] * 8), (5080, []), (5081, [float("inf")] * 8), (5100, [-9.0] * 3)]
-    assert run(spark, rows, bucket_rows=100, query_rows=16, lanes=4) == brute(rows, 5, 20)
+    assert run(spark, rows, bucket_rows=100, query_rows=16, cell=4) == brute(rows, 5, 20)
 
 
 def test_coordinates_prune_nothing_that_counts():
