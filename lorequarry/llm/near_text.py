@@ -1,10 +1,14 @@
 """Near copies of texts: components of all pairs whose sets of word shingles have a Jaccard similarity of a bound or more.
 
-Candidates come from min-hashes in bands: two texts at similarity s share one of BANDS bands of ROWS
-minima with probability 1 - (1 - s^ROWS)^BANDS, which misses 1.4e-7 of the pairs at 0.8 and fewer above.
-Bands link each text to the smallest of its band, so that no pairs are listed; the texts of each
-component of those links are then gathered and compared exactly, by the rarest shingles that similar
-sets must share. A group is thus compared in one task, which holds its texts.
+This is the SimHash operator at a similarity bound, where fingerprints of 64 bits can't serve: at a similarity of 0.8 about 10 of
+the bits differ and 18 may, as they do in one of 4000 unrelated pairs. So candidates come from min-hashes in bands: two texts
+at similarity s share one of BANDS buckets of ROWS minima with probability 1 - (1 - s^ROWS)^BANDS,
+which misses 1.4e-7 of the pairs at 0.8 and fewer above.
+
+Pairs of a bucket are verified on whole sets without listing them. In each of ROUNDS rounds a bucket's members meet its
+leader (another one in each round), if they aren't in one component yet, and those similar to it are merged. What is
+then still in several components is compared pair by pair, in parts of bounded size, so that a part with
+another is a task's unit of work and no group is ever gathered. Buckets with the same members are one.
 
 Defined results: texts without words are near copies of each other and of nothing else; fewer words than a
 shingle make one shingle of the whole sequence; equal texts always link; equal rows give equal
@@ -21,28 +25,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release_memory
+from .common import connected_components, discard, materialize, release_memory
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 4
 SEED = 42
 CHUNK = 512
+ROUNDS = 2
+#: Members that meet their leader under one key of the join.
+MEMBERS = 1000
+#: Sets in a part of a bucket, about.
+PART = 128
+#: Up to so many texts are looked up by a broadcast of their ids (16 bytes each); more by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a whole text, between ASCII white space, A to Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The distinct hashes of a whole text's word shingles, in rising order."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+def shingles(words: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in rising order; fewer words are one shingle."""
     if not words:
         return np.zeros(0, np.uint64)
-    joined = memoryview(b" ".join(words))
-    if len(words) <= shingle_words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(words) - shingle_words + 1
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts[:n].tolist(), ends[shingle_words - 1 :].tolist())), np.uint64, n))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(shingle_words, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for i in range(k):  # a hash of the sequence: order counts
+        out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
 
 
 def set_id(found: np.ndarray) -> int:
@@ -67,97 +81,155 @@ def bands(found: np.ndarray, mix: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     return ((low.reshape(BANDS, ROWS) >> np.uint64(1)) * fold).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def lists(values: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit integers as a list column of longs."""
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)])))
+
+
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, node, bands): a long for the set of shingles, and its band keys."""
+    """(doc_id, n_words, node, size, bands): a long for the set of shingles, its size, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = multipliers()
         for batch in batches:
-            sets = [shingles(x.as_py(), shingle_words) for x in batch.column(1)]
-            keys = [bands(s, mix) for s in sets]
-            nodes = pa.array([set_id(s) for s in sets], pa.int64())
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "node", "bands"])
+            n_words, sets = [], []
+            for x in batch.column(1):
+                words = words_of(x.as_py())
+                n_words.append(len(words))
+                sets.append(shingles(words, shingle_words))
+            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), lists([bands(s, mix) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "node", "size", "bands"])
         release_memory()
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, node long, size int, bands array<long>")
+
 
+def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, tokens) of (node, text), for the rows whose text has the node's set."""
 
-def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
-    """For each non-empty set the first set of its component over all pairs of the similarity or more.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(node, s) for node, x in zip(batch.column(0).to_pylist(), batch.column(1)) if set_id(s := shingles(words_of(x.as_py()), shingle_words)) == node]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), lists([s for _, s in got])], ["node", "tokens"])
+        release_memory()
 
-    Each set in turn looks for those not yet reached. Sets of that similarity share a shingle
-    among the rarest ones of each, in any quantity above 1 - similarity of it.
+    return texts.select("node", "text").mapInArrow(run, "node long, tokens array<long>")
+
+
+def shared_buckets(groups: DataFrame) -> DataFrame:
+    """(bucket, node, size) of the buckets with several members, one for each set of members."""
+    spread = groups.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    known = spread.groupBy("band", "key").agg(F.count("*").alias("n"), *marks).filter("n > 1")
+    one = known.groupBy("n", "mark1", "mark2").agg(F.min(F.struct("band", "key")).alias("m")).select("m.band", "m.key")
+    return spread.join(one, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
+
+
+def meets_leader(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of asked that are similar. A leader a with many members stands under several keys."""
+    leaders = asked.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("keys"))
+    members = asked.join(leaders, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "keys").cast("int"))
+    members = members.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b").select("a", "salt", "b", "tokens_b")
+    heads = leaders.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("salt"), "tokens_a")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    near = both * (1 + similarity) >= similarity * (F.size("tokens_a") + F.size("tokens_b")) - 1e-9
+    return members.join(heads, ["a", "salt"]).filter(near).select("a", "b")
+
+
+def links_across(rows: pa.StructArray, low: int, high: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the components (label) of the similar sets of two parts, or of one: no more than there are components."""
+    part, node, label = (rows.field(c).to_numpy() for c in ("part", "node", "label"))
+    tokens = rows.field("tokens")
+    sizes = tokens.value_lengths().to_numpy()
+    _, flat = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    _, at = np.unique(label, return_inverse=True)
+    root = np.arange(at.max() + 1)
+    marked = np.zeros(flat.max() + 1, bool)
+    out = []
+    for i in np.flatnonzero(part == low).tolist():
+        other = (root[at] != root[at[i]]) & (part == high) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
+        if not other.any():
+            continue
+        marked[flat[starts[i] : starts[i] + sizes[i]]] = True
+        both = np.add.reduceat(marked[flat], starts, dtype=np.int64)
+        marked[flat[starts[i] : starts[i] + sizes[i]]] = False
+        for k in np.flatnonzero(other & (both * (1 + similarity) >= similarity * (sizes + sizes[i]) - 1e-9)).tolist():
+            if root[at[k]] != root[at[i]]:
+                out.append((int(node[i]), int(node[k])))
+                root[root == root[at[k]]] = root[at[i]]
+    return out
+
+
+def all_pairs(labelled: DataFrame, sets: DataFrame, similarity: float, part: int) -> DataFrame:
+    """Links (a, b) between the components (label) of each bucket of (bucket, node, label).
+
+    Members of the bucket's largest component aren't compared with each other, but all others with everyone. So a
+    bucket's rest is cut into parts 0 to rests - 1, the largest component into the parts from there
+    on, and only pairs with a part of the rest are units of work.
     """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(df), np.int64)
-    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
-    rows = [np.sort(x) for x in np.split(rank[token], np.cumsum(sizes)[:-1])]
-    lead = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-    first, unseen, left = [-1] * n, np.ones(n, bool), n
-    marked = np.zeros(len(df), bool)
-
-    def index() -> tuple[np.ndarray, np.ndarray]:
-        ids = np.flatnonzero(unseen)
-        tokens = np.concatenate([rows[i][: lead[i]] for i in ids])
-        order = np.argsort(tokens, kind="stable")
-        return tokens[order], np.repeat(ids, lead[ids])[order]
-
-    tokens, owners = index()
-    indexed = n
-    for start in range(n):
-        if not unseen[start]:
+    by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    sizes = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    cut = lambda n: F.ceil(n / part).cast("int")
+    sizes = sizes.select("bucket", F.col("top.label").alias("main"), cut(F.col("top.n")).alias("mains"), cut(F.col("n") - F.col("top.n")).alias("rests"))
+    parted = labelled.join(sizes, "bucket").withColumn("is_main", F.col("label") == F.col("main"))
+    own = F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    parted = parted.withColumn("part", F.when(F.col("is_main"), F.col("rests")).otherwise(0) + own)
+    others = F.col("rests") + F.when(F.col("is_main"), 0).otherwise(F.col("mains")) - 1
+    met = parted.withColumn("other", F.explode(F.sequence(F.lit(0), others))).join(sets, "node")
+    work = met.groupBy("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).agg(F.collect_list(F.struct("part", "node", "label", "tokens")).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, rows in zip(*batch.columns):
+                found = np.array(links_across(rows.values, low.as_py(), high.as_py(), similarity), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return work.select("low", "high", "rows").mapInArrow(run, "a long, b long")
+
+
+def components(buckets: DataFrame, sets: DataFrame, similarity: float, part: int = PART) -> DataFrame:
+    """(node, component) over all similar pairs of buckets (bucket, node, size), for nodes with such a pair."""
+    links = parts = None
+    for turn in range(ROUNDS + 1):
+        labelled = buckets.withColumn("label", F.col("node")) if parts is None else buckets.join(parts, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("label"))
+        # by turns the first and the last in an order of the members, so the first two leaders differ
+        order, pick = F.xxhash64("node", F.lit(turn // 2)), (F.min_by, F.max_by)[turn % 2]
+        lead = pick(F.struct(F.col("node").alias("a"), F.col("size").alias("lead_size"), F.col("label").alias("lead_label")), order).alias("lead")
+        open_ones = labelled.groupBy("bucket").agg(lead, F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high")
+        if turn < ROUNDS:
+            asked = labelled.join(open_ones.select("bucket", "lead.*"), "bucket").filter("label <> lead_label")
+            asked = asked.filter(F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size") - 1e-9)
+            found = meets_leader(asked.select("a", F.col("node").alias("b")).distinct(), sets, similarity)
+        else:
+            # three members have all met when two of them have led
+            rest = labelled.join(open_ones.filter(F.col("n") > 1 + min(ROUNDS, 2)).select("bucket"), "bucket", "left_semi")
+            found = all_pairs(rest.drop("size"), sets, similarity, part)
+        found = materialize(found, "near-links")
+        if turn and found.isEmpty():
             continue
-        queue, first[start], unseen[start], left = [start], start, False, left - 1
-        while queue and left:
-            if left * 2 < indexed:  # those already reached needn't be looked at again
-                (tokens, owners), indexed = index(), left
-            i = queue.pop()
-            mine = rows[i][: lead[i]]
-            spans = zip(np.searchsorted(tokens, mine).tolist(), np.searchsorted(tokens, mine, "right").tolist())
-            near = np.unique(np.concatenate([owners[a:b] for a, b in spans]))
-            near = near[unseen[near] & (np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]) - 1e-9)]
-            if not len(near):
-                continue
-            marked[rows[i]] = True
-            for k in near.tolist():
-                if np.count_nonzero(marked[rows[k]]) * (1 + similarity) >= similarity * (sizes[k] + sizes[i]) - 1e-9:
-                    first[k], unseen[k], left = start, False, left - 1
-                    queue.append(k)
-            marked[rows[i]] = False
-    return first
-
-
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): the smallest doc_id reachable over pairs of texts of the similarity or more."""
-    seen = materialize(sketches(docs, shingle_words), "sketches")
-    groups = materialize(seen.groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("node", F.col("m.doc_id").alias("first"), "m.bands"), "sketch-groups")
-    spread = groups.select("node", F.posexplode("bands").alias("band", "key"))
-    low = spread.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a <> top").select("band", "key", "a")
-    links = spread.join(low, ["band", "key"]).filter("a <> node").select("a", F.col("node").alias("b"))
-    parts = connected_components(links, "a", "b")
+        links = found if links is None else links.unionByName(found)
+        parts = connected_components(links, "a", "b")
+    return parts
 
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
+    """(doc_id, component_id, n_words): the smallest doc_id reachable over pairs of texts of the similarity or more, and the text's words."""
+    seen = materialize(sketches(docs, shingle_words), "sketches")
+    groups = materialize(seen.groupBy("node").agg(F.min(F.struct("doc_id", "size", "bands")).alias("m")).select("node", F.col("m.doc_id").alias("first"), "m.size", "m.bands"), "sketch-groups")
+    buckets = materialize(shared_buckets(groups), "sketch-buckets")
     firsts = groups.select("node", "first")
-    wanted = parts.join(firsts, "node").select(F.col("first").alias("doc_id"), "node", "component")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "component", "text")
-
-    def run(table: pa.Table) -> pa.Table:
-        kept: dict[int, np.ndarray] = {}
-        for node, text in zip(table["node"].to_pylist(), table["text"]):
-            # rows that share a doc_id may have other texts
-            if node not in kept and set_id(found := shingles(text.as_py(), shingle_words)) == node:
-                kept[node] = found
-        nodes = sorted(kept)
-        first = similar_groups([kept[x] for x in nodes], similarity)
-        return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([nodes[i] for i in first], pa.int64())})
-
-    linked = materialize(texts.groupBy("component").applyInArrow(run, "node long, root long"), "near-texts")
-    members = linked.join(firsts, "node")
-    roots = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = members.join(roots, "root").select("node", "component_id")
-    found = firsts.join(labels, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return seen.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")
+    wanted = firsts.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("first").alias("doc_id"), "node")
+    # rows that share a doc_id may have other texts
+    wanted = materialize(wanted, "sketch-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), shingle_words).dropDuplicates(["node"]), "shingle-sets")
+    labels = materialize(components(buckets, sets, similarity, part), "near-components")
+    discard(sets, buckets)
+    members = labels.join(firsts, "node")
+    roots = members.groupBy("component").agg(F.min("first").alias("component_id"))
+    linked = members.join(roots, "component").select("node", "component_id")
+    found = firsts.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    return seen.select("doc_id", "node", "n_words").join(found, "node").select("doc_id", "component_id", "n_words")

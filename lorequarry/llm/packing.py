@@ -1,12 +1,12 @@
 """Conflict-constrained best-fit packing of documents into bins of equal capacity.
 
 Documents are measured in words; those over the capacity are cut into pieces of it. Pieces are
-dealt by hash to shards of bounded size, and each shard is packed by itself: pieces in falling
+dealt by hash to shards of bounded size (rows that repeat are counted first and then dealt one by one), and each shard is packed by itself: pieces in falling
 size, each put into the tightest bin that can take it. Bins stand ordered by residual space; each
 carries a bitmap of its sources and one of its duplicate clusters. A piece fits a bin with enough
 space that holds neither its source nor its cluster; the successor search goes on from the first
 residual of enough space upwards until such a bin is found, or opens a new bin. Clusters are
-exact copies, letter case and white space aside, unless those of near copies (near_clusters) are given.
+exact copies, letter case and white space aside, unless they are given (near_clusters makes those of near copies).
 
 A source that holds most documents thus gets one piece per bin, and bins are at least as many as
 its pieces. Defined results: every word is placed once, a document without words as one piece of
@@ -28,6 +28,8 @@ from .common import materialize, word_count
 CAPACITY = 2048
 #: Pieces in a shard, on average.
 SHARD_PIECES = 5000
+#: Rows that repeat are dealt in runs of so many.
+RUN = 10_000
 #: Bin numbers of a shard leave room for so many bins.
 SHARD_BINS = 1 << 24
 
@@ -103,27 +105,43 @@ def bits(values: list, lonely: bool) -> list[int]:
 OUT = "bin_id long, slot int, doc_id {0}, piece int, start_word long, n_words long, source string, cluster long, bin_words long"
 
 
+def row_id() -> Column:
+    """64 bits that stand for a document's doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_clusters(docs: DataFrame) -> DataFrame:
-    """(copies, near): for each cluster of copies the smallest one of its component of near copies."""
-    texts = docs.select(same_text(F.col("text")).alias("doc_id"), F.lower("text").alias("text")).dropDuplicates(["doc_id"])
-    return near_text.near_duplicates(texts).select(F.col("doc_id").alias("copies"), F.col("component_id").alias("near"))
+    """(row, cluster, words): for each row_id of docs its component of near copies, and how many words it has."""
+    found = near_text.near_duplicates(docs.select(row_id().alias("doc_id"), "text"))
+    return found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("cluster"), F.col("n_words").alias("words")).distinct()
+
+
+def dealt_pieces(docs: DataFrame, capacity: int, cluster: str | DataFrame | None) -> DataFrame:
+    """(doc_id, source, cluster, copy, piece, start_word, n_words): copy tells rows that repeat apart."""
+    named = [F.col("doc_id"), F.col("source").cast("string").alias("source")]
+    if isinstance(cluster, DataFrame):
+        sized = docs.select(*named, row_id().alias("row")).join(cluster, "row").select("doc_id", "source", "words", "cluster")
+    else:
+        sized = docs.select(*named, word_count(F.col("text")).alias("words"), (same_text(F.col("text")) if cluster is None else F.col(cluster).cast("long")).alias("cluster"))
+    # a row that repeats without end is dealt out again in runs
+    counted = sized.groupBy("doc_id", "source", "words", "cluster").agg(F.count("*").alias("n"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    runs = runs.repartition("doc_id", "words", "cluster", "run")
+    last = F.greatest(F.ceil(F.col("words") / capacity), F.lit(1)).cast("int") - 1
+    each = runs.withColumn("copy", F.explode(F.sequence(F.col("run"), F.least(F.col("n"), F.col("run") + RUN) - 1))).withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    start = F.col("piece").cast("long") * capacity
+    return each.select("doc_id", "source", "cluster", "copy", "piece", start.alias("start_word"), F.least(F.col("words") - start, F.lit(capacity)).alias("n_words"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, clusters: DataFrame | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, cluster: str | DataFrame | None = None) -> DataFrame:
     """One row per piece: bin_id, slot in the bin, doc_id, piece, start_word, n_words, source, cluster, and the words in the bin.
 
-    clusters, if given, is (copies, near) as near_clusters makes it.
+    cluster, if given, names an integer column of docs or is (row, cluster, words) for every row_id, as near_clusters
+    makes it: rows that share a value are of one duplicate cluster.
     """
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("words"), same_text(F.col("text")).alias("cluster"))
-    last = F.greatest(F.ceil(F.col("words") / capacity), F.lit(1)).cast("int") - 1
-    pieces = sized.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    start = F.col("piece").cast("long") * capacity
-    pieces = pieces.select("doc_id", "piece", start.alias("start_word"), F.least(F.col("words") - start, F.lit(capacity)).alias("n_words"), "source", "cluster")
-    if clusters is not None:
-        pieces = pieces.join(clusters, F.col("cluster") == F.col("copies"), "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("copies", "near")
-    pieces = materialize(pieces, "pieces")
+    pieces = materialize(dealt_pieces(docs, capacity, cluster), "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_words", "cluster"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_words", "cluster", "copy"), F.lit(shards))).drop("copy")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:

@@ -59,7 +59,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, clusters=packing.near_clusters(docs))
+    return packing.pack(docs, cluster=packing.near_clusters(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_text
 from .common import connected_components, materialize
 
 #: Segments of four bits: 16 counts from 0 to 4, kept in three bits each.
@@ -133,3 +134,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2)
     linked = members.join(roots, "component").select(F.col("node").alias("fp"), "component_id")
     labels = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates_at(docs: DataFrame, similarity: float = near_text.SIMILARITY, shingle_words: int = near_text.SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id reachable over pairs of texts whose shingle sets have the similarity or more.
+
+    Fingerprints within a bit radius can't find those pairs (see near_text), so it doesn't go by them.
+    """
+    return near_text.near_duplicates(docs, shingle_words, similarity).select("doc_id", "component_id")

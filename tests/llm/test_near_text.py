@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_mixing import words
 
 import corpus_pipeline
@@ -44,11 +46,55 @@ def test_groups_are_those_of_all_pairs(spark, docs_of, odd_rows):
     assert near_text.near_duplicates(docs_of([])).collect() == []
 
 
+def sets_of(spark, texts):
+    return spark.createDataFrame([(i, near_text.shingles(near_text.words_of(t)).view(np.int64).tolist()) for i, t in texts.items()], "node long, tokens array<long>")
+
+
 @pytest.mark.parametrize("similarity", [(1, 2), (4, 5), (1, 1)])
-def test_exact_comparison(similarity):
-    texts = {i: t for i, t in copies(9, 20, 10).items()}
-    first = near_text.similar_groups([near_text.shingles(t) for t in texts.values()], similarity[0] / similarity[1])
-    assert dict(enumerate(first)) == brute_groups(texts, similarity=similarity)
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_buckets_give_the_components_of_all_their_pairs(spark, monkeypatch, similarity, rounds):
+    """All texts in one bucket, cut into parts; with leaders and without."""
+    monkeypatch.setattr(near_text, "ROUNDS", rounds)
+    monkeypatch.setattr(near_text, "MEMBERS", 7)
+    texts = copies(9, 15, 8)
+    sets = sets_of(spark, texts)
+    buckets = sets.select(F.lit(1).cast("long").alias("bucket"), "node", F.size("tokens").alias("size"))
+    got = {r.node: r.component for r in near_text.components(buckets, sets, similarity[0] / similarity[1], part=25).collect()}
+    want = brute_groups(texts, similarity=similarity)
+    assert {i: got.get(i, i) for i in texts} == want
+
+
+def test_a_large_group_meets_its_leader_and_not_each_other(spark, monkeypatch):
+    base = [f"word{i * 37 % 1009}" for i in range(150)]
+    texts = {}
+    for i in range(1500):
+        made = list(base)
+        made[i % 150] = f"other{i}"
+        texts[i] = " ".join(made)
+    seen, write = [], near_text.materialize
+
+    def spy(df, name):
+        seen.append((name, out := write(df, name)))
+        return out
+
+    monkeypatch.setattr(near_text, "materialize", spy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.component_id for r in near_text.near_duplicates(docs).collect()} == {0}
+    links = [t.count() for name, t in seen if name == "near-links"]
+    assert sum(links) <= near_text.BANDS * len(texts) and links[-1] == 0
+
+
+def test_shingles_fold_case_and_white_space_and_keep_the_order():
+    made = lambda t: near_text.shingles(near_text.words_of(t)).tolist()
+    assert made("A  b\tc") == made("a b c") != made("b a c") and made(None) == made(" ") == []
+    assert len(made("a b c d e f")) == 2 and len(made("a a a a a a a")) == 1
+
+
+def test_many_texts_are_looked_up_by_a_shuffle(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(near_text, "BROADCAST_IDS", 0)
+    texts = copies(3, 4, 5)
+    got = {r.doc_id: r.component_id for r in near_text.near_duplicates(docs_of([(i, t, None, None) for i, t in texts.items()])).collect()}
+    assert got == brute_groups(texts)
 
 
 def test_stage_drops_copies_with_an_edited_passage(spark, docs_of, sf_dir):

@@ -53,3 +53,24 @@ def test_copies_share_a_cluster(spark):
     df = spark.createDataFrame([("A  b\tC\n",), ("a B c",), ("a b",), (None,), ("",)], "text string")
     a, b, c, d, e = (r[0] for r in df.select(packing.same_text(df.text)).collect())
     assert a == b != c and d == e
+
+
+def test_equal_rows_are_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 100)
+    docs = spark.createDataFrame([(7, "one and the same row", "a")] * 3000 + [(1000 + i, f"row {i}", "b") for i in range(300)], "doc_id long, text string, source string")
+    out = packing.pack(docs, shard_pieces=500).collect()
+    assert sum(p.doc_id == 7 for p in out) == 3000
+    shards = Counter(p.bin_id // packing.SHARD_BINS for p in out)
+    assert len(shards) == 7 and max(shards.values()) < 700
+
+
+def test_clusters_of_a_column(spark):
+    rows = [(i, "w " * (10 + i % 3), f"s{i}", i % 4, "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mine int, cluster string")
+    bins = defaultdict(list)
+    for p in packing.pack(docs, capacity=100, cluster="mine").collect():
+        bins[p.bin_id].append(p)
+        assert p.cluster == p.doc_id % 4
+    assert all(len({p.cluster for p in b}) == len(b) for b in bins.values())
+    assert sum(p.bin_words for b in bins.values() for p in b[:1]) == sum(10 + i % 3 for i in range(40))
+    assert len(bins) == 10  # as many as a cluster has documents

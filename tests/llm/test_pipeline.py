@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from test_line_dedup import brute as brute_lines
 from test_mixing import water, words
-from test_simhash import brute_components, brute_fingerprint
+from test_near_text import brute_groups
 
 import corpus_pipeline
 from lorequarry.llm import line_dedup, quality
@@ -46,7 +46,7 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     given, made, _ = stages[2]
-    parts = brute_components({r.doc_id: brute_fingerprint(r.text) for r in given})
+    parts = brute_groups({r.doc_id: r.text for r in given})
     assert sorted(r.doc_id for r in made) == sorted(set(parts.values()))
     assert {r.doc_id: r.text for r in made}.items() <= {r.doc_id: r.text for r in given}.items()
 
