@@ -13,8 +13,8 @@ hands its two children disjoint random halves, so that each half's counts by sou
 multivariate hypergeometric law. A shard then draws the next blocks of each source's permuted
 sequence, as many as its quota, and shuffles its documents locally by a hash.
 
-The tables of sources and of blocks stay small whatever the input (blocks: shards x blocks per
-shard for each pass); running sums over a hot source go through hash buckets, so that no task
+The number of shards follows the input's words (65536 for 16 trillion), and the tables of
+sources and of blocks (shards x blocks per shard for each pass, some two million then) fit a task; running sums over a hot source go through hash buckets, so that no task
 orders a whole source. Hashes are fixed, so reruns agree.
 
 Defined results: null text counts no words; a document without words is never drawn; repeated
@@ -34,8 +34,11 @@ from .common import materialize, word_count
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-SHARDS = 64
+#: Output shards: at least so many, and a power of two that gives a shard this many words or fewer.
+SHARDS, SHARD_WORDS = 64, 1 << 28
 BLOCKS_PER_SHARD = 16
+#: Words of a shard that a task orders and writes, about.
+SLICE_WORDS = 1 << 25
 #: Documents that a task orders at once, about.
 BUCKET_DOCS = 5_000
 
@@ -46,6 +49,13 @@ class Mix:
 
     documents: DataFrame
     draws: DataFrame
+    #: tasks that write a shard between them, each an interval of its places
+    slices: int = 1
+
+
+def shards_for(words: int) -> int:
+    """How many shards hold so many words: a power of two."""
+    return max(SHARDS, 1 << max(0, -(-words // SHARD_WORDS) - 1).bit_length())
 
 
 def key(*parts: Column | str) -> Column:
@@ -135,11 +145,12 @@ def split_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
     return counts.select("source", "shard", (high - F.col("n") + 1).alias("low"), high.alias("high"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: str = "mix") -> Mix:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int | None = None, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: str = "mix") -> Mix:
     """The mixture of docs (doc_id, source, text): its documents' sizes and targets, and what is drawn of them."""
     rows = materialize(numbered(docs.select("doc_id", "source", "text")).select("doc_id", "copy", "source", "size"), "mix-sizes")
     sources = materialize(targets(rows, weights, cap), "mix-targets")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    shards = shards or shards_for(total)
     block_words = max(1, -(-total // (shards * blocks_per_shard)))
     spread = materialize(placed(rows, sources, F.lit(block_words), seed), "mix-placed")
     drawn = drawn_blocks(spread, seed)
@@ -152,7 +163,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
     words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("take") - (F.col("at") - F.col("first"))))
     draws = taken.select("doc_id", "copy", "epoch", "block", "shard", words.alias("words")).filter("words > 0")
     draws = draws.withColumn("place", key(seed + " place", F.col("shard"), F.col("doc_id"), F.col("copy"), F.col("epoch")))
-    return Mix(spread.select("doc_id", "copy", "source", "size", "source_size", "target"), draws)
+    return Mix(spread.select("doc_id", "copy", "source", "size", "source_size", "target"), draws, max(1, -(-total // (shards * SLICE_WORDS))))
 
 
 def mixed_documents(docs: DataFrame, made: Mix) -> DataFrame:
@@ -164,5 +175,7 @@ def mixed_documents(docs: DataFrame, made: Mix) -> DataFrame:
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     part = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
     text = F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text"))
-    both = both.select("row", text.alias("text"), "shard", "place").repartition("shard").sortWithinPartitions("shard", "place")
+    # places are random hexadecimal digits, so their first ones cut a shard into even slices
+    piece = F.floor(F.conv(F.substring("place", 1, 6), 16, 10).cast("long") * made.slices / (1 << 24))
+    both = both.select("row", text.alias("text"), "shard", "place", piece.alias("slice")).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "place")
     return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -137,7 +137,7 @@ WITH sized AS (
 ), ordered AS (
     SELECT d.doc_id, d.copy, d.source, d.size, t.source_size, t.target,
         sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', 'mix', d.doc_id, d.copy)), d.doc_id, d.copy ROWS UNBOUNDED PRECEDING) - d.size AS pos,
-        greatest(1, ceil((SELECT sum(size) FROM docs) / (64 * 16)))::BIGINT AS block_words
+        greatest(1, ceil((SELECT sum(size) FROM docs) / (16 * greatest(64, 2 ** ceil(log2(greatest(1, ceil((SELECT sum(size) FROM docs) / 268435456.0)))))::BIGINT)))::BIGINT AS block_words
     FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), placed AS (SELECT *, (pos // block_words)::BIGINT AS block FROM ordered
 ), blocks AS (

@@ -107,3 +107,12 @@ def test_empty(docs_of):
         made = mixing.mix(docs_of(rows))
         assert made.draws.collect() == [] and made.documents.count() == len(rows)
         assert mixing.mixed_documents(docs_of(rows), made).count() == 0
+
+
+def test_shards_and_slices_follow_the_words(docs_of, monkeypatch):
+    assert [mixing.shards_for(n << 28) for n in (0, 1, 64, 65, 128, 129, 60_000)] == [64, 64, 64, 128, 128, 256, 65536]
+    monkeypatch.setattr(mixing, "SLICE_WORDS", 500)
+    docs = docs_of(rows_of())
+    made = mixing.mix(docs, shards=4, blocks_per_shard=4)
+    out = mixing.mixed_documents(docs, made)
+    assert made.slices > 5 and sum(len(words(r.text)) for r in out.collect()) == made.draws.agg(F.sum("words")).first()[0]
