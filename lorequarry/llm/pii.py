@@ -6,7 +6,8 @@ passwords, tokens): it scores whole candidate segments, and a dynamic program ov
 at most `max_tokens` tokens, and over whole runs of a value's characters whatever their tokens,
 chooses boundaries and types jointly. The field works on the windows around digits and after cue
 words (password, token, ...) that base spans leave free; everything outside them is no entity, as a
-candidate segment must hold a digit or follow a cue. The weights are learned here, by the gradient of
+candidate segment must hold a digit or follow a cue. A window is a whole piece without white space, however
+long: a token of it leaves some 300 bytes behind while it is decoded. The weights are learned here, by the gradient of
 the conditional likelihood on generated sentences (fixed seed), and travel with the task.
 
 Defined results: a null or empty text has no spans; texts are scanned whole and in linear time;
@@ -19,6 +20,7 @@ import hashlib
 import math
 import random
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -133,7 +135,8 @@ class Window:
         self.glued = [i > 0 and self.tokens[i - 1][1] == s for i, (s, _) in enumerate(self.tokens)]
         self.cue = [CUES.get(text[s:e].lower(), "") for s, e in self.tokens]
         #: the cue before each token, and whether an equal sign or colon stands between
-        self.context = [self.before(i) for i in range(len(self.tokens))]
+        same: dict[tuple[str, bool], tuple[str, bool]] = {}
+        self.context = [same.setdefault(c, c) for c in map(self.before, range(len(self.tokens)))]
 
     def before(self, i: int) -> tuple[str, bool]:
         equal = False
@@ -146,33 +149,36 @@ class Window:
                 break
         return "", equal
 
-    def candidates(self, max_tokens: int) -> dict[int, list[int]]:
-        """For each end the starts of candidate segments: unbroken, with a digit or after a cue, six characters at least; bounded or a whole run."""
-        out: dict[int, list[int]] = {}
-        n = len(self.tokens)
+    def may_start(self, i: int, s: int, e: int) -> bool:
+        """Whether a segment of text from token i on is long enough and holds a digit or follows a cue."""
+        return e - s >= 6 and bool(self.context[i][0] or DIGIT.search(self.text, s, e))
+
+    def candidates(self, max_tokens: int) -> Iterator[list[int]]:
+        """For each end, from the first token's on, the starts of candidate segments: unbroken, with a digit or after a cue, six characters at least; bounded or a whole run."""
+        n, text = len(self.tokens), self.text
+        runs: dict[int, list[int]] = {}
         if n:
             starts, ends = {s: i for i, (s, _) in enumerate(self.tokens)}, {e: i + 1 for i, (_, e) in enumerate(self.tokens)}
-            for m in RUN.finditer(self.text, self.tokens[0][0], self.tokens[-1][1]):
+            for m in RUN.finditer(text, self.tokens[0][0], self.tokens[-1][1]):
                 s, e = m.start(), m.end()
-                while s < e and not self.text[s].isalnum():
+                while s < e and not text[s].isalnum():
                     s += 1
-                while s < e and not (self.text[e - 1].isalnum() or self.text[e - 1] == "="):
+                while s < e and not (text[e - 1].isalnum() or text[e - 1] == "="):
                     e -= 1
                 i, j = starts.get(s), ends.get(e)
-                if i is None or j is None or e - s < 6 or not (self.context[i][0] or DIGIT.search(self.text, s, e)):
-                    continue
-                if j - i > max_tokens or self.text[e - 1] == "=":  # the others come below
-                    out.setdefault(j, []).append(i)
-        for i in range(n):
-            if not self.text[self.tokens[i][0]].isalnum():
-                continue
-            for j in range(i + 1, min(n, i + max_tokens) + 1):
-                if j > i + 1 and not self.glued[j - 1]:
-                    break
-                s, e = self.tokens[i][0], self.tokens[j - 1][1]
-                if e - s >= 6 and self.text[e - 1].isalnum() and (self.context[i][0] or DIGIT.search(self.text, s, e)):
-                    out.setdefault(j, []).append(i)
-        return out
+                # bounded ones come below
+                if i is not None and j is not None and (j - i > max_tokens or text[e - 1] == "=") and self.may_start(i, s, e):
+                    runs.setdefault(j, []).append(i)
+        for j in range(1, n + 1):
+            found, e = [], self.tokens[j - 1][1]
+            if text[e - 1].isalnum():
+                for i in range(j - 1, max(0, j - max_tokens) - 1, -1):
+                    s = self.tokens[i][0]
+                    if text[s].isalnum() and self.may_start(i, s, e):
+                        found.append(i)
+                    if not self.glued[i]:
+                        break
+            yield runs.get(j, []) + found[::-1]
 
     def features(self, i: int, j: int) -> list[str]:
         """Features of tokens i to j as one whole segment."""
@@ -208,41 +214,45 @@ class SemiCrf:
         self.max_tokens = max_tokens
         self.weights: dict[tuple[str, str], float] = {}
 
-    def segments(self, w: Window) -> list[list[tuple[int, str, list[tuple[str, str]]]]]:
-        """For each end the segments that may stand there: start, label, features."""
-        n = len(w.tokens)
-        out: list[list[tuple[int, str, list[tuple[str, str]]]]] = [[] for _ in range(n + 1)]
-        cands = w.candidates(self.max_tokens)
-        for j in range(1, n + 1):
-            out[j].append((j - 1, "none", [("none", f) for f in w.outside(j - 1)]))
-            for i in cands.get(j, ()):
+    def segments(self, w: Window) -> Iterator[list[tuple[int, str, list[tuple[str, str]]]]]:
+        """For each end the segments that may stand there: start, label, features; first for the end of nothing."""
+        yield []
+        for j, starts in enumerate(w.candidates(self.max_tokens), 1):
+            here = [(j - 1, "none", [("none", f) for f in w.outside(j - 1)])]
+            for i in starts:
                 features = w.features(i, j)
-                out[j] += [(i, y, [(y, f) for f in features]) for y in ADDED_KINDS]
-        return out
+                here += [(i, y, [(y, f) for f in features]) for y in ADDED_KINDS]
+            yield here
 
     def score(self, features: list[tuple[str, str]]) -> float:
         get = self.weights.get
         return sum(get(f, 0.0) for f in features)
 
     def decode(self, w: Window) -> list[Span]:
-        """The best segmentation, by dynamic programming over segment ends and labels."""
-        best: list[dict[str, tuple[float, int, str]]] = [{"none": (0.0, 0, "")}]
+        """The best segmentation, by dynamic programming over segment ends and labels. A token leaves a few numbers behind."""
+        k = len(LABELS)
+        to = {y: [self.weights.get((x, "to " + y), 0.0) for x in LABELS] for y in LABELS}
+        scores, begins, befores = array("d", [0.0] + [-math.inf] * (k - 1)), array("q", [0] * k), array("b", [0] * k)
         for j, here in enumerate(self.segments(w)):
             if not j:
                 continue
-            at: dict[str, tuple[float, int, str]] = {}
+            at = [(-math.inf, 0, 0)] * k
             for i, y, features in here:
-                own = self.score(features)
-                before, x = max((v[0] + self.weights.get((x, "to " + y), 0.0), x) for x, v in best[i].items())
-                if y not in at or before + own > at[y][0]:
-                    at[y] = (before + own, i, x)
-            best.append(at)
+                y_at = LABELS.index(y)
+                before, _, x = max((scores[i * k + x] + to[y][x], LABELS[x], x) for x in range(k))
+                total = before + self.score(features)
+                if total > at[y_at][0]:
+                    at[y_at] = total, i, x
+            for total, i, x in at:
+                scores.append(total)
+                begins.append(i)
+                befores.append(x)
         out, j = [], len(w.tokens)
-        y = max(best[j], key=lambda y: best[j][y][0])
+        y = max(range(k), key=lambda y: scores[j * k + y])
         while j:
-            _, i, x = best[j][y]
-            if y != "none":
-                out.append((y, w.tokens[i][0], w.tokens[j - 1][1]))
+            i, x = begins[j * k + y], befores[j * k + y]
+            if y:
+                out.append((LABELS[y], w.tokens[i][0], w.tokens[j - 1][1]))
             j, y = i, x
         return out[::-1]
 
@@ -251,7 +261,7 @@ class SemiCrf:
         cases = []
         for text, gold in sentences:
             w = Window(text, 0, len(text))
-            segments = self.segments(w)
+            segments = list(self.segments(w))
             wanted = {(s, e): k for k, s, e in gold}
             path, j, last = [], 0, "none"
             ends = {w.tokens[i][0]: i for i in range(len(w.tokens))}
@@ -394,8 +404,6 @@ TRIGGER_OR_CUE = re.compile(f"[0-9]|{CUE.pattern}", re.IGNORECASE)
 SPACE = re.compile(r"\s")
 #: A window takes at most so many characters before and after the piece that holds the trigger.
 REACH = 24
-#: Pieces without white space longer than this aren't cut up by the field in one go.
-LONGEST = 4000
 
 
 def windows(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
@@ -418,13 +426,13 @@ def windows(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
         limit = blocked[k][0] if k < len(blocked) else size
         low = max(at, *(text.rfind(c, at, p) + 1 for c in " \n\t\r"))
         stop = SPACE.search(text, p, limit)
-        end = min(stop.start() if stop else limit, max(p, low) + LONGEST)
+        end = stop.start() if stop else limit
         cue = CUE.search(text, p, end) if cued else None
-        while cue and end - low < LONGEST:  # on to the end of the value, which may hold or precede another cue
+        while cue:  # on to the end of the value, which may hold or precede another cue
             value = LINK.match(text, cue.end(), limit).end()
             if value >= end:
                 stop = SPACE.search(text, value, limit)
-                end = min(stop.start() if stop else limit, value + LONGEST)
+                end = stop.start() if stop else limit
             cue = CUE.search(text, cue.end(), end)
         if end - low >= 6:
             first = max(at, low - REACH)

@@ -40,7 +40,7 @@ def test_decoding_is_the_best_of_all_segmentations():
         w = pii.Window(text, 0, len(text))
         if len(w.tokens) > 9:
             continue
-        segments = model.segments(w)
+        segments = list(model.segments(w))
 
         def paths(j, segments=segments):
             if j == 0:

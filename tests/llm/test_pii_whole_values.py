@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import pytest
 
@@ -55,3 +56,22 @@ def test_held_out_values_of_any_kind():
         text = f"words {r.choice(('password', 'token', 'secret', 'pwd'))}{r.choice(('=', ' = ', ': '))}{value} more"
         hit += any(text[s:e] == value for _, s, e in pii.find_spans(text, model)[1])
     assert hit / n > 0.97
+
+
+def test_long_pieces_are_read_whole():
+    model, tail = pii.trained(), ";password=q1w2e3r4t5y6"
+    for n in (*range(3970, 4030, 3), 8000, 100_000, 1_000_000):
+        for fill in ("b", "ab-c."):
+            text = "1" + (fill * n)[:n] + tail
+            assert pii.find_spans(text, model)[1][-1] == ("password", len(text) - 12, len(text))
+
+
+def test_a_long_piece_takes_time_and_memory_in_proportion():
+    model, took = pii.trained(), []
+    for n in (20_000, 80_000):
+        tracemalloc.start()
+        began = time.time()
+        pii.find_spans("a-1" * n, model)
+        took.append((time.time() - began, tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    assert took[1][0] < 10 * took[0][0] and took[1][1] < 6 * took[0][1] and took[1][1] < 1500 * 80_000
