@@ -83,6 +83,13 @@ class Node:
         """Puts the children in the place of this node."""
         self.replace(*self.children)
 
+    def as_element(self, name: str) -> Node:
+        """A bare element of another name with this one's children."""
+        other = Node(name)
+        for child in self.children:
+            other.append(child)
+        return other
+
     def __str__(self) -> str:
         return write(self)
 
