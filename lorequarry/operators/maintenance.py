@@ -101,7 +101,7 @@ def explicit_links(docs: DataFrame, key: str, links: str) -> DataFrame:
     return stated.join(back, [key, "target"], "left").fillna(False, ["mutual"])
 
 
-def title_links(docs: DataFrame, key: str, title: str, threshold: float = 0.5, max_share: int = 1000) -> DataFrame:
+def title_links(docs: DataFrame, key: str, title: str, threshold: float = 0.5) -> DataFrame:
     """(a, b, similarity): documents whose titles' word sets have a Jaccard similarity of threshold or more.
 
     Prefix filtering: two sets that similar share one of the rarest words of each, as many as the

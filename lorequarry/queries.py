@@ -95,9 +95,9 @@ def two_stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 METRICS_SQL = f"""
-    WITH hits AS (SELECT n.*, (a.label = b.label)::INT AS rel, t.total FROM ({knn_sql(20)}) n JOIN embeddings a ON n.query_id = a.vec_id JOIN embeddings b ON n.id = b.vec_id
+    WITH hits AS (SELECT n.*, (a.label = b.label)::INT AS rel, t.total FROM ({knn_sql(50)}) n JOIN embeddings a ON n.query_id = a.vec_id JOIN embeddings b ON n.id = b.vec_id
         JOIN (SELECT label, count(*) - 1 AS total FROM embeddings GROUP BY label) t ON t.label = a.label),
-    ks AS (SELECT unnest([3, 5, 10, 20])::INT AS k)
+    ks AS (SELECT unnest([3, 5, 10, 20, 50])::INT AS k)
     SELECT query_id, k, round(sum(rel) / nullif(max(total), 0), 6) AS recall, round(coalesce(max(CASE WHEN rel = 1 THEN 1.0::DOUBLE / rank END), 0.0), 6)::DOUBLE AS rr,
         round(sum(rel / log2(rank + 1.0::DOUBLE)) / list_aggregate(list_transform(range(1, greatest(1, least(max(total), k)) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE)), 'sum'), 6) AS ndcg
     FROM hits JOIN ks ON rank <= k GROUP BY query_id, k
@@ -106,7 +106,7 @@ METRICS_SQL = f"""
 
 def labelled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    hits = near(spark, sf_dir, 20).join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id").join(e.select(F.col("vec_id").alias("id"), "label"), "id")
+    hits = near(spark, sf_dir, 50).join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id").join(e.select(F.col("vec_id").alias("id"), "label"), "id")
     return hits.join(e.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("total")), "wanted")
 
 
@@ -119,7 +119,7 @@ def recall_mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = labelled_hits(spark, sf_dir)
     out = None
-    for k in (3, 5, 10, 20):
+    for k in (3, 5, 10, 20, 50):
         one = evaluate.ranking_metrics(hits, F.col("label") == F.col("wanted"), F.col("total"), k).agg(F.count("*").alias("n"), F.round(F.avg("recall"), 5).alias("recall"), F.round(F.avg("rr"), 5).alias("mrr"))
         one = one.select(F.lit(k).alias("k"), "n", "recall", "mrr")
         out = one if out is None else out.unionByName(one)
@@ -138,9 +138,11 @@ def clamp_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", search.valid_query(F.col("text")).alias("valid"), k.alias("k"), search.clamp_pool(F.col("p"), k).alias("pool"))
 
 
-@query("SELECT doc_id::VARCHAR AS source_id, text AS raw_content, source FROM documents WHERE doc_id = 7")
+@query("SELECT doc_id::VARCHAR AS source_id, text AS raw_content, source, '2026-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00' AS last_modified FROM documents WHERE doc_id = 7")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").filter("doc_id = 7").select(F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("raw_content"), "source")
+    day = F.to_timestamp(F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("raw_content"), "source", day.alias("last_modified"))
+    return search.get_document(d, "7")
 
 
 @query(f"""
@@ -159,7 +161,7 @@ def match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 BM25_SQL = """
 WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM t),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark WHERE item_id < 20),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark),
 hits AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(ws) AS len, unnest(ws) AS term FROM t) WHERE term IN (SELECT term FROM asked) GROUP BY id, len, term),
 df AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
 scored AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 6) AS score
@@ -170,7 +172,7 @@ SELECT query_id, id, score, rank FROM ranked WHERE rank <= {k}
 
 
 def lexical_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    questions = read(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), "text")
+    questions = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return lexical.bm25(questions, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), k)
 
 
@@ -180,25 +182,28 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH v AS ({knn_sql(10)}), w AS ({knn_sql(10, "e.label % 2 = 0")}),
-parts AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part FROM v UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM w),
+WITH s AS (SELECT i.item_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+    FROM benchmark i JOIN embeddings q ON q.vec_id = i.item_id JOIN embeddings e ON e.vec_id <> i.item_id),
+v AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 50),
+parts AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part FROM v UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM ({BM25_SQL.format(k=50)})),
 sums AS (SELECT query_id, id, round(sum(part), 9) AS score FROM parts GROUP BY query_id, id)
 SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM sums) WHERE rank <= 10
 """)
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion of the 50 nearest vectors and the 50 best BM25 texts of every benchmark passage (its vector is the one of its number)."""
     e = read(spark, sf_dir, "embeddings")
-    other = vector.knn(ask_embeddings(e), e.filter("label % 2 = 0").select(F.col("vec_id").alias("id"), "embedding"), 10, skip_self=True)
-    return lexical.fuse([near(spark, sf_dir, 10), other], 10)
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).join(e, "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+    return lexical.fuse([vector.knn(asked, e.select(F.col("vec_id").alias("id"), "embedding"), 50, skip_self=True), lexical_hits(spark, sf_dir, 50)], 10)
 
 
 @query("""
 SELECT o_orderkey, round(o_totalprice * power(0.5::DOUBLE, greatest(date_diff('day', o_orderdate::DATE, DATE '1999-01-01'), 0) / (CASE WHEN o_orderpriority LIKE '1%' THEN 180.0::DOUBLE ELSE 730.0::DOUBLE END)), 6) AS score,
     round(0.7::DOUBLE * o_totalprice / 1e6 + 0.3::DOUBLE * power(0.5::DOUBLE, greatest(date_diff('day', o_orderdate::DATE, DATE '1999-01-01'), 0) / (CASE WHEN o_orderpriority LIKE '1%' THEN 180.0::DOUBLE ELSE 730.0::DOUBLE END)), 6) AS blended
-FROM orders WHERE o_orderkey % 10 = 0
+FROM orders
 """)
 def freshness_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-lives of 180 days for urgent orders and two years for others; authority times freshness, and a 70/30 blend."""
-    o = read(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
+    o = read(spark, sf_dir, "orders")
     half = F.when(F.col("o_orderpriority").startswith("1"), 180.0).otherwise(730.0)
     fresh = search.freshness(F.to_date("o_orderdate"), F.lit("1999-01-01").cast("date"), half)
     return o.select("o_orderkey", F.round(F.col("o_totalprice") * fresh, 6).alias("score"), F.round(0.7 * F.col("o_totalprice") / 1e6 + 0.3 * fresh, 6).alias("blended"))
@@ -239,13 +244,14 @@ def embedding_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT a.vec_id AS answer_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 10 = 1 WHERE a.vec_id % 10 = 0)
+WITH c AS (SELECT a.vec_id AS answer_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 50 > 0 WHERE a.vec_id % 50 = 0)
 SELECT answer_id, max(cos) AS best, max(cos) >= 0.4::DOUBLE AS grounded FROM c GROUP BY answer_id
 """)
 def guardrail_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set as answers, all other vectors as the chunks of their label."""
     e = read(spark, sf_dir, "embeddings")
-    answers = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("answer_id"), "label", F.col("embedding").alias("answer_vec"))
-    return vector.guardrail(answers, e.filter("vec_id % 10 = 1").select("label", F.col("embedding").alias("chunk_vec")), "label", 0.4)
+    answers = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("answer_id"), "label", F.col("embedding").alias("answer_vec"))
+    return vector.guardrail(answers, e.filter("vec_id % 50 > 0").select("label", F.col("embedding").alias("chunk_vec")), "label", 0.4)
 
 
 @query()
@@ -548,13 +554,13 @@ def merge_small_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE o AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity) AS qs FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey),
+WITH RECURSIVE o AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity) AS qs FROM lineitem GROUP BY l_orderkey),
 fold AS (SELECT l_orderkey, qs, 0 AS i, []::INT[] AS groups, 0 AS g, 0.0::DOUBLE AS used FROM o
     UNION ALL SELECT l_orderkey, qs, i + 1, list_append(groups, CASE WHEN i > 0 AND used + qs[i + 1] > 80 THEN g + 1 ELSE g END), CASE WHEN i > 0 AND used + qs[i + 1] > 80 THEN g + 1 ELSE g END, CASE WHEN i > 0 AND used + qs[i + 1] > 80 THEN qs[i + 1] ELSE used + qs[i + 1] END FROM fold WHERE i < len(qs))
 SELECT l_orderkey, groups FROM fold WHERE i = len(qs)
 """)
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda s: s["l_quantity"]).alias("qs"))
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda s: s["l_quantity"]).alias("qs"))
     return lines.select("l_orderkey", chunking.pack_greedily(F.col("qs"), 80).alias("groups"))
 
 
@@ -567,9 +573,9 @@ def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.ordered_text(c.withColumn("block", block), ["conv_id"], "turn", "block", "\n\n---\n\n")
 
 
-@query("SELECT conv_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY turn), 1, 300) AS raw_content, count(*) AS n_chunks FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY turn), 1, 30000) AS raw_content, count(*) AS n_chunks FROM conversations GROUP BY conv_id")
 def doc_text_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.ordered_text(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", limit=300)
+    return chunking.ordered_text(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", limit=30_000)
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS raw_content, count(*) AS n_chunks FROM conversations GROUP BY conv_id")
@@ -588,11 +594,11 @@ def embed_text_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, substr(trim(regexp_replace(substr(text, 1, 90), '[^a-zA-Z0-9]+', '_', 'g'), '_'), 1, 50) || '__' || doc_id AS request_id FROM documents WHERE regexp_matches(substr(text, 1, 90), '[a-zA-Z0-9]')
+SELECT doc_id, substr(trim(regexp_replace(text, '[^a-zA-Z0-9]+', '_', 'g'), '_'), 1, 50) || '__' || doc_id AS request_id FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9]')
 """)
 def request_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").withColumn("head", F.substring("text", 1, 90)).filter(F.col("head").rlike("[a-zA-Z0-9]"))
-    return d.select("doc_id", X.request_id(X.request_token(F.col("head")), F.col("doc_id")).alias("request_id"))
+    d = read(spark, sf_dir, "documents").filter(F.col("text").rlike("[a-zA-Z0-9]"))
+    return d.select("doc_id", X.request_id(X.request_token(F.col("text")), F.col("doc_id")).alias("request_id"))
 
 
 @query("""
@@ -666,9 +672,9 @@ def base64_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", maintenance.is_blob(F.col("html")).alias("blob"), maintenance.is_image_only(F.col("html")).alias("image_only"))
 
 
-@query("SELECT l_orderkey AS parent_table_id, 'Table with ' || count(*) || ' rows and columns l_partkey, l_quantity.' AS content, count(*) AS n_rows FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS parent_table_id, 'Table with ' || count(*) || ' rows and columns l_partkey, l_quantity.' AS content, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey")
 def table_summary_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintenance.table_summaries(read(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"), "l_orderkey", ["l_partkey", "l_quantity"])
+    return maintenance.table_summaries(read(spark, sf_dir, "lineitem"), "l_orderkey", ["l_partkey", "l_quantity"])
 
 
 @query("SELECT DISTINCT h.conv_id AS document_id, c.turn AS chunk_index, h.conv_id AS query_id, c.role FROM conversations h JOIN conversations c ON h.conv_id = c.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 1 WHERE h.turn = 2")
@@ -696,20 +702,20 @@ def heading_prepend_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH w AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_brand), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS ws FROM part WHERE p_partkey <= 300)
+WITH w AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_brand), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS ws FROM part)
 SELECT a, b, round(s / u, 6) AS similarity FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.ws, y.ws)) AS s, len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)) AS u FROM w x JOIN w y ON x.id < y.id) WHERE s > 0 AND s / u >= 0.6
 """)
 def title_similarity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "part").filter("p_partkey <= 300").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("title"))
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("title"))
     return maintenance.title_links(parts, "p_partkey", "title", 0.6)
 
 
 @query("""
-WITH l AS (SELECT DISTINCT l_suppkey AS doc, l_partkey % 100 AS target FROM lineitem WHERE l_suppkey < 100)
+WITH l AS (SELECT DISTINCT l_suppkey AS doc, l_partkey % 100 AS target FROM lineitem)
 SELECT a.doc, a.target, b.doc IS NOT NULL AS mutual FROM l a LEFT JOIN l b ON a.doc = b.target AND a.target = b.doc
 """)
 def explicit_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = read(spark, sf_dir, "lineitem").filter("l_suppkey < 100").groupBy(F.col("l_suppkey").alias("doc")).agg(F.collect_set(F.col("l_partkey") % 100).alias("links"))
+    links = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("doc")).agg(F.collect_set(F.col("l_partkey") % 100).alias("links"))
     return maintenance.explicit_links(links, "doc", "links")
 
 
@@ -718,9 +724,9 @@ def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_type").distinct().select("event_type", X.identifier_words(F.concat("event_type", F.lit("Event_idValue"))).alias("words"))
 
 
-@query("SELECT doc_id, '[' || list_aggregate(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), 'string_agg', ',') || ']' AS literal FROM (SELECT vec_id AS doc_id, embedding[1:8] AS embedding FROM embeddings)")
+@query("SELECT doc_id, '[' || list_aggregate(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), 'string_agg', ',') || ']' AS literal FROM (SELECT vec_id AS doc_id, embedding FROM embeddings)")
 def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), X.vector_literal(F.slice("embedding", 1, 8)).alias("literal"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), X.vector_literal(F.col("embedding")).alias("literal"))
 
 
 @query("SELECT count(*) AS topics_discovered, count(*) FILTER (WHERE kids = 0 AND found > 0) AS leaf_topics, (SELECT count(DISTINCT o_custkey) FROM orders) AS articles_discovered, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS articles_downloaded FROM (SELECT n_nationkey, n_regionkey % 2 AS kids, n_nationkey % 3 AS found FROM nation)")
