@@ -512,6 +512,72 @@ def html_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", X.content_flags(F.col("html")).alias("f")).select("page_id", "f.*")
 
 
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def texts_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, t): documents with a visible text, as HTML writes it."""
+    return read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\S") & F.col("source").isNotNull()).select("doc_id", "source", escaped(F.col("text")).alias("t"))
+
+
+@query(rf"""SELECT doc_id, '<p href="y">' || {ESCAPED} || '</p><b>' || source || '</b>' AS html FROM documents WHERE regexp_matches(text, '\S') AND source IS NOT NULL""")
+def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts, comments, forms and odd attributes around every text, cleaned away."""
+    made = F.concat(F.lit('<!-- c --><script>var a = "</p>";</script><meta name="x"><p class="k" href="y" onclick="z">'), "t", F.lit("</p><form><b id=i>"), "source", F.lit("</b></form><style>p{}</style>"))
+    return texts_with(spark, sf_dir).select("doc_id", H.column(H.clean, H.pa.string(), "string")(made).alias("html"))
+
+
+@query(rf"""SELECT doc_id, '<p>' || {ESCAPED} || '</p><ul><li>' || source || '<hr></li></ul><div><img></div>' AS html FROM documents WHERE regexp_matches(text, '\S') AND source IS NOT NULL""")
+def html_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visual carriers, empty elements and stray rules around every text, tidied away."""
+    made = F.concat(F.lit("<p></p><p><span><font>"), "t", F.lit("</font></span></p><div> <b></b></div><hr><a></a><ul><li>"), "source", F.lit("<span><hr></span></li></ul><div><img></div>"))
+    return texts_with(spark, sf_dir).select("doc_id", H.column(H.tidy, H.pa.string(), "string")(made).alias("html"))
+
+
+@query(rf"""
+WITH h AS (SELECT doc_id, '<p>' || {ESCAPED} || '</p>' AS cell, '<table><tr><td>' || '<p>' || {ESCAPED} || '</p></td></tr></table>' AS tab FROM documents WHERE regexp_matches(text, '\S') AND source IS NOT NULL)
+SELECT doc_id, ceil(length(tab) / 4) >= 5000 AS layout, CASE WHEN ceil(length(tab) / 4) >= 5000 THEN '<div><p>a</p><div>' || cell || '</div></div>' ELSE '<p>a</p>' || tab END AS html FROM h
+""")
+def html_table_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a table in a div: large tables are frames and give way, divs around other tables go."""
+    made = F.concat(F.lit("<div><p>a</p><table><tr><td><p>"), "t", F.lit("</p></td></tr></table></div>"))
+    html = H.column(lambda x: H.unwrap_table_divs(H.unwrap_layout_tables(x)), H.pa.string(), "string")(made)
+    return texts_with(spark, sf_dir).select("doc_id", html.alias("html")).select("doc_id", F.col("html").startswith("<div>").alias("layout"), "html")
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split({ESCAPED}, chr(10))) AS x, generate_subscripts(string_split({ESCAPED}, chr(10)), 1) AS i FROM documents WHERE regexp_matches(text, '\S') AND source IS NOT NULL),
+m AS (SELECT doc_id, i, CASE WHEN i % 3 = 1 THEN 'Part ' || i END AS head, '<p>' || x || '</p>' AS p FROM l),
+g AS (SELECT *, count(head) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM m)
+SELECT doc_id, max(head) AS heading, string_agg(p, '' ORDER BY i) AS content FROM g GROUP BY doc_id, part
+""")
+def html_heading_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heading before every third line of every text, cut at the headings."""
+    line = lambda x, i: F.concat(F.when(i % 3 == 0, F.concat(F.lit("<h2>Part "), (i + 1).cast("string"), F.lit("</h2>"))).otherwise(""), F.lit("<p>"), x, F.lit("</p>"))
+    made = F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.split("t", "\n"), line), ""), F.lit("</body></html>"))
+    parts = H.column(lambda x: [{"heading": c.headings.get("h2"), "content": c.content} for c in H.split_at_headings(x)], H.pa.list_(H.pa.struct([("heading", H.pa.string()), ("content", H.pa.string())])), "array<struct<heading:string,content:string>>")
+    return texts_with(spark, sf_dir).select("doc_id", F.explode(parts(made)).alias("c")).select("doc_id", "c.*")
+
+
+@query(r"""
+SELECT page_id, name, level FROM (SELECT page_id, name, CASE WHEN regexp_matches(name, '^[Tt]op$|^_[Tt][Oo][Pp]$') THEN NULL WHEN regexp_matches(name, '^S[IVX]+$') THEN 'h2' WHEN regexp_matches(name, '^Topic\d+$') THEN 'h2' WHEN regexp_matches(name, '^f\d+|^_Hlk') THEN NULL
+    WHEN regexp_matches(name, '^\d{3,}\d[a-z]$') THEN 'h4' WHEN regexp_matches(name, '^\d{3,}[a-z]$') THEN 'h4' WHEN regexp_matches(name, '^\d{3,}$') THEN 'h3' WHEN regexp_matches(name, '^[A-Z]$') THEN 'h3' WHEN regexp_matches(name, '^[A-Z][a-z]$') THEN 'h4' END AS level
+    FROM (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'Top' WHEN 1 THEN 'SIV' WHEN 2 THEN 'Topic' || page_id WHEN 3 THEN 'f' || page_id WHEN 4 THEN (1000 + page_id) || 'a' WHEN 5 THEN (1000 + page_id)::VARCHAR WHEN 6 THEN 'B' ELSE 'Ab' END AS name FROM pages)) WHERE level IS NOT NULL
+""")
+def html_anchor_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named anchors of every kind, one for each page, made headings."""
+    i = F.col("page_id")
+    known = [F.lit("Top"), F.lit("SIV"), F.concat(F.lit("Topic"), i.cast("string")), F.concat(F.lit("f"), i.cast("string")), F.concat((1000 + i).cast("string"), F.lit("a")), (1000 + i).cast("string"), F.lit("B"), F.lit("Ab")]
+    made = F.concat(F.lit('<div><p><a name="'), F.element_at(F.array(*known), (i % 8 + 1).cast("int")), F.lit('"></a><strong>A title</strong> and more</p></div>'))
+    out = read(spark, sf_dir, "pages").select("page_id", H.column(H.anchors_to_headings, H.pa.string(), "string")(made).alias("html"))
+    hit = lambda g: F.regexp_extract("html", r'^<div><(h[1-6]) id="([^"]+)">A title</h[1-6]></div>$', g)
+    return out.select("page_id", hit(2).alias("name"), hit(1).alias("level")).filter("level <> ''")
+
+
 @query()
 def html_structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.col("html").alias("content"))
