@@ -70,3 +70,16 @@ def ngram_overlap(pairs: DataFrame, n: int = 1) -> DataFrame:
     sums = both.groupBy("pair_id").agg(F.sum(F.least("c", "r")).alias("hits"), F.sum("c").alias("c"), F.sum("r").alias("r"))
     recall, precision = F.col("hits") / F.nullif(F.col("r"), F.lit(0)), F.col("hits") / F.nullif(F.col("c"), F.lit(0))
     return sums.select("pair_id", F.round(recall, 6).alias("recall"), F.round(precision, 6).alias("precision"), F.round(2.0 * F.col("hits") / F.nullif(F.col("c") + F.col("r"), F.lit(0)), 6).alias("f1"))
+
+
+def bleu(pairs: DataFrame, max_n: int = 4) -> DataFrame:
+    """(pair_id, bleu) of (pair_id, candidate, reference): geometric mean of the clipped precisions of 1 to max_n words, with the penalty for short candidates."""
+    precision = None
+    for n in range(1, max_n + 1):
+        one = ngram_overlap(pairs, n).select("pair_id", F.col("precision").alias(f"p{n}"))
+        precision = one if precision is None else precision.join(one, "pair_id", "left")
+    sizes = pairs.select("pair_id", F.size(tokens(F.col("candidate"))).alias("c"), F.size(tokens(F.col("reference"))).alias("r"))
+    logs = sum((F.log(F.col(f"p{n}")) for n in range(1, max_n + 1)), F.lit(0.0)) / max_n
+    short = F.when(F.col("c") < F.col("r"), F.exp(1 - F.col("r") / F.col("c"))).otherwise(1.0)
+    some = F.coalesce(F.least(*[F.coalesce(f"p{n}", F.lit(0.0)) for n in range(1, max_n + 1)], F.lit(1.0)) > 0, F.lit(False))
+    return sizes.join(precision, "pair_id", "left").select("pair_id", F.round(F.when(some, short * F.exp(logs)).otherwise(0.0), 6).alias("bleu"))

@@ -76,6 +76,22 @@ def distinct_results(hits: DataFrame, text: str) -> DataFrame:
     return hits.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
 
 
+def dissimilar_results(hits: DataFrame, text: str, threshold: float = 0.8) -> DataFrame:
+    """Hits of each query in the order of their rank, without those whose word set is as similar (Jaccard) as the threshold to one kept before.
+
+    A query's hits are a result list, so they are gathered: as many as were asked for.
+    """
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))
+    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", words.alias("words")))).alias("hits"))
+
+    def close(a: Column, b: Column) -> Column:
+        same = F.size(F.array_intersect(a["words"], b["words"]))
+        return same >= threshold * (F.size(a["words"]) + F.size(b["words"]) - same)
+
+    kept = F.aggregate("hits", F.slice("hits", F.lit(1), F.lit(0)), lambda done, h: F.when(F.exists(done, lambda d: close(d, h)), done).otherwise(F.array_append(done, h)))
+    return hits.join(listed.select("query_id", F.explode(F.transform(kept, lambda k: k["rank"])).alias("rank")), ["query_id", "rank"], "left_semi")
+
+
 def neighbours(hits: DataFrame, chunks: DataFrame, reach: int = 1) -> DataFrame:
     """Hits (query_id, document_id, chunk_index) with the chunks up to reach places around them, each once."""
     around = hits.select("query_id", "document_id", F.explode(F.sequence(F.col("chunk_index") - reach, F.col("chunk_index") + reach)).alias("chunk_index")).distinct()

@@ -62,6 +62,25 @@ class OverlapScorer:
         return out
 
 
+def counted_by(text: Column, make: Callable[[], Callable[[str], int]]) -> Column:
+    """Token count of a text by a tokenizer; make builds the counting function once a task."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count = make()
+        for batch in batches:
+            yield pa.array([count(x.as_py() or "") for x in batch], pa.int32())
+
+    return F.arrow_udf(run, "int")(text)
+
+
+def vocabulary_counter(path: str) -> Callable[[str], int]:
+    """A counting function from a tokenizer's JSON file, which stands at the same path on every executor."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def embed(df: DataFrame, text: str, make: Callable[[], Embedder] = HashEmbedder, name: str = "embedding", batch: int = EMBED_BATCH) -> DataFrame:
     """df with the vectors of a text column; each task builds the model once."""
 
@@ -81,7 +100,15 @@ def score_pairs(df: DataFrame, query: str, text: str, make: Callable[[], Scorer]
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = make()
         for queries, texts in batches:
-            yield pa.array([float(model.score(q.as_py() or "", [t.as_py() or ""])[0]) for q, t in zip(queries, texts)], pa.float64())
+            asked: dict[str, list[int]] = {}
+            for i, q in enumerate(queries.to_pylist()):
+                asked.setdefault(q or "", []).append(i)
+            read = [t or "" for t in texts.to_pylist()]
+            scores = [0.0] * len(read)
+            for q, at in asked.items():  # all of a query's texts in the batch at once
+                for i, score in zip(at, model.score(q, [read[i] for i in at])):
+                    scores[i] = float(score)
+            yield pa.array(scores, pa.float64())
 
     return df.withColumn(name, F.arrow_udf(run, "double")(F.col(query), F.col(text)))
 

@@ -57,3 +57,10 @@ def progress(requests: DataFrame) -> DataFrame:
     total = requests.agg(F.count("*").alias("total"))
     counts = requests.groupBy("status").agg(F.count("*").alias("n"))
     return counts.crossJoin(F.broadcast(total)).select("status", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
+
+
+def index_coverage(stored: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """One row: documents expected, stored among them, missing, and stored without being expected."""
+    have, want = (df.select(key).distinct().withColumn(name, F.lit(True)) for df, name in ((stored, "have"), (expected, "want")))
+    both = have.join(want, key, "full_outer")
+    return both.agg(F.count("want").alias("expected"), F.count_if(F.expr("have and want")).alias("stored"), F.count_if(F.col("have").isNull()).alias("missing"), F.count_if(F.col("want").isNull()).alias("unexpected"))

@@ -188,3 +188,10 @@ def guardrail(answers: DataFrame, chunks: DataFrame, key: str, threshold: float)
     """Each answer's best cosine with its own retrieved chunks, and whether it is grounded."""
     scored = answers.join(chunks, key).select("answer_id", F.round(cosine(F.col("answer_vec"), F.col("chunk_vec")), DIGITS).alias("cos"))
     return scored.groupBy("answer_id").agg(F.max("cos").alias("best")).withColumn("grounded", F.col("best") >= threshold)
+
+
+def probe_drift(before: DataFrame, now: DataFrame, key: str, limit: float = 0.99) -> DataFrame:
+    """One row on a probe set (key, embedding) embedded twice: probes, mean and least cosine, and how many moved below the limit."""
+    both = before.select(key, F.col("embedding").alias("a")).join(now.select(key, F.col("embedding").alias("b")), key)
+    moved = both.select(F.round(cosine(F.col("a"), F.col("b")), DIGITS).alias("cos"))
+    return moved.agg(F.count("*").alias("n"), F.round(F.avg("cos"), DIGITS).alias("mean"), F.min("cos").alias("least"), F.count_if(F.col("cos") < limit).alias("moved"))

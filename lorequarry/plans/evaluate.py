@@ -125,7 +125,7 @@ def audit(golden: DataFrame, documents: DataFrame) -> DataFrame:
     lacking = F.filter("subject", lambda t: ~F.contains(low, F.lower(t)))
     answered = first.select("id", lacking.alias("subject_missing"), X.share_present(F.col("terms"), F.col("content")).alias("answer_hit"))
     alternates = other_sources(q, documents)
-    return q.select("id", "subject", "terms").join(missing, "id", "left").join(answered, "id", "left").join(alternates, "id", "left")
+    return q.select("id", "expected_source_ids", "subject", "terms").join(missing, "id", "left").join(answered, "id", "left").join(alternates, "id", "left")
 
 
 def terms_found(text: Column, terms: list[str]) -> Column:
@@ -180,3 +180,31 @@ def agreement(judged: DataFrame, threshold: float = 0.9) -> DataFrame:
     c = judged.agg(F.count_if(F.expr("judge and human")).alias("both_pass"), F.count_if(F.expr("judge and not human")).alias("judge_only"), F.count_if(F.expr("not judge and human")).alias("human_only"), F.count_if(F.expr("not judge and not human")).alias("both_fail"))
     rate = (F.col("both_pass") + F.col("both_fail")) / F.nullif(F.col("both_pass") + F.col("judge_only") + F.col("human_only") + F.col("both_fail"), F.lit(0))
     return c.withColumn("agreement", rate).withColumn("enough", rate >= threshold)
+
+
+def audit_counts(audited: DataFrame) -> DataFrame:
+    """One row of counters over the rows of audit: questions, those without an accepted id, with missing ids, missing subject terms, alternates."""
+    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    return audited.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.coalesce(F.size("expected_source_ids"), F.lit(0)) <= 0).alias("no_source_id"),
+        F.count_if(has("missing_ids")).alias("missing_source"),
+        F.count_if(has("subject_missing")).alias("subject_missing"),
+        F.count_if(has("alternates")).alias("has_alternates"),
+    )
+
+
+def source_f1(rows: DataFrame, expected: str, got: str) -> DataFrame:
+    """rows with precision, recall and f1 of the distinct sources got against those expected; null where neither holds any."""
+    want, have = (F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in (expected, got))
+    hits, n = F.size(F.array_intersect(want, have)), F.size(want) + F.size(have)
+    share = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 6)
+    return rows.withColumns({"precision": share(hits, F.size(have)), "recall": share(hits, F.size(want)), "f1": share(2.0 * hits, n)})
+
+
+def failure_clusters(scores: DataFrame, n_examples: int = 3) -> DataFrame:
+    """(failed, n, examples): questions of (id, metric, success) that fail the same set of metrics, the largest group first in n."""
+    failed = scores.filter("not success").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("metric")), ", ").alias("failed"))
+    order = Window.partitionBy("failed").orderBy("id")
+    ranked = failed.withColumn("place", F.row_number().over(order))
+    return ranked.groupBy("failed").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= n_examples, F.col("id")))).alias("examples"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -58,3 +58,42 @@ def store_new(chunks: DataFrame, stored_documents: DataFrame | None, documents_p
         rows = rows.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     rows.write.mode("append").parquet(chunks_path)
     docs.write.mode("append").parquet(documents_path)
+
+
+def store_batch(chunks: DataFrame, documents_path: str, chunks_path: str, batch: str) -> None:
+    """Stores a batch's documents and chunks under its name, chunks first; storing the batch again replaces it, so a rerun after a crash repeats nothing."""
+    docs, rows = stored_tables(chunks)
+    files.write_batch(rows, chunks_path, batch)
+    files.write_batch(docs, documents_path, batch)
+
+
+def numbered_tokens(chunks: DataFrame) -> DataFrame:
+    """(source_id, token) of the distinct sources; of those with an equal token the later ones end in `__` and their number, which no plain token holds."""
+    once = chunks.select("source_id").filter("source_id is not null").distinct().withColumn("token", X.request_token(F.col("source_id")))
+    once = once.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("source_id")))
+    suffix = F.concat(F.lit("__"), F.col("place").cast("string"))
+    numbered = F.concat(F.left("token", F.lit(50) - F.length(suffix)), suffix)
+    return once.select("source_id", F.when(F.col("place") == 1, F.col("token")).otherwise(numbered).alias("token"))
+
+
+def submit(chunks: DataFrame, prompt: Column, limit_docs: int | None = None) -> DataFrame:
+    """(request_id, source_id, chunk_index, prompt, status): a batch's requests for contexts, pending; of the first limit_docs sources where that is set."""
+    tokens = numbered_tokens(chunks)
+    if limit_docs is not None:
+        tokens = tokens.join(tokens.select("source_id").orderBy("source_id").limit(limit_docs), "source_id", "left_semi")
+    asked = chunks.join(tokens, "source_id")
+    return asked.select(X.request_id(F.col("token"), F.col("chunk_index")).alias("request_id"), "source_id", "chunk_index", prompt.alias("prompt"), F.lit("pending").alias("status"))
+
+
+def poll(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """requests with their status by the responses (request_id, context, error) that have come."""
+    came = responses.select("request_id", "error").withColumn("came", F.lit(True))
+    status = F.when(F.col("came").isNull(), F.col("status")).when(F.col("error").isNotNull(), "failed").otherwise("done")
+    return requests.join(came, "request_id", "left").withColumn("status", status).drop("came", "error")
+
+
+def collect_contexts(chunks: DataFrame, requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """chunks with the contexts that came; the others keep theirs, if any."""
+    got = requests.join(responses.filter("error is null").select("request_id", F.col("context").alias("_context")), "request_id").select("source_id", "chunk_index", "_context")
+    old = F.col("context") if "context" in chunks.columns else F.lit(None).cast("string")
+    return chunks.join(got, ["source_id", "chunk_index"], "left").withColumn("context", F.coalesce("_context", old)).drop("_context")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENTS = (
@@ -70,3 +70,9 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Children whose parent is missing."""
     return children.join(parents.select(key), key, "left_anti")
+
+
+def create_tables(spark: SparkSession, location: str, buckets: int = 64) -> None:
+    """Tables documents and chunks at a location, chunks bucketed by document_id, so that joins and sums by document need no shuffle of them."""
+    for name, columns, layout in (("documents", DOCUMENTS, ""), ("chunks", CHUNKS, f"CLUSTERED BY (document_id) INTO {int(buckets)} BUCKETS")):
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {layout} LOCATION '{location.rstrip('/')}/{name}'")

@@ -88,3 +88,15 @@ def write_artifact(summary: DataFrame, results: DataFrame, path: str) -> None:
 def insert_new(df: DataFrame, existing: DataFrame, key: str, path: str) -> None:
     """Appends the rows whose key isn't stored yet; the job commits them together."""
     df.join(existing.select(key), key, "left_anti").write.mode("append").parquet(path)
+
+
+def write_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Writes df as the batch's own part of a table; writing it again replaces that part only."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def write_json(df: DataFrame, path: str, version: str) -> str:
+    """Writes df as JSON, an object a line, as a new version beside earlier ones."""
+    target = f"{path.rstrip('/')}/version={version}"
+    df.write.json(target)
+    return target
