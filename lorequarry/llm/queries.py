@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extraction, language_id, line_dedup, mixing, packing, pii, quality, simhash, topk
+from . import byte_bpe, embedding_dedup, html_extraction, language_id, line_dedup, mixing, packing, pii, quality, simhash, topk
 from .common import table
 
 
@@ -62,6 +63,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, cluster=packing.near_clusters(docs))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = byte_bpe.codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), shared)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_top_k": op2_top_k,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
