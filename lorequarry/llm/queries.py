@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, html_extraction, language_id, line_dedup, mixing, packing, pii, quality, simhash, topk
+from . import byte_bpe, embedding_dedup, html_extraction, language_id, line_dedup, mixing, packing, pii, prefix_trie, quality, simhash, topk
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), shared)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_top_k": op2_top_k,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -155,5 +160,38 @@ WITH sized AS (
 ), tails AS (SELECT source, block, head, passes, greatest(0, least(words, rest - before)) AS tail FROM turned)
 SELECT p.doc_id, p.size, p.source_size, p.target, (t.passes * p.size + greatest(0, least(p.size, t.tail - (p.pos - t.head))))::BIGINT AS taken
 FROM placed p JOIN tails t ON p.source IS NOT DISTINCT FROM t.source AND p.block = t.block
+""",
+    # every prefix as the string of its turns' digests; each node's figures go to all its prefixes
+    "op12_prefix_trie": r"""
+WITH crc AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)
+), ids AS (
+    SELECT c, c - ((c % 20) + 20) % 20 AS base,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+    FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), crc
+), filled AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), keyed AS (
+    SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM filled
+), turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS p FROM keyed
+), built AS (
+    SELECT c, 0 AS part, p, key, words FROM ids JOIN turns ON conv_id = base AND p <= h
+    UNION ALL SELECT c, 1, p, key, words FROM ids JOIN turns ON conv_id = c AND p > h
+), steps AS (
+    SELECT c, row_number() OVER o AS d, string_agg(key, '') OVER o AS path, words FROM built WINDOW o AS (PARTITION BY c ORDER BY part, p ROWS UNBOUNDED PRECEDING)
+), whole AS (SELECT c, d, path, words FROM steps UNION ALL SELECT c, 0, '', 0 FROM ids
+), lengths AS (SELECT c, max(d) AS n FROM whole GROUP BY c
+), nodes AS (
+    SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n) AS ends
+    FROM whole JOIN lengths USING (c) GROUP BY path, d
+), families AS (
+    SELECT a.path, a.d, a.conv_id, a.n_convs, a.ends, p.conv_id AS parent_conv_id, count(k.path) AS n_children
+    FROM nodes a LEFT JOIN nodes p ON a.d = p.d + 1 AND left(a.path, 32 * p.d) = p.path LEFT JOIN nodes k ON k.d = a.d + 1 AND left(k.path, 32 * a.d) = a.path
+    GROUP BY ALL
+), rising AS (
+    SELECT left(path, 32 * k) AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+    FROM (SELECT n.path, n.words, n.n_convs, f.n_children, unnest(range(0, n.d + 1)) AS k FROM nodes n JOIN families f USING (path)) GROUP BY 1
+)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM families JOIN rising USING (path)
 """,
 }
