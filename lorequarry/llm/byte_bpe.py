@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,26 +37,33 @@ from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, Stru
 from .common import release_memory, unused
 
 #: Entries that a worker's tables of arcs, of pairs, and of decoded tokens may hold before they are emptied (about 100 MB each).
-TABLE = 400_000
+TABLE = 500_000
 #: Entries of each of the two generations of pieces that a worker remembers with their tokens.
-PIECES = 120_000
+PIECES = 250_000
 #: Pieces up to so many characters are remembered with their tokens.
 SHORT_PIECE = 40
 #: Texts from so many characters on are split piece by piece instead of into a list of pieces.
 LONG_TEXT = 1 << 20
 
+#: The rank of what doesn't merge.
+NEVER = 1 << 60
+
 Config = tuple[int, int, tuple[int, ...]]
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Tokens of a short piece by plain greedy merging: the pair of least rank first, the leftmost of equals."""
+def merges(piece: bytes, ranks: dict[bytes, int]) -> tuple[list[bytes], list[tuple[int, bytes, bytes]]]:
+    """The parts that greedy merging leaves (the pair of least rank first, the leftmost of equals), and its history.
+
+    The history has the rank of each merge, and at last NEVER, with the first and the last part that stand before it.
+    """
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if rank == 1 << 60:
-            break
+    history = []
+    while True:
+        rank, at = min(((ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1)), default=(NEVER, 0))
+        history.append((rank, parts[0], parts[-1]))
+        if rank == NEVER:
+            return parts, history
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
 
 
 class Transducer:
@@ -82,6 +90,7 @@ class Transducer:
                 node = following
             self.ends[node] = number
         self.follows: dict[tuple[int, int], bool] = {}
+        self.histories: dict[int, list[tuple[int, bytes, bytes]] | None] = {}
         self.restart()
 
     def restart(self) -> None:
@@ -90,17 +99,48 @@ class Transducer:
         self.numbers: dict[tuple[Config, ...], int] = {self.states[0]: 0}
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
+    def history(self, token: int) -> list[tuple[int, bytes, bytes]] | None:
+        """The merges that lead to a token, None if merging its bytes doesn't make it."""
+        if token not in self.histories:
+            parts, history = merges(self.tokens[token], self.ranks)
+            self.histories[token] = history if len(parts) == 1 else None
+        return self.histories[token]
+
     def may_follow(self, last: int, token: int) -> bool:
-        """Whether merging leaves the two tokens as they are when they stand side by side (-1: at a piece's start)."""
+        """Whether merging leaves the two tokens as they are when they stand side by side (-1: at a piece's start).
+
+        The merges of either side come in their own order, the one of less rank first. The tokens stay
+        apart if at no moment the parts at the border have a rank below the next merge to their left and
+        not above the next one to their right.
+        """
         known = self.follows.get((last, token))
         if known is None:
             if len(self.follows) >= TABLE:
                 self.follows.clear()
-            before = [] if last < 0 else [last]
-            whole = b"".join(self.tokens[t] for t in (*before, token))
-            known = self.follows[last, token] = merged(whole, self.ranks) == [*before, token]
+            known = self.follows[last, token] = self.stay_apart(last, token)
         return known
 
+    def stay_apart(self, last: int, token: int) -> bool:
+        right = self.history(token)
+        if right is None or last < 0:
+            return right is not None
+        left = self.history(last)
+        if left is None:
+            return False
+        i = j = 0
+        while True:
+            before, _, x = left[i]
+            after, y, _ = right[j]
+            across = self.ranks.get(x + y, NEVER)
+            if across < before and across <= after:
+                return False
+            if before <= after:
+                if before == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def arc(self, configs: tuple[Config, ...], byte: int) -> tuple[tuple[Config, ...], tuple[int, ...]]:
         """The configurations after one more byte, and the tokens that are certain by then."""
         alive: list[Config] = []
@@ -223,7 +263,8 @@ class Codec:
     def pack(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
-            packed = np.array(self.transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
+            ids = self.transducer.encode(piece.encode("utf-8"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= SHORT_PIECE:
             if len(self.pieces) >= PIECES:  # what isn't met again while the young generation fills is forgotten
                 self.pieces, self.older = {}, self.pieces

@@ -116,3 +116,13 @@ def test_query(spark, sf_dir):
         tokens = THEIRS.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(tokens), hashlib.sha256(np.array(tokens, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_pairs_stay_apart_exactly_if_merging_keeps_them():
+    rng = random.Random(8)
+    machine = CODEC.transducer
+    short = [i for i, t in machine.tokens.items() if len(t) < 5]
+    for _ in range(20000):
+        a, b = rng.choice(short), rng.choice(short)
+        parts, _ = byte_bpe.merges(machine.tokens[a] + machine.tokens[b], RANKS)
+        assert machine.stay_apart(a, b) == (parts == [machine.tokens[a], machine.tokens[b]])
