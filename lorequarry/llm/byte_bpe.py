@@ -256,6 +256,8 @@ class Codec:
             self.utf8 = Utf8Machine()
             self.pieces: dict[str, bytes] = {}
             self.older: dict[str, bytes] = {}
+            # the text of tokens that hold whole characters only
+            self.whole = {i: text for i, t in self.transducer.tokens.items() for text, rest in [self.utf8.feed(b"", t)] if not rest}
             self.decoded: dict[tuple[bytes, int], tuple[str, bytes]] = {}
             self.ready = True
         return self
@@ -280,16 +282,18 @@ class Codec:
 
     def stream(self, tokens: Iterable[int]) -> Iterator[str]:
         """The text of tokens, portion by portion as they come."""
-        start, known, names = b"", self.decoded, self.transducer.tokens
+        start, whole, known, names = b"", self.whole.get, self.decoded, self.transducer.tokens
         for token in tokens:
+            if not start and (text := whole(token)) is not None:
+                yield text
+                continue
             step = known.get((start, token))
             if step is None:
                 if len(known) >= TABLE:
                     known.clear()
                 step = known[start, token] = self.utf8.feed(start, names[token])
             text, start = step
-            if text:
-                yield text
+            yield text
         if start:
             yield "�"
 
