@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from . import schemas
 from .functions import html_ops as H
 from .functions import text as X
-from .operators import chunking, enrich, hierarchy, lexical, maintenance, models, telemetry, vector
+from .operators import chunking, enrich, fulltext, hierarchy, impact_index, lexical, maintenance, models, telemetry, vector
 from .plans import evaluate, run, search
+from .storage import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,6 +198,55 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.fuse([vector.knn(asked, e.select(F.col("vec_id").alias("id"), "embedding"), 50, skip_self=True), lexical_hits(spark, sf_dir, 50)], 10)
 
 
+@query(BM25_SQL.format(k=10))
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 by the stored index: built into a new folder, then searched for every benchmark passage."""
+    path = f"{shared_dir(spark)}/impact-index-{uuid.uuid4().hex}"
+    impact_index.build(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+    questions = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return impact_index.bm25(impact_index.load(spark, path), questions, 10)
+
+
+WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+
+@query(f"SELECT doc_id, lexeme, list(place ORDER BY place) AS positions FROM (SELECT doc_id, unnest({WORDS_SQL}) AS lexeme, generate_subscripts({WORDS_SQL}, 1)::INT AS place FROM documents) GROUP BY doc_id, lexeme")
+def tsvector_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.lexemes(read(spark, sf_dir, "documents"), ["doc_id"], "text", "simple")
+
+
+@query()
+def tsvector_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.lexemes(read(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def asked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, sentence_no, phrase): every sentence of every benchmark passage."""
+    parts = F.split(F.coalesce("text", F.lit("")), r"[.!?\n]+")
+    return read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(parts).alias("sentence_no", "phrase"))
+
+
+@query(rf"""
+WITH asked AS (SELECT item_id, unnest(string_split_regex(coalesce(text, ''), '[.!?\n]+')) AS text, generate_subscripts(string_split_regex(coalesce(text, ''), '[.!?\n]+'), 1)::INT - 1 AS sentence_no FROM benchmark),
+p AS (SELECT item_id, sentence_no, ' ' || array_to_string({WORDS_SQL}, ' ') || ' ' AS phrase FROM asked WHERE len({WORDS_SQL}) > 0),
+d AS (SELECT doc_id, ' ' || array_to_string({WORDS_SQL}, '  ') || ' ' AS whole FROM documents)
+SELECT item_id, sentence_no, doc_id, (length(whole) - length(replace(whole, replace(phrase, ' ', '  ')[2:-2], ''))) // length(replace(phrase, ' ', '  ')[2:-2]) AS starts FROM p JOIN d ON contains(whole, replace(phrase, ' ', '  ')[2:-2])
+""")
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a sentence of a benchmark passage word by word, whatever stands between the words."""
+    key = ["item_id", "sentence_no"]
+    index = fulltext.lexemes(read(spark, sf_dir, "documents"), ["doc_id"], "text", "simple")
+    return fulltext.phrase_match(materialize(index, "index"), fulltext.phrases(asked_sentences(spark, sf_dir), "phrase", key, "simple"), key, "doc_id")
+
+
+@query()
+def phrase_match_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by stems, without stop words."""
+    key = ["item_id", "sentence_no"]
+    index = fulltext.lexemes(read(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return fulltext.phrase_match(materialize(index, "index"), fulltext.phrases(asked_sentences(spark, sf_dir), "phrase", key), key, "doc_id")
+
+
 @query("""
 SELECT o_orderkey, round(o_totalprice * power(0.5::DOUBLE, greatest(date_diff('day', o_orderdate::DATE, DATE '1999-01-01'), 0) / (CASE WHEN o_orderpriority LIKE '1%' THEN 180.0::DOUBLE ELSE 730.0::DOUBLE END)), 6) AS score,
     round(0.7::DOUBLE * o_totalprice / 1e6 + 0.3::DOUBLE * power(0.5::DOUBLE, greatest(date_diff('day', o_orderdate::DATE, DATE '1999-01-01'), 0) / (CASE WHEN o_orderpriority LIKE '1%' THEN 180.0::DOUBLE ELSE 730.0::DOUBLE END)), 6) AS blended
