@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. Pass one classifies each block by
 link density, length and stop-word density. Pass two lets the ambiguous blocks (short ones, those of middling
 figures) inherit the label of the nearest decided neighbours, those of their own container first.
 Containers only speak against: what stands in a menu, footer, form and the like is bad, as is what stands
-outside the page's surest container of an article, where there is one; inside it a block isn't bad for its figures alone.
+outside the page's surest container of an article, where there is one. Inside it, and on pages without one, the same
+figures decide: a list of links is bad there too, and text without stop words goes with its neighbours.
 
 Defined results: a null or empty page, and a page without article text, give the empty string;
 pages of any length are read whole; unclosed and stray tags never fail; rows repeat in the
@@ -79,7 +80,7 @@ class Rules:
     short_chars: int = 70
     long_chars: int = 200
     #: for the few dozen stop words a language has here
-    stop_low: float = 0.05
+    stop_low: float = 0.005
     stop_high: float = 0.15
     max_link_density: float = 0.33
     heading_reach: int = 200
@@ -96,9 +97,11 @@ class Block:
     level: int = 0
     #: number of the nearest open element that holds several blocks
     container: int = 0
+    #: share of stop words, of blocks that aren't short
+    stop: float = 0.0
     text: str = ""
     label: str = ""
-    #: what gave the label: container, links, stop words, neighbours or, where no block of the article is decided, nothing against it
+    #: what gave the label: container, links, stop words, neighbours or, on a page without a good block, that it is the best there is
     rule: str = ""
 
 
@@ -224,16 +227,15 @@ def decide(block: Block, rules: Rules, level: int) -> tuple[str, str]:
     text = block.text
     if block.boilerplate or block.level < level:
         return BAD, "container"
-    doubt = NEAR if block.level else BAD
     if block.link_chars > rules.max_link_density * len(text.replace(" ", "")):
-        return doubt, "links"
+        return BAD, "links"
     if len(text) < rules.short_chars:
-        return (doubt, "links") if block.link_chars else (SHORT, "")
+        return SHORT, ""
     words = WORDS.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    block.stop = stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if len(text) <= rules.long_chars:
         return (NEAR if stop >= rules.stop_high else SHORT), ""
-    return (GOOD if stop >= rules.stop_high else NEAR if stop >= rules.stop_low else doubt), "stop words"
+    return (GOOD, "stop words") if stop >= rules.stop_high else (NEAR if stop >= rules.stop_low else SHORT, "")
 
 
 def nearest(first: list[str], groups: list[int]) -> list[tuple[int | None, int | None]]:
@@ -248,8 +250,22 @@ def nearest(first: list[str], groups: list[int]) -> list[tuple[int | None, int |
     return [(a, b) for a, b in out]
 
 
+def promote(blocks: list[Block], rules: Rules) -> None:
+    """On a page without a good block, the nearly good ones are good; if it has none of them, all that no rule speaks
+    against, unless a long block has stop words, but too few, or links make a block bad: then the page has no text."""
+    if any(b.label == GOOD for b in blocks):
+        return
+    undecided = [b for b in blocks if b.label != BAD]
+    some = [b for b in undecided if b.label == NEAR]
+    if not some and all(len(b.text) <= rules.long_chars or not b.stop for b in undecided) and not any(b.rule == "links" for b in blocks):
+        some = undecided
+    for b in some:
+        b.label, b.rule = GOOD, "best of the page"
+
+
 def settle(blocks: list[Block], rules: Rules, level: int) -> None:
     """Pass two: ambiguous blocks take the label of the nearest decided neighbours: of their container, else of the article, else of the page."""
+    promote(blocks, rules)
     first = [b.label for b in blocks]
     inside = [int(not b.boilerplate and b.level >= level) for b in blocks]
     kin = nearest(first, [b.container if inside[i] else -1 for i, b in enumerate(blocks)])
@@ -258,27 +274,20 @@ def settle(blocks: list[Block], rules: Rules, level: int) -> None:
         if first[i] in (GOOD, BAD):
             continue
         b.rule = "neighbours"
-        left, right = next((x for x in (kin[i], article[i]) if x != (None, None)), page[i])
-        if level and (kin[i], article[i]) == ((None, None), (None, None)):
-            b.label, b.rule = GOOD, "nothing against"
-            continue
+        near = (kin[i], article[i]) if level else (kin[i],)
+        left, right = next((x for x in near if x != (None, None)), page[i])
         labels = {first[x] for x in (left, right) if x is not None}
-        if len(labels) == 1:
-            b.label = labels.pop()
-        elif not labels:
-            b.label = BAD
-        elif first[i] == NEAR:
-            b.label = GOOD
+        if len(labels) < 2:
+            b.label = labels.pop() if labels else BAD
         elif b.heading and first[right] == GOOD and sum(len(x.text) for x in blocks[i + 1 : right]) <= rules.heading_reach:
             b.label = GOOD
+        elif kin[i] == (None, None):
+            b.label = BAD  # by itself in a container between text and what isn't
+        elif first[i] == NEAR:
+            b.label = GOOD
         else:
             # of two as near as each other, the one that speaks against
             b.label = first[left] if i - left < right - i else first[right] if right - i < i - left else BAD
-    if all(b.label == BAD for b in blocks):
-        # a page without a decided block of text: what no rule of pass one speaks against
-        for i, b in enumerate(blocks):
-            if first[i] != BAD:
-                b.label, b.rule = GOOD, "nothing against"
 
 
 def labelled(page: str, rules: Rules = Rules()) -> list[Block]:
