@@ -5,11 +5,6 @@ A word's endings are tried by length, the longest first, as the rules ask; the f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
 # The stop words of English text search.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
@@ -128,13 +123,3 @@ def stem(word: str) -> str:
     elif word.endswith("ll") and len(word) - 1 >= r2:
         word = word[:-1]
     return word.lower()
-
-
-def stem_table(terms: DataFrame) -> DataFrame:
-    """(term, lexeme) of a table of distinct terms: each is stemmed once, whatever the number of its occurrences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([stem(t) for t in batch.column(0).to_pylist()], pa.string())], ["term", "lexeme"])
-
-    return terms.select("term").mapInArrow(run, "term string, lexeme string")

@@ -1,22 +1,27 @@
 """Full-text search vectors with positions, and phrase matching on them.
 
 A text's words are numbered from 1. The configuration `simple` takes words as they are; `english` drops stop
-words, whose places stay empty, and stems the others. A stem is made once for each distinct word of the
-corpus and joined back, so that texts never leave Spark's own operators.
+words, whose places stay empty, and stems the others. A vector is made beside its text, without a shuffle;
+each worker stems a word once and remembers it, up to a bound.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.stemming import STOP_WORDS, stem_table
-from ..storage import materialize
+from ..functions.stemming import STOP_WORDS, stem
 
-#: Distinct words whose stems may be broadcast (about 30 bytes each).
-BROADCAST_WORDS = 500_000
-#: Parts that the rows of a word are dealt to where stems are too many to broadcast.
-SALTS = 32
+#: Words whose stems a task remembers before it begins anew.
+KNOWN_WORDS = 200_000
+#: Phrases whose lexemes may be broadcast: rows of some 50 bytes.
+BROADCAST_LEXEMES = 100_000
 CONFIGS = ("simple", "english")
 
 
@@ -25,39 +30,49 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def placed_words(docs: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, _place, _term): every word of a text with its number, from 1."""
-    places = docs.select(*key, F.posexplode(words(F.col(text))).alias("_at", "_term"))
-    return places.select(*key, (F.col("_at") + 1).alias("_place"), "_term")
+class Stems(dict):
+    """Stems of words by need, "" for stop words; emptied when it is full."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = "" if word in STOPS else stem(word)
+        return found
+
+
+STOPS = frozenset(STOP_WORDS)
 
 
 def lexemes(docs: DataFrame, key: list[str], text: str, config: str = "english") -> DataFrame:
-    """(key, lexeme, positions): the search vector of every text, one row a lexeme with its ascending places.
+    """(key, lexeme, positions): the search vector of every row of docs, one row a lexeme with its ascending places.
 
-    Texts without lexemes, null ones among them, give no row. Rows with the same key are one text each only
-    if the key tells them apart; otherwise their places mix.
+    Texts without lexemes, null ones among them, give no row; a row that repeats gives its vector again.
     """
     if config not in CONFIGS:
         raise ValueError(f"no configuration {config!r}, only {CONFIGS}")
-    places = placed_words(docs, key, text)
-    if config == "simple":
-        return places.groupBy(*key, F.col("_term").alias("lexeme")).agg(F.array_sort(F.collect_list("_place")).alias("positions"))
-    places = places.filter(~F.col("_term").isin(*STOP_WORDS))
-    stems = materialize(stem_table(places.select(F.col("_term").alias("term")).distinct()).withColumnRenamed("term", "_term"), "stems")
-    return stemmed(places, stems, key)
-
-
-def stemmed(places: DataFrame, stems: DataFrame, key: list[str]) -> DataFrame:
-    """Places of words as positions of lexemes, by a table (_term, lexeme)."""
-    if stems.count() <= BROADCAST_WORDS:
-        rows = places.join(F.broadcast(stems), "_term")
-        return rows.groupBy(*key, "lexeme").agg(F.array_sort(F.collect_list("_place")).alias("positions"))
-    # a word that a third of the texts have meets its stem in many parts, after its places in a text are one row
-    once = places.groupBy(*key, "_term").agg(F.collect_list("_place").alias("_places"))
-    salted = once.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
-    spread = stems.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = salted.join(spread, ["_term", "_salt"])
-    return rows.groupBy(*key, "lexeme").agg(F.array_sort(F.flatten(F.collect_list("_places"))).alias("positions"))
+    rows = docs.select(*key, words(F.col(text)).alias("_words"))
+    stemmed = config == "english"
+    schema = StructType([*(rows.schema[k] for k in key), StructField("lexeme", StringType()), StructField("positions", ArrayType(IntegerType(), False))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = Stems()
+        for batch in batches:
+            rows_of, names, places = [], [], []
+            for i, found in enumerate(batch.column(len(key))):
+                vector: dict[str, list[int]] = {}
+                for place, word in enumerate(found.as_py(), 1):
+                    name = stems[word] if stemmed else word
+                    if name:
+                        vector.setdefault(name, []).append(place)
+                rows_of += [i] * len(vector)
+                names += vector
+                places += vector.values()
+            ends = np.cumsum([0, *map(len, places)], dtype=np.int32)
+            flat = np.fromiter(chain.from_iterable(places), np.int32, ends[-1])
+            columns = [batch.column(c).take(pa.array(rows_of, pa.int32())) for c in range(len(key))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*key, "lexeme", "positions"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def phrases(asked: DataFrame, text: str, key: list[str], config: str = "english") -> DataFrame:
@@ -70,11 +85,16 @@ def phrases(asked: DataFrame, text: str, key: list[str], config: str = "english"
 def phrase_match(index: DataFrame, asked: DataFrame, key: list[str], doc: str) -> DataFrame:
     """(key, doc, starts): the texts of index (doc, lexeme, positions) that hold a phrase of `phrases`, and how often.
 
+    asked is stored or cheap to make again; doc tells the rows of one text from others'.
+
     Each phrase starts from its rarest lexeme: every place of that is a candidate, which the other lexemes
     must confirm at their distances. So common lexemes are looked up at candidates only, and their postings never
     meet. Phrases of stop words alone match nothing.
     """
-    frequent = index.join(asked.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("df"))
+    if asked.count() <= BROADCAST_LEXEMES:
+        asked = F.broadcast(asked)
+    index = index.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
+    frequent = index.groupBy("lexeme").agg(F.count("*").alias("df"))
     counted = asked.join(frequent, "lexeme", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = counted.groupBy(*key).agg(F.min(F.struct("df", "offset", "lexeme")).alias("r")).filter("r.df > 0")
     leads = rarest.select(*key, F.col("r.lexeme").alias("lexeme"), F.col("r.offset").alias("_lead"))

@@ -41,8 +41,10 @@ class Index:
 
 def build(docs: DataFrame, path: str, block: int = 16, k1: float = 1.2, b: float = 0.75) -> None:
     """Writes the index of docs (id, text). Rows without id are left out; an id stands for one text."""
-    words = docs.filter("id is not null").select("id", lexical.tokens(F.col("text")).alias("words"))
-    sized = materialize(words.select("id", F.size("words").alias("len")), "lengths")
+    # texts are dealt by id once; their words are then counted without moving, and only postings go to their ranges
+    words = docs.filter("id is not null").select("id", "text").repartition("id").select("id", lexical.tokens(F.col("text")).alias("words"))
+    length = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"))
+    sized = materialize(docs.filter("id is not null").select(length.alias("len")), "lengths")
     totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     # half a doubling of length a class, so at most some sixty rows
     kind = F.floor(F.log2(F.col("len") + 1.0) * 2).cast("long")
@@ -51,12 +53,13 @@ def build(docs: DataFrame, path: str, block: int = 16, k1: float = 1.2, b: float
     postings = spread.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     dealt = postings.withColumn("kind", kind).join(F.broadcast(classes), "kind").crossJoin(F.broadcast(totals))
-    dealt = dealt.select("term", (F.col("kind") * 10**12 + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"), "id", impact.alias("impact"))
-    ordered = F.array_sort(F.collect_list(F.struct("id", "impact")))
-    blocks = dealt.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("impact").alias("top"), ordered.alias("e"))
-    blocks = blocks.select(F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int").alias("part"), "term", "block", "n", "top", F.col("e.id").alias("ids"), F.col("e.impact").alias("impacts"))
+    dealt = dealt.select(F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int").alias("part"), "term", (F.col("kind") * 10**12 + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"), "id", impact.alias("impact"))
     # a folder's terms in order, so that files hold ranges of them; a common term's blocks may fill several files
-    blocks.repartitionByRange("part", "term", "block").sortWithinPartitions("part", "term", "block").write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
+    ranged = dealt.repartitionByRange("part", "term", "block")
+    ordered = F.array_sort(F.collect_list(F.struct("id", "impact")))
+    blocks = ranged.groupBy("part", "term", "block").agg(F.count("*").alias("n"), F.max("impact").alias("top"), ordered.alias("e"))
+    blocks = blocks.select("part", "term", "block", "n", "top", F.col("e.id").alias("ids"), F.col("e.impact").alias("impacts"))
+    blocks.sortWithinPartitions("part", "term", "block").write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
     stored = blocks_of(docs.sparkSession, path, docs.schema["id"].dataType.simpleString())
     stored.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")).write.mode("overwrite").parquet(f"{path}/terms")
     totals.write.mode("overwrite").parquet(f"{path}/totals")

@@ -53,10 +53,9 @@ def docs(spark):
 
 
 @pytest.mark.parametrize("config", fulltext.CONFIGS)
-@pytest.mark.parametrize("salted", [False, True])
-def test_vectors(spark, config, salted, monkeypatch):
-    if salted:
-        monkeypatch.setattr(fulltext, "BROADCAST_WORDS", 0)
+@pytest.mark.parametrize("known", [3, 200_000])
+def test_vectors(spark, config, known, monkeypatch):
+    monkeypatch.setattr(fulltext, "KNOWN_WORDS", known)
     rows = {(r.doc_id, r.lexeme): r.positions for r in fulltext.lexemes(docs(spark), ["doc_id", "term", "place"], "text", config).collect()}
     assert rows == {(i, lexeme): places for i, text, _, _ in TEXTS for lexeme, places in plain(text, config).items()}
     with pytest.raises(ValueError, match="no configuration"):
@@ -76,7 +75,9 @@ def brute_phrases(texts, asked, config):
 
 
 @pytest.mark.parametrize("config", fulltext.CONFIGS)
-def test_phrases(spark, config):
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_phrases(spark, config, broadcast, monkeypatch):
+    monkeypatch.setattr(fulltext, "BROADCAST_LEXEMES", broadcast)
     rng = random.Random(6)
     vocabulary = ["the", "rate", "rates", "rated", "of", "nation", "nations", "x"]
     texts = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 30)))) for i in range(60)] + [(99, None)]
