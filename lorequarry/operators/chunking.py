@@ -81,8 +81,13 @@ def type_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_type").agg(F.count("*").alias("n"))
 
 
+def joined(order: str, content: str, separator: str = "\n\n") -> Column:
+    """Aggregate: the contents of a group joined in order."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(content).alias("c")))), lambda s: s["c"])
+    return F.array_join(parts, separator)
+
+
 def ordered_text(chunks: DataFrame, key: list[str], order: str, content: str, separator: str = "\n\n", limit: int | None = None) -> DataFrame:
     """Contents of each key joined in order, cut at limit characters if given."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(content).alias("c")))), lambda s: s["c"])
-    text = F.array_join(parts, separator)
+    text = joined(order, content, separator)
     return chunks.groupBy(*key).agg((F.substring(text, 1, limit) if limit else text).alias("raw_content"), F.count("*").alias("n_chunks"))

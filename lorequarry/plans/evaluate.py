@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import materialize
 
 # What the gate tolerates, by metric: direction that is worse, and by how much.
 TOLERANCES = {
@@ -17,8 +18,10 @@ TOLERANCES = {
     "answer_keyword_recall_mean": ("down", 0.05),
     "idk_rate": ("up", 0.10),
 }
-#: Up to so many terms are looked up by an automaton that every task builds.
+#: Terms that one automaton holds, some 20 MB in a task; more terms take more automata.
 VOCABULARY = 50_000
+#: Automata that a task builds for one pass over the texts.
+AUTOMATA = 4
 #: Metrics of which less is better.
 LESS_IS_BETTER = ("idk_rate", "avg_input_tokens", "avg_output_tokens")
 
@@ -128,40 +131,57 @@ def audit(golden: DataFrame, documents: DataFrame) -> DataFrame:
     return q.select("id", "expected_source_ids", "subject", "terms").join(missing, "id", "left").join(answered, "id", "left").join(alternates, "id", "left")
 
 
-def terms_found(text: Column, terms: list[str]) -> Column:
-    """Those of the terms that stand in a text as substrings, by one pass of a matching automaton."""
+def terms_found(text: Column, parts: list[list[str]]) -> Column:
+    """Those of the terms that stand in a text as substrings: the text meets an automaton of each part in turn."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             import ahocorasick
         except ImportError:
-            find = lambda t: [x for x in terms if x in t]
+            # without the library each term is searched by itself, which takes a pass a term
+            finders = [lambda t, part=part: {x for x in part if x in t} for part in parts]
         else:
-            automaton = ahocorasick.Automaton()
-            for x in terms:
-                automaton.add_word(x, x)
-            automaton.make_automaton()
-            find = lambda t: sorted({x for _, x in automaton.iter(t)})
+            finders = []
+            for part in parts:
+                automaton = ahocorasick.Automaton()
+                for x in part:
+                    automaton.add_word(x, x)
+                automaton.make_automaton()
+                finders.append(lambda t, automaton=automaton: {x for _, x in automaton.iter(t)})
         for batch in batches:
-            yield pa.array([find(t) if (t := v.as_py()) and terms else [] for v in batch], pa.list_(pa.string()))
+            yield pa.array([sorted(set().union(*(find(t) for find in finders))) if (t := v.as_py()) else [] for v in batch], pa.list_(pa.string()))
 
     return F.arrow_udf(run, "array<string>")(text)
 
 
+def containment(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """(key, term): the terms of vocabulary (term) that stand in each text as substrings, by any number of terms.
+
+    Terms are dealt by hash to parts of about VOCABULARY, each of which goes to the tasks as one automaton; a pass
+    over the texts takes AUTOMATA parts. So the work is texts times parts, and no text is joined with a term.
+    Null and empty terms stand in no text.
+    """
+    terms = materialize(vocabulary.filter("term <> ''").select("term").distinct(), "vocabulary")
+    n = max(1, -(-terms.count() // VOCABULARY))
+    part = F.pmod(F.xxhash64("term"), F.lit(n))
+    found = None
+    for first in range(0, n, AUTOMATA):
+        # the terms of a few parts, whatever the size of the vocabulary
+        parts = [sorted(r.term for r in terms.filter(part == i).collect()) for i in range(first, min(n, first + AUTOMATA))]
+        one = texts.select(key, F.explode(terms_found(F.col(text), parts)).alias("term"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def other_sources(questions: DataFrame, documents: DataFrame, n: int = 5) -> DataFrame:
     """(id, alternates): the n documents outside expected_source_ids with most distinctive terms, almost all at least.
 
-    The distinct terms of a golden set are few: up to VOCABULARY of them are looked up in every
-    text by one automaton, more by a join on containment.
+    Questions and documents meet by the terms that `containment` finds.
     """
     terms = questions.select("id", "expected_source_ids", F.size("distinctive").alias("n"), F.explode("distinctive").alias("term"))
     vocabulary = terms.select(F.lower("term").alias("term")).distinct()
     texts = documents.select("source_id", F.lower("content").alias("low"))
-    few = [r.term for r in vocabulary.limit(VOCABULARY + 1).collect()]
-    if len(few) <= VOCABULARY:
-        hits = texts.select("source_id", F.explode(terms_found(F.col("low"), sorted(few))).alias("term"))
-    else:
-        hits = texts.join(vocabulary, F.contains(F.col("low"), F.col("term"))).select("source_id", "term")
+    hits = containment(texts, "source_id", "low", vocabulary)
     counted = terms.withColumn("term", F.lower("term")).join(hits, "term").groupBy("id", "expected_source_ids", "n", "source_id").agg(F.count("*").alias("hits"))
     near = counted.filter((F.col("hits") >= F.greatest(F.lit(2), F.col("n") - 1)) & ~F.array_contains("expected_source_ids", F.col("source_id")))
     ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("hits"), "source_id"))).filter(F.col("place") <= n)

@@ -50,12 +50,14 @@ def stored_tables(chunks: DataFrame, make: Callable[[], models.Embedder] = model
     return schemas.with_defaults(docs).withColumn("id", schemas.document_key(F.col("source_id"))), stored
 
 
-def store_new(chunks: DataFrame, stored_documents: DataFrame | None, documents_path: str, chunks_path: str) -> None:
-    """Appends documents not stored yet, chunks before documents, so that a listed document is whole."""
+def store_new(chunks: DataFrame, stored_documents: DataFrame | None, documents_path: str, chunks_path: str, stored_chunks: DataFrame | None = None) -> None:
+    """Appends documents not stored yet, chunks before documents, so that a listed document is whole; with stored_chunks a run after a crash adds no chunk twice."""
     docs, rows = stored_tables(chunks)
     if stored_documents is not None:
         docs = maintenance.not_yet(docs, stored_documents, ["source_id"])
         rows = rows.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    if stored_chunks is not None:
+        rows = maintenance.not_yet(rows, stored_chunks, ["id"])
     rows.write.mode("append").parquet(chunks_path)
     docs.write.mode("append").parquet(documents_path)
 

@@ -12,7 +12,7 @@ from . import schemas
 from .functions import html_ops as H
 from .functions import text as X
 from .operators import chunking, enrich, fulltext, hierarchy, impact_index, lexical, maintenance, models, telemetry, vector
-from .plans import evaluate, run, search
+from .plans import evaluate, run, search, store
 from .storage import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -424,6 +424,33 @@ def audit_alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.other_sources(b, d).withColumnRenamed("id", "item_id")
 
 
+QUERY_SQL = rf"""regexp_extract_all({ASCII.format("text")}, '\$[\d,]+(?:\.\d+)?|\d+\s*%|[A-Z]{{2,}}(?:-\d+)?|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*|\b[a-z]{{5,}}\b|\b\d+\b')"""
+SUBJECT_STOP = ", ".join(f"'{w}'" for w in sorted({*X.AUDIT_STOP_WORDS, *X.QUESTION_WORDS, *X.DOMAIN_WORDS}))
+
+
+def golden_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as golden questions: the document of the same number is the source; some have a source that isn't there, some none."""
+    i, none = F.col("item_id"), F.array().cast("array<string>")
+    sources = F.when(i % 11 == 0, none).when(i % 7 == 0, F.array(i.cast("string"), F.concat(F.lit("gone-"), i))).otherwise(F.array(i.cast("string")))
+    return read(spark, sf_dir, "benchmark").select(i.alias("id"), F.col("text").alias("query"), F.col("text").alias("answer"), sources.alias("expected_source_ids"))
+
+
+@query(rf"""
+WITH {TERMS_SQL}, g AS (SELECT item_id, text, CASE WHEN item_id % 11 = 0 THEN [] WHEN item_id % 7 = 0 THEN [item_id::VARCHAR, 'gone-' || item_id] ELSE [item_id::VARCHAR] END AS ids FROM benchmark),
+asked AS (SELECT item_id, unnest({QUERY_SQL}) AS t, generate_subscripts({QUERY_SQL}, 1) AS i FROM benchmark),
+subjects AS (SELECT item_id, list(t ORDER BY i)[1:8] AS subject FROM (SELECT item_id, lower(trim(t)) AS k, arg_min(t, i) AS t, min(i) AS i FROM asked WHERE lower(trim(t)) NOT IN ({SUBJECT_STOP}) GROUP BY ALL) GROUP BY item_id),
+found AS (SELECT g.item_id, len(list_filter(subject, lambda t: NOT contains(lower(d.text), lower(t)))) > 0 AS lacking FROM g JOIN documents d ON d.doc_id::VARCHAR = ids[1] JOIN subjects s ON s.item_id = g.item_id),
+gone AS (SELECT DISTINCT item_id FROM (SELECT item_id, unnest(ids) AS source FROM g) WHERE source NOT IN (SELECT doc_id::VARCHAR FROM documents)),
+q AS (SELECT item_id, list_filter(terms, lambda t: regexp_matches(t, '^[$A-Z\d]') OR length(t) > 7)[1:5] AS ds FROM terms),
+others AS (SELECT DISTINCT q.item_id FROM q JOIN g USING (item_id), documents d WHERE len(ds) > 0 AND NOT list_contains(ids, d.doc_id::VARCHAR) AND len(list_filter(ds, lambda t: contains(lower(d.text), lower(t)))) >= greatest(2, len(ds) - 1))
+SELECT count(*) AS n, count(*) FILTER (WHERE len(ids) = 0) AS no_source_id, count(gone.item_id) AS missing_source, count(*) FILTER (WHERE lacking) AS subject_missing, count(others.item_id) AS has_alternates
+FROM g LEFT JOIN gone USING (item_id) LEFT JOIN found USING (item_id) LEFT JOIN others USING (item_id)
+""")
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("content"))
+    return evaluate.audit_counts(evaluate.audit(golden_set(spark, sf_dir), d))
+
+
 @query(rf"""
 WITH e AS (SELECT item_id, list_distinct(list_filter(list_transform(regexp_extract_all({ASCII.format("text")}, '\$[\d,]+|\d+%|[A-Z]{{2,}}-?\d*|[A-Z][a-z]{{3,}}|\b[a-z]{{6,}}\b|\b\d{{3,}}\b'), lambda t: lower(t)), lambda t: t NOT IN ({STOP}))) AS terms FROM benchmark)
 SELECT e.item_id, round(len(list_filter(terms, lambda t: contains(lower(d.text), t))) / len(terms), 6) AS recall FROM e JOIN documents d ON d.doc_id = e.item_id WHERE len(terms) > 0
@@ -653,6 +680,27 @@ def enrich_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich(pages).drop("html")
 
 
+@query("""
+WITH p AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+c AS (SELECT * FROM p WHERE content <> '')
+SELECT doc_id::VARCHAR AS source_id, any_value(source) AS title, string_agg(content, chr(10) || chr(10) ORDER BY i) = any_value(raw) AS whole, count(*) AS n_chunks, sum(ceil(length(content) / 4))::BIGINT AS n_tokens
+FROM c JOIN documents USING (doc_id) JOIN (SELECT doc_id, string_agg(content, chr(10) || chr(10) ORDER BY i) AS raw FROM c GROUP BY doc_id) USING (doc_id) GROUP BY doc_id
+""")
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all documents added to a bucketed store twice, and summed by document without a shuffle."""
+    d = read(spark, sf_dir, "documents")
+    parts = chunking.paragraphs(d, "doc_id", "text").join(d.select("doc_id", F.col("source").alias("title")), "doc_id")
+    chunks = parts.select(
+        F.col("doc_id").cast("string").alias("source_id"), "chunk_index", "content", "title", X.count_tokens(F.col("content")).alias("token_count"), F.lit("text").alias("chunk_type"),
+        F.array("title").alias("heading_path"), F.lit(False).alias("oversized"), F.lit("").alias("context"),
+    )
+    kept = store.ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    for _ in range(2):
+        kept.add(chunks)
+    joined = kept.joined().groupBy("document_id").agg(F.first("source_id").alias("source_id"), F.first("title").alias("title"), F.first("raw_content").alias("raw"), chunking.joined("chunk_index", "content").alias("again"), F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
+    return joined.select("source_id", "title", (F.col("raw") == F.col("again")).alias("whole"), "n_chunks", "n_tokens")
+
+
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, content FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE content <> ''")
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.paragraphs(read(spark, sf_dir, "documents"), "doc_id", "text")

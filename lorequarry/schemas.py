@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,16 @@ def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key), key, "left_anti")
 
 
-def create_tables(spark: SparkSession, location: str, buckets: int = 64) -> None:
-    """Tables documents and chunks at a location, chunks bucketed by document_id, so that joins and sums by document need no shuffle of them."""
-    for name, columns, layout in (("documents", DOCUMENTS, ""), ("chunks", CHUNKS, f"CLUSTERED BY (document_id) INTO {int(buckets)} BUCKETS")):
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {layout} LOCATION '{location.rstrip('/')}/{name}'")
+def create_tables(spark: SparkSession, location: str, buckets: int = 64) -> dict[str, str]:
+    """Tables over the folders documents and chunks of a location, in sorted buckets by document, and their names, which the location gives.
+
+    Tables over one location are the same table; what is written through them has its buckets in its file names, so a
+    location holds only what came through its tables, always with the same number of buckets.
+    """
+    location = location.rstrip("/")
+    names = {}
+    for kind, columns, key in (("documents", DOCUMENTS, "id"), ("chunks", CHUNKS, "document_id")):
+        names[kind] = f"{kind}_{zlib.crc32(location.encode()):08x}"
+        order = key if kind == "documents" else f"{key}, chunk_index"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {names[kind]} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({order}) INTO {int(buckets)} BUCKETS LOCATION '{location}/{kind}'")
+    return names

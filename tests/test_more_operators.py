@@ -80,13 +80,6 @@ def test_stores(spark, tmp_path):
     files.write_batch(df, f"{tmp_path}/t", "two")
     assert sorted((r.batch, r.id) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [("one", 1), ("two", 1), ("two", 2)]
     assert spark.read.json(files.write_json(df, f"{tmp_path}/j", "1")).count() == 2
-    schemas.create_tables(spark, f"{tmp_path}/tables", 4)
-    try:
-        assert spark.table("chunks").columns and spark.table("documents").count() == 0
-        assert "document_id" in spark.sql("DESCRIBE EXTENDED chunks").filter("col_name = 'Bucket Columns'").first().data_type
-    finally:
-        spark.sql("DROP TABLE chunks")
-        spark.sql("DROP TABLE documents")
 
 
 def test_a_query_is_scored_with_all_its_texts(spark):
