@@ -166,6 +166,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
     return Mix(spread.select("doc_id", "copy", "source", "size", "source_size", "target"), draws, max(1, -(-total // (shards * SLICE_WORDS))))
 
 
+def taken_by_shard(made: Mix) -> DataFrame:
+    """(doc_id, copy, taken, shards): the words drawn of each document, and their shards (shard, words) in order, as the tree dealt them."""
+    per = made.draws.groupBy("doc_id", "copy", "shard").agg(F.sum("words").alias("words"))
+    # a document stands in no more shards than it has passes
+    return per.groupBy("doc_id", "copy").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct(F.col("shard").cast("long").alias("shard"), "words"))).alias("shards"))
+
+
 def mixed_documents(docs: DataFrame, made: Mix) -> DataFrame:
     """The drawn documents with docs' columns, shard by shard in shuffled order; one drawn in part keeps its first words."""
     rest = [c for c in docs.columns if c != "text"]

@@ -53,9 +53,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mix(table(spark, sf_dir, "documents"))
-    taken = made.draws.groupBy("doc_id", "copy").agg(F.sum("words").alias("taken")).withColumnsRenamed({"doc_id": "_doc", "copy": "_copy"})
-    docs = made.documents.join(taken, made.documents["doc_id"].eqNullSafe(taken["_doc"]) & (made.documents["copy"] == taken["_copy"]), "left")
-    return docs.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    docs, taken = made.documents, mixing.taken_by_shard(made).withColumnsRenamed({"doc_id": "_doc", "copy": "_copy"})
+    docs = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_doc"]) & (docs["copy"] == taken["_copy"]), "left")
+    words = F.transform("shards", lambda s: F.concat_ws(":", s["shard"].cast("string"), s["words"].cast("string")))
+    return docs.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce(F.array_join(words, ","), F.lit("")).alias("shards"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +132,7 @@ SELECT doc_id, n_lines, n_dropped, text FROM kept
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """,
     "op9_mixing": r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents
 ), docs AS (
     SELECT doc_id, source, size, row_number() OVER (PARTITION BY doc_id ORDER BY source, size, digest) AS copy FROM sized
@@ -157,9 +158,24 @@ WITH sized AS (
 ), turned AS (
     SELECT source, block, head, words, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes, CASE WHEN source_size > 0 THEN goal % source_size ELSE 0 END AS rest,
         sum(words) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', 'mix last', source, block)), block ROWS UNBOUNDED PRECEDING) - words AS before FROM blocks
-), tails AS (SELECT source, block, head, passes, greatest(0, least(words, rest - before)) AS tail FROM turned)
-SELECT p.doc_id, p.size, p.source_size, p.target, (t.passes * p.size + greatest(0, least(p.size, t.tail - (p.pos - t.head))))::BIGINT AS taken
-FROM placed p JOIN tails t ON p.source IS NOT DISTINCT FROM t.source AND p.block = t.block
+), tails AS (SELECT source, block, head, words, passes, greatest(0, least(words, rest - before)) AS tail FROM turned
+), epochs AS (SELECT source, block, head, epoch, CASE WHEN epoch < passes THEN words ELSE tail END AS take FROM (SELECT *, unnest(range(0, passes::BIGINT + 1)) AS epoch FROM tails)
+), drawn AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', 'mix draw', source, epoch, block)), epoch, block) AS turn FROM epochs WHERE take > 0
+), tree AS (
+    -- the drawn blocks as slots of a source; a node's slots in random order, the first half to the left
+    SELECT 0 AS level, 0 AS node, source, turn AS slot FROM drawn
+    UNION ALL SELECT level + 1, 2 * node + (row_number() OVER (PARTITION BY node ORDER BY md5(concat_ws(':', 'mix tree ' || level, source, slot))) > ceil(count(*) OVER (PARTITION BY node) / 2))::INT, source, slot
+    FROM tree WHERE level < (SELECT ceil(log2(greatest(64, ceil(sum(size) / 268435456.0)))) FROM docs)
+), leaves AS (
+    SELECT source, node AS shard, row_number() OVER (PARTITION BY source ORDER BY node) AS turn FROM tree WHERE level = (SELECT max(level) FROM tree)
+), dealt AS (SELECT d.*, l.shard FROM drawn d JOIN leaves l ON d.source IS NOT DISTINCT FROM l.source AND d.turn = l.turn
+), draws AS (
+    SELECT p.doc_id, p.copy, d.shard, sum(greatest(0, least(p.size, d.take - (p.pos - d.head))))::BIGINT AS words
+    FROM placed p JOIN dealt d ON p.source IS NOT DISTINCT FROM d.source AND p.block = d.block WHERE p.size > 0 AND d.take > p.pos - d.head GROUP BY ALL
+), sums AS (SELECT doc_id, copy, sum(words)::BIGINT AS taken, string_agg(shard || ':' || words, ',' ORDER BY shard) AS shards FROM draws GROUP BY doc_id, copy)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(s.taken, 0)::BIGINT AS taken, coalesce(s.shards, '') AS shards
+FROM placed p LEFT JOIN sums s ON p.doc_id IS NOT DISTINCT FROM s.doc_id AND p.copy = s.copy
 """,
     # every prefix as the string of its turns' digests; each node's figures go to all its prefixes
     "op12_prefix_trie": r"""

@@ -116,3 +116,31 @@ def test_shards_and_slices_follow_the_words(docs_of, monkeypatch):
     made = mixing.mix(docs, shards=4, blocks_per_shard=4)
     out = mixing.mixed_documents(docs, made)
     assert made.slices > 5 and sum(len(words(r.text)) for r in out.collect()) == made.draws.agg(F.sum("words")).first()[0]
+
+
+def test_the_tree_deals_what_is_taken(spark, docs_of):
+    """Many sources: words by shard add up to what is taken, shards are even in blocks, and each source keeps its quota."""
+    rows = [(i, "w " * (i % 37 + 1), None, f"host{i % 400:03d}") for i in range(2000)]
+    made = mixing.mix(docs_of(rows), shards=8, blocks_per_shard=64)
+    whole = {(d.doc_id, d.copy): d for d in made.documents.collect()}
+    by_source = Counter()
+    for r in mixing.taken_by_shard(made).collect():
+        assert r.taken == sum(s.words for s in r.shards) and [s.shard for s in r.shards] == sorted({s.shard for s in r.shards})
+        by_source[whole[r.doc_id, r.copy].source] += r.taken
+    for d in whole.values():
+        assert abs(by_source[d.source] - d.target) <= 0.5
+    assert {r.shard for r in made.draws.select("shard").distinct().collect()} == set(range(8))
+
+
+def test_query_equals_sql(spark, sf_dir):
+    import duckdb
+
+    from lorequarry.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(ORACLE_SQL["op9_mixing"])
+    got = QUERIES["op9_mixing"](spark, sf_dir)
+    plain = lambda rows: sorted(str(tuple(round(x, 6) if isinstance(x, float) else x for x in r)) for r in rows)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert plain(got.select(want.columns).collect()) == plain(want.fetchall())
