@@ -8,7 +8,6 @@ each worker stems a word once and remembers it, up to a bound.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,8 @@ from ..functions.stemming import STOP_WORDS, stem
 KNOWN_WORDS = 200_000
 #: Phrases whose lexemes may be broadcast: rows of some 50 bytes.
 BROADCAST_LEXEMES = 100_000
+#: Words of the texts that are worked on at once.
+WORDS_AT_ONCE = 500_000
 CONFIGS = ("simple", "english")
 
 
@@ -57,20 +58,36 @@ def lexemes(docs: DataFrame, key: list[str], text: str, config: str = "english")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stems = Stems()
         for batch in batches:
-            rows_of, names, places = [], [], []
-            for i, found in enumerate(batch.column(len(key))):
-                vector: dict[str, list[int]] = {}
-                for place, word in enumerate(found.as_py(), 1):
-                    name = stems[word] if stemmed else word
-                    if name:
-                        vector.setdefault(name, []).append(place)
-                rows_of += [i] * len(vector)
-                names += vector
-                places += vector.values()
-            ends = np.cumsum([0, *map(len, places)], dtype=np.int32)
-            flat = np.fromiter(chain.from_iterable(places), np.int32, ends[-1])
-            columns = [batch.column(c).take(pa.array(rows_of, pa.int32())) for c in range(len(key))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*key, "lexeme", "positions"])
+            ends = np.asarray(batch.column(len(key)).offsets)
+            first = 0
+            while first < batch.num_rows:  # so many rows at a time that their words are bounded, one at least
+                stop = max(first + 1, int(np.searchsorted(ends, ends[first] + WORDS_AT_ONCE, "right")) - 1)
+                yield vectors(batch.slice(first, stop - first), stems)
+                first = stop
+
+    def vectors(batch: pa.RecordBatch, stems: Stems) -> pa.RecordBatch:
+        texts = batch.column(len(key))
+        sizes = np.diff(np.asarray(texts.offsets))
+        coded = texts.flatten().dictionary_encode()  # each distinct word once
+        names = coded.dictionary.to_pylist()
+        if stemmed:
+            made = [stems[n] for n in names]
+            names = sorted({m for m in made if m})
+            number = {n: i for i, n in enumerate(names)} | {"": -1}
+            lexeme = np.fromiter((number[m] for m in made), np.int64, len(made))[np.asarray(coded.indices)] if made else np.empty(0, np.int64)
+        else:
+            lexeme = np.asarray(coded.indices).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        kept = lexeme >= 0
+        at = row[kept] * max(1, len(names)) + lexeme[kept]
+        order = np.argsort(at, kind="stable")  # places stay in order
+        at = at[order]
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)).astype(np.int32)), pa.array(place[kept][order].astype(np.int32)))
+        row, lexeme = np.divmod(at[starts], max(1, len(names)))
+        columns = [batch.column(c).take(pa.array(row)) for c in range(len(key))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()).take(pa.array(lexeme)), lists], [*key, "lexeme", "positions"])
 
     return rows.mapInArrow(run, schema)
 

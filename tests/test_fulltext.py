@@ -56,6 +56,7 @@ def docs(spark):
 @pytest.mark.parametrize("known", [3, 200_000])
 def test_vectors(spark, config, known, monkeypatch):
     monkeypatch.setattr(fulltext, "KNOWN_WORDS", known)
+    monkeypatch.setattr(fulltext, "WORDS_AT_ONCE", known)
     rows = {(r.doc_id, r.lexeme): r.positions for r in fulltext.lexemes(docs(spark), ["doc_id", "term", "place"], "text", config).collect()}
     assert rows == {(i, lexeme): places for i, text, _, _ in TEXTS for lexeme, places in plain(text, config).items()}
     with pytest.raises(ValueError, match="no configuration"):
