@@ -10,8 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many query vectors go to every task as one matrix (8192 x 1024 floats are 32 MB).
-MATRIX_QUERIES = 8192
+#: Up to so many query vectors of so many bytes go to every task as one matrix (8192 x 1024 floats are 32 MB).
+MATRIX_QUERIES, MATRIX_BYTES = 8192, 64 << 20
+#: Bytes of query blocks, and of what is found for them, that a task holds while corpus blocks come.
+HELD_BYTES = 64 << 20
 #: Rows of a block where queries and corpus meet block by block.
 BLOCK = 2048
 #: Pairs of blocks that a task scores, about.
@@ -106,7 +108,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool = False)
     queries = queries.select(F.col("query_id").cast("long"), "embedding").filter("query_id is not null and embedding is not null")
     corpus = corpus.select(F.col("id").cast("long"), "embedding").filter("id is not null and embedding is not null")
     head = queries.limit(MATRIX_QUERIES + 1).toArrow()
-    if head.num_rows <= MATRIX_QUERIES:
+    if head.num_rows <= MATRIX_QUERIES and head.nbytes <= MATRIX_BYTES:
         ids = head.column(0).to_numpy()
         asked = {width: (ids[at], x) for width, (at, x) in units(head.column(1)).items()}
 
@@ -169,11 +171,20 @@ def _blockwise(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool) -
     rows = _blocks(corpus, "id").select("width", "ids", "matrix", lane(x_lanes).alias("j"), every(q_lanes).alias("i"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the best of each query block over all the corpus blocks that it meets in the task
+        held: dict[tuple[int, bytes], Best] = {}
+        size = 0
         for batch in batches:
             for width, q_ids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns)):
-                best = Best(np.frombuffer(q_ids, np.int64), np.frombuffer(q).reshape(-1, width), k, skip_self)
+                best = held.get((width, q_ids))
+                if best is None:
+                    if size > HELD_BYTES:
+                        yield from (b.rows() for b in held.values())
+                        held, size = {}, 0
+                    best = held[width, q_ids] = Best(np.frombuffer(q_ids, np.int64), np.frombuffer(q).reshape(-1, width), k, skip_self)
+                    size += len(q) + 24 * k * len(best.q_ids)
                 best.meet(np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, width))
-                yield best.rows()
+        yield from (b.rows() for b in held.values())
 
     return asked.join(rows, ["width", "i", "j"]).select("width", "q_ids", "q", "ids", "matrix").mapInArrow(local, "query_id long, id long, score double")
 

@@ -113,6 +113,22 @@ def test_knn_of_mixed_widths(spark, monkeypatch):
             assert [(a, b, round(c, 6), d) for a, b, c, d in got] == [(a, b, round(c, 6), d) for a, b, c, d in want]
 
 
+def test_a_task_keeps_k_rows_a_query(spark, monkeypatch):
+    """All blocks meet in two lanes of the corpus, so at most 2 k rows a query reach the last ranking, however many blocks there are."""
+    r = np.random.default_rng(3)
+    corpus = spark.createDataFrame([(i, [float(v) for v in r.normal(size=4)]) for i in range(3000)], "id long, embedding array<double>").repartition(2)
+    queries = corpus.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, vector.knn(queries, corpus, 5).select("query_id", "id", "rank").collect()))
+    monkeypatch.setattr(vector, "BLOCK", 50)
+    monkeypatch.setattr(vector, "grid", lambda rows, columns, cells: (3, 2))
+    monkeypatch.setattr(vector, "MATRIX_BYTES", 0)
+    for held, most in ((64 << 20, 2 * 5), (0, 10**9)):
+        monkeypatch.setattr(vector, "HELD_BYTES", held)
+        found = vector._blockwise(*(df.select(F.col(c), "embedding") for df, c in ((queries, "query_id"), (corpus, "id"))), 5, False)
+        assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= most
+        assert sorted(map(tuple, vector.knn(queries, corpus, 5).select("query_id", "id", "rank").collect())) == want
+
+
 def test_lanes_grow_with_the_blocks():
     assert vector.grid(0, 0, 16) == (1, 1) and vector.grid(4, 4, 16) == (1, 1)
     for rows, columns in ((4, 10**6), (1000, 1000), (10**4, 3)):
