@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,29 @@ class Scorer(Protocol):
     def score(self, query: str, texts: list[str]) -> list[float]: ...
 
 
+class Generator(Protocol):
+    def answer(self, query: str, contexts: list[str]) -> Answer: ...
+
+
+class Judge(Protocol):
+    #: what it judges; each metric is measured by itself, so that one that fails costs only its own score
+    metrics: tuple[str, ...]
+
+    def measure(self, metric: str, query: str, answer: str, expected: str, context: str) -> tuple[float, str]: ...
+
+
+class Contextualizer(Protocol):
+    def context(self, title: str, heading_path: list[str], content: str) -> str: ...
+
+
+class Answer(NamedTuple):
+    """A generated text and the tokens that it cost."""
+
+    text: str
+    input_tokens: int
+    output_tokens: int
+
+
 class HashEmbedder:
     """Signed hashing of words and word pairs into a unit vector."""
 
@@ -113,6 +136,74 @@ def score_pairs(df: DataFrame, query: str, text: str, make: Callable[[], Scorer]
     return df.withColumn(name, F.arrow_udf(run, "double")(F.col(query), F.col(text)))
 
 
+def failure(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:300]
+
+
+def generate(df: DataFrame, query: str, contexts: str, make: Callable[[], Generator]) -> DataFrame:
+    """df with generated (answer, input_tokens, output_tokens, error) by a model that each task builds once.
+
+    A row whose call fails keeps its error and no answer; one without contexts isn't asked and has neither.
+    """
+    kind = pa.struct([("answer", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64()), ("error", pa.string())])
+
+    def one(model: Generator, q: str | None, texts: list[str] | None) -> dict | None:
+        if texts is None:
+            return None
+        try:
+            made = model.answer(q or "", texts)
+            return {"answer": made.text, "input_tokens": made.input_tokens, "output_tokens": made.output_tokens, "error": None}
+        except Exception as e:  # whatever a model raises is its row's error
+            return {"answer": None, "input_tokens": None, "output_tokens": None, "error": failure(e)}
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = make()
+        for queries, texts in batches:
+            yield pa.array([one(model, q, t) for q, t in zip(queries.to_pylist(), texts.to_pylist(), strict=True)], kind)
+
+    made = F.arrow_udf(run, "struct<answer:string,input_tokens:bigint,output_tokens:bigint,error:string>")
+    return df.withColumn("generated", made(F.col(query), F.col(contexts)))
+
+
+def judge(df: DataFrame, query: Column, answer: Column, expected: Column, context: Column, make: Callable[[], Judge], threshold: float = 0.7) -> DataFrame:
+    """df with scores, a map of metric to (score, success, reason, error); a metric whose call fails has only its error."""
+    kind = pa.map_(pa.string(), pa.struct([("score", pa.float64()), ("success", pa.bool_()), ("reason", pa.string()), ("error", pa.string())]))
+
+    def one(model: Judge, metric: str, texts: tuple[str, ...]) -> tuple[str, dict]:
+        try:
+            score, reason = model.measure(metric, *texts)
+            return metric, {"score": float(score), "success": score >= threshold, "reason": reason, "error": None}
+        except Exception as e:  # whatever a model raises is its metric's error
+            return metric, {"score": None, "success": None, "reason": None, "error": failure(e)}
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        model = make()
+        for columns in batches:
+            rows = zip(*(c.to_pylist() for c in columns), strict=True)
+            yield pa.array([[one(model, m, tuple(t or "" for t in texts)) for m in model.metrics] for texts in rows], kind)
+
+    scored = F.arrow_udf(run, "map<string,struct<score:double,success:boolean,reason:string,error:string>>")
+    return df.withColumn("scores", scored(query, answer, expected, context))
+
+
+def contextualized(df: DataFrame, make: Callable[[], Contextualizer], name: str = "context") -> DataFrame:
+    """df (title, heading_path, content) with a context of each chunk, empty where the call fails, and that call's error in context_error."""
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        model = make()
+        for columns in batches:
+            out = []
+            for title, path, content in zip(*(c.to_pylist() for c in columns), strict=True):
+                try:
+                    out.append({"context": model.context(title or "", path or [], content or ""), "error": None})
+                except Exception as e:  # whatever a model raises is its chunk's error
+                    out.append({"context": "", "error": failure(e)})
+            yield pa.array(out, pa.struct([("context", pa.string()), ("error", pa.string())]))
+
+    made = df.withColumn("_made", F.arrow_udf(run, "struct<context:string,error:string>")(F.col("title"), F.col("heading_path"), F.col("content")))
+    return made.withColumns({name: F.col("_made.context"), f"{name}_error": F.col("_made.error")}).drop("_made")
+
+
 def answer_column(query: Column, contexts: Column) -> Column:
     """Offline generator: the context sentence with most of the query's terms, or that it isn't known."""
     terms = X.distinctive_terms(query)

@@ -28,8 +28,14 @@ def ingest(spark: SparkSession, html: str | None = None, markdown: str | None =
     return made.withColumn("title", F.lit(None).cast("string"))
 
 
-def contextualize(chunks: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Chunks with a context: the known one, else the offline contextualizer's."""
+def contextualize(chunks: DataFrame, known: DataFrame | None = None, make: Callable[[], models.Contextualizer] | None = None) -> DataFrame:
+    """Chunks with a context: the known one, else a contextualizer's, or the offline one's without it; a failed call leaves it empty, with its error."""
+    if make:
+        if known is None:
+            return models.contextualized(chunks, make)
+        chunks = files.prefer_context(chunks, known)
+        own = models.contextualized(chunks.filter("context = ''"), make)
+        return chunks.filter("context <> ''").withColumn("context_error", F.lit(None).cast("string")).unionByName(own)
     own = models.context_column(F.col("title"), F.col("heading_path"))
     if known is None:
         return chunks.withColumn("context", own)

@@ -15,10 +15,11 @@ from . import evaluate, search
 REGRADE_BELOW = 0.3
 
 
-def evaluation(golden: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = 5, pool: int = 20, limit: int | None = None, ids: list[int] | None = None, **models_of) -> DataFrame:
-    """Evaluation records of golden questions (id, query, answer, source_article_id, source_article_id_alt, ...): retrieved chunks, offline answer, matches.
+def evaluation(golden: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = 5, pool: int = 20, limit: int | None = None, ids: list[int] | None = None, generator: Callable[[], models.Generator] | None = None, **models_of) -> DataFrame:
+    """Evaluation records of golden questions (id, query, answer, source_article_id, source_article_id_alt, ...): retrieved chunks, answer, matches.
 
-    A question that fails the request checks stays as a record with an error.
+    Answers are a generator's, or the offline one's without it. A question that fails the request checks, or whose
+    generation fails, stays as a record with an error.
     """
     asked = golden if ids is None else golden.filter(F.col("id").isin(*ids))
     asked = asked if limit is None else asked.orderBy("id").limit(limit)
@@ -30,19 +31,25 @@ def evaluation(golden: DataFrame, chunks: DataFrame, documents: DataFrame, k: in
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.col("rerank_rank").alias("r"), c.alias("v")))), lambda s: s["v"])
     found = hits.groupBy(F.col("query_id").cast("int").alias("id")).agg(ordered(F.col("source_id")).alias("retrieved_ids"), ordered(block).alias("context_strings"), ordered(F.col("content")).alias("_contents"))
     rows = asked.join(found, "id", "left")
-    answered = rows.withColumn("generated", F.when(F.col("_contents").isNotNull(), models.answer_column(F.col("query"), F.col("_contents"))))
+    if generator:
+        answered = models.generate(rows, "query", "_contents", generator)
+    else:
+        text = F.when(F.col("_contents").isNotNull(), models.answer_column(F.col("query"), F.col("_contents")))
+        spent = X.count_tokens(F.array_join("context_strings", "\n\n---\n\n")).cast("long"), X.count_tokens(text).cast("long")
+        answered = rows.withColumn("generated", F.struct(text.alias("answer"), spent[0].alias("input_tokens"), spent[1].alias("output_tokens"), F.lit(None).cast("string").alias("error")))
     flags = evaluate.match_columns(F.col("expected_source_ids"), F.coalesce("retrieved_ids", F.array().cast("array<string>")))
     return answered.select(
-        "id", "query", F.col("answer").alias("expected_answer"), "expected_source_ids", "query_type", "retrieved_ids", "context_strings", F.col("generated").alias("answer"),
-        X.count_tokens(F.array_join("context_strings", "\n\n---\n\n")).cast("long").alias("input_tokens"), X.count_tokens(F.col("generated")).cast("long").alias("output_tokens"),
-        *[c.alias(n) for n, c in flags.items()], F.when(~search.valid_query(F.col("query")), "invalid query").when(F.col("retrieved_ids").isNull(), "nothing retrieved").alias("error"),
+        "id", "query", F.col("answer").alias("expected_answer"), "expected_source_ids", "query_type", "retrieved_ids", "context_strings", "generated.answer", "generated.input_tokens", "generated.output_tokens",
+        *[c.alias(n) for n, c in flags.items()], F.when(~search.valid_query(F.col("query")), "invalid query").when(F.col("retrieved_ids").isNull(), "nothing retrieved").otherwise(F.col("generated.error")).alias("error"),
     )
 
 
-def judged(records: DataFrame) -> DataFrame:
-    """(id, scores) of the records that have an answer, by the offline judges."""
+def judged(records: DataFrame, judge: Callable[[], models.Judge] | None = None) -> DataFrame:
+    """(id, query_type, scores) of the records that have an answer, by a judge, or by the offline one without it."""
     context = F.array_join("context_strings", " ")
     scored = records.filter("answer is not null")
+    if judge:
+        return models.judge(scored, F.col("query"), F.col("answer"), F.col("expected_answer"), context, judge).select("id", "query_type", "scores")
     return scored.select("id", "query_type", models.judge_columns(F.col("query"), F.col("answer"), F.col("expected_answer"), context).alias("scores"))
 
 
