@@ -117,20 +117,65 @@ def explicit_links(docs: DataFrame, key: str, links: str) -> DataFrame:
     return stated.join(back, [key, "target"], "left").fillna(False, ["mutual"])
 
 
-def title_links(docs: DataFrame, key: str, title: str, threshold: float = 0.5) -> DataFrame:
-    """(a, b, similarity): documents whose titles' word sets have a Jaccard similarity of threshold or more.
+#: Titles with a word among their rarest that a task compares with as many others.
+TITLES_AT_ONCE = 2_000
+
+
+def title_words(title: Column) -> Column:
+    """The distinct words of a title in lower case, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+
+
+def title_classes(docs: DataFrame, key: str, title: str) -> DataFrame:
+    """(id, class_id, words): documents whose titles have the same words are a class, named by its smallest id; titles without words have none."""
+    words = docs.select(F.col(key).alias("id"), title_words(F.col(title)).alias("words")).filter("size(words) > 0")
+    names = words.groupBy("words").agg(F.min("id").alias("class_id"))
+    return words.join(names, "words").select("id", "class_id", "words")
+
+
+def class_links(classes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(a, b, similarity): pairs of classes (class_id, words) whose word sets have a Jaccard similarity of threshold or more, a < b.
 
     Prefix filtering: two sets that similar share one of the rarest words of each, as many as the
-    threshold leaves room for; only documents that share such a word are compared.
+    threshold leaves room for, in one order of words for all. Two sets are compared at the first such word that they
+    share, if their sizes and the places of the word leave room for the similarity. The sets of a frequent word are
+    cut into parts, and a pair of parts is a unit of work, so that no task meets all of them.
     """
-    words = docs.select(F.col(key).alias("id"), F.array_distinct(F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("words"))
-    spread = words.select("id", "words", F.explode("words").alias("word"))
+    sets = classes.groupBy("class_id").agg(F.first("words").alias("words"))
+    spread = sets.select("class_id", F.explode("words").alias("word"))
     counts = spread.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = spread.join(counts, "word").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "word")))
-    prefix = F.size("words") - F.ceil(F.lit(threshold) * F.size("words")) + 1
-    keys = ranked.filter(F.col("place") <= prefix).select("id", "words", "word")
-    a, b = keys.select(F.col("id").alias("a"), F.col("words").alias("wa"), "word"), keys.select(F.col("id").alias("b"), F.col("words").alias("wb"), "word")
-    same = F.size(F.array_intersect("wa", "wb"))
-    similarity = same / (F.size("wa") + F.size("wb") - same)
-    fits = F.size("wb").between(F.ceil(F.lit(threshold) * F.size("wa")), F.floor(F.size("wa") / threshold))
-    return a.join(b, "word").filter((F.col("a") < F.col("b")) & fits & (similarity >= threshold)).select("a", "b", F.round(similarity, 6).alias("similarity")).distinct()
+    ordered = spread.join(counts, "word").groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("words"))
+    size = F.size("words")
+    room = size - F.ceil(F.lit(threshold) * size).cast("int") + 1
+    keys = ordered.select("class_id", "words", F.posexplode(F.slice("words", F.lit(1), room)).alias("at", "word"))
+    shared = keys.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word", F.ceil(F.col("n") / TITLES_AT_ONCE).cast("int").alias("parts"))
+    keys = keys.join(shared, "word").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = keys.select("word", F.col("part").alias("i"), every.alias("j"), F.col("class_id").alias("a"), F.col("words").alias("wa"), F.col("at").alias("at_a"))
+    b = keys.select("word", every.alias("i"), F.col("part").alias("j"), F.col("class_id").alias("b"), F.col("words").alias("wb"), F.col("at").alias("at_b"))
+    na, nb = F.size("wa"), F.size("wb")
+    fits = nb.between(F.ceil(F.lit(threshold) * na), F.floor(na / threshold))
+    # what the two may still share from this word on, itself included
+    most = F.least(na - F.col("at_a"), nb - F.col("at_b"))
+    reach = most >= F.ceil((na + nb) * threshold / (1 + threshold) - 1e-9)
+    pairs = a.join(b, ["word", "i", "j"]).filter((F.col("a") < F.col("b")) & fits & reach)
+    common = F.array_intersect("wa", "wb")
+    same = F.size(common)
+    similarity = same / (na + nb - same)
+    first = F.element_at(common, 1) == F.col("word")  # both are in one order, so a pair counts once
+    return pairs.filter(first & (similarity >= threshold)).select("a", "b", F.round(similarity, 6).alias("similarity"))
+
+
+def title_links(docs: DataFrame, key: str, title: str, threshold: float = 0.5) -> DataFrame:
+    """(a, b, similarity): documents whose titles' word sets have a Jaccard similarity of threshold or more, a < b.
+
+    All pairs of documents, those of equal titles too; `title_classes` and `class_links` say the same by classes,
+    which stays small where many titles are equal.
+    """
+    members = title_classes(docs, key, title)
+    links = class_links(members, threshold)
+    a, b = (members.select(F.col("class_id").alias(c), F.col("id").alias(i)) for c, i in (("a", "ia"), ("b", "ib")))
+    other = links.join(a, "a").join(b, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
+    x, y = (members.select("class_id", F.col("id").alias(i)) for i in ("a", "b"))
+    equal = x.join(y, "class_id").filter("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return other.unionByName(equal)

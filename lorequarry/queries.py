@@ -875,6 +875,20 @@ def title_similarity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.title_links(parts, "p_partkey", "title", 0.6)
 
 
+@query(r"""
+WITH w AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS ws FROM part),
+c AS (SELECT ws, min(id) AS class_id FROM w WHERE len(ws) > 0 GROUP BY ws),
+l AS (SELECT x.class_id AS a, y.class_id AS b FROM c x JOIN c y ON x.class_id <> y.class_id WHERE len(list_intersect(x.ws, y.ws)) / (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) >= 0.6)
+SELECT id AS p_partkey, class_id, (SELECT count(*) FROM l WHERE l.a = c.class_id) AS n_links FROM w JOIN c USING (ws)
+""")
+def title_link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part with the class of its name's words, and how many other classes that one links to."""
+    members = maintenance.title_classes(read(spark, sf_dir, "part"), "p_partkey", "p_name")
+    links = maintenance.class_links(members, 0.6)
+    ends = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "class_id", "left").select(F.col("id").alias("p_partkey"), "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 @query("""
 WITH l AS (SELECT DISTINCT l_suppkey AS doc, l_partkey % 100 AS target FROM lineitem)
 SELECT a.doc, a.target, b.doc IS NOT NULL AS mutual FROM l a LEFT JOIN l b ON a.doc = b.target AND a.target = b.doc
