@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, named, unused
 
-MIN_CHARS = 20
+MIN_CHARS = 10
 BLOCKS = 4
 #: Up to so many documents with candidate lines are looked up by a broadcast of their ids (8 MB); more by a shuffle.
 BROADCAST_IDS = 1_000_000

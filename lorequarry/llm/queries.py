@@ -109,7 +109,7 @@ WITH lines AS (
 ), counted AS (SELECT * FROM lines WHERE line <> ''
 ), firsts AS (
     SELECT line, length(line) AS n, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS place FROM counted GROUP BY line
-), long AS (SELECT * FROM firsts WHERE n >= 20
+), long AS (SELECT * FROM firsts WHERE n >= 10
 ), halves AS (
     SELECT line, n, place, n AS ref, 'l' AS side, left(line, n // 2) AS part FROM long
     UNION ALL SELECT line, n, place, n, 'r', right(line, n - n // 2) FROM long
