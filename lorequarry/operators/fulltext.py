@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.stemming import STOP_WORDS, stem
+from ..storage import materialize
 
 #: Words whose stems a task remembers before it begins anew.
 KNOWN_WORDS = 200_000
@@ -23,6 +24,8 @@ KNOWN_WORDS = 200_000
 BROADCAST_LEXEMES = 100_000
 #: Words of the texts that are worked on at once.
 WORDS_AT_ONCE = 500_000
+#: Places of lexemes to confirm that may be broadcast: rows of some 60 bytes.
+BROADCAST_PLACES = 500_000
 CONFIGS = ("simple", "english")
 
 
@@ -110,14 +113,18 @@ def phrase_match(index: DataFrame, asked: DataFrame, key: list[str], doc: str) -
     """
     if asked.count() <= BROADCAST_LEXEMES:
         asked = F.broadcast(asked)
-    index = index.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
+    # the postings of asked lexemes are set aside: they are read three times
+    index = materialize(index.join(asked.select("lexeme").distinct(), "lexeme", "left_semi"), "asked-postings")
     frequent = index.groupBy("lexeme").agg(F.count("*").alias("df"))
     counted = asked.join(frequent, "lexeme", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = counted.groupBy(*key).agg(F.min(F.struct("df", "offset", "lexeme")).alias("r")).filter("r.df > 0")
     leads = rarest.select(*key, F.col("r.lexeme").alias("lexeme"), F.col("r.offset").alias("_lead"))
-    starts = leads.join(index, "lexeme").select(*key, doc, "_lead", F.explode("positions").alias("_place")).select(*key, doc, "_lead", (F.col("_place") - F.col("_lead")).alias("_start")).filter("_start > 0")
+    found = leads.join(index, "lexeme").select(*key, doc, "_lead", F.explode("positions").alias("_place"))
+    starts = materialize(found.select(*key, doc, "_lead", (F.col("_place") - F.col("_lead")).alias("_start")).filter("_start > 0"), "phrase-starts")
     # the rarest lexeme is confirmed by its own place
     wanted = starts.join(asked, key).filter("offset <> _lead").select(*key, doc, "_start", "n", "lexeme", (F.col("_start") + F.col("offset")).alias("_place"))
+    if wanted.count() <= BROADCAST_PLACES:  # few places to look at: they go to the index, which stays where it is
+        wanted = F.broadcast(wanted)
     confirmed = wanted.join(index, [doc, "lexeme"]).filter(F.array_contains("positions", F.col("_place")))
     whole = confirmed.groupBy(*key, doc, "_start", "n").agg(F.count("*").alias("found")).filter("found = n - 1").select(*key, doc, "_start")
     alone = starts.join(asked.filter("n = 1").select(*key), key, "left_semi").select(*key, doc, "_start")

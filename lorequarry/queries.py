@@ -236,7 +236,7 @@ def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a sentence of a benchmark passage word by word, whatever stands between the words."""
     key = ["item_id", "sentence_no"]
     index = fulltext.lexemes(read(spark, sf_dir, "documents"), ["doc_id"], "text", "simple")
-    return fulltext.phrase_match(materialize(index, "index"), materialize(fulltext.phrases(asked_sentences(spark, sf_dir), "phrase", key, "simple"), "phrases"), key, "doc_id")
+    return fulltext.phrase_match(index, materialize(fulltext.phrases(asked_sentences(spark, sf_dir), "phrase", key, "simple"), "phrases"), key, "doc_id")
 
 
 @query()
@@ -244,7 +244,7 @@ def phrase_match_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by stems, without stop words."""
     key = ["item_id", "sentence_no"]
     index = fulltext.lexemes(read(spark, sf_dir, "documents"), ["doc_id"], "text")
-    return fulltext.phrase_match(materialize(index, "index"), materialize(fulltext.phrases(asked_sentences(spark, sf_dir), "phrase", key), "phrases"), key, "doc_id")
+    return fulltext.phrase_match(index, materialize(fulltext.phrases(asked_sentences(spark, sf_dir), "phrase", key), "phrases"), key, "doc_id")
 
 
 @query("""

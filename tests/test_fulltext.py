@@ -79,6 +79,7 @@ def brute_phrases(texts, asked, config):
 @pytest.mark.parametrize("broadcast", [0, 100_000])
 def test_phrases(spark, config, broadcast, monkeypatch):
     monkeypatch.setattr(fulltext, "BROADCAST_LEXEMES", broadcast)
+    monkeypatch.setattr(fulltext, "BROADCAST_PLACES", broadcast)
     rng = random.Random(6)
     vocabulary = ["the", "rate", "rates", "rated", "of", "nation", "nations", "x"]
     texts = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 30)))) for i in range(60)] + [(99, None)]
