@@ -122,6 +122,9 @@ RUN = re.compile(r"[^\s\"'`<>=:,;(){}\[\]]+(?:={1,2}(?![\w=]))?")
 #: A cue is looked for among so many tokens before a segment.
 CUE_REACH = 6
 
+#: What may stand after a short value.
+VALUE_ENDS = " \t\r\n\"'`<>,;)"
+
 
 class Window:
     """Tokens of a stretch of text with what segment features need."""
@@ -150,11 +153,14 @@ class Window:
         return "", equal
 
     def may_start(self, i: int, s: int, e: int) -> bool:
-        """Whether a segment of text from token i on is long enough and holds a digit or follows a cue."""
-        return e - s >= 6 and bool(self.context[i][0] or DIGIT.search(self.text, s, e))
+        """Whether a segment of text from token i on is long enough and holds a digit or follows a cue; a whole value after a cue and an equal sign may be shorter."""
+        cue, equal = self.context[i]
+        if e - s < 6:
+            return e - s >= 4 and equal and bool(cue) and (e == len(self.text) or self.text[e] in VALUE_ENDS)
+        return bool(cue or DIGIT.search(self.text, s, e))
 
     def candidates(self, max_tokens: int) -> Iterator[list[int]]:
-        """For each end, from the first token's on, the starts of candidate segments: unbroken, with a digit or after a cue, six characters at least; bounded or a whole run."""
+        """For each end, from the first token's on, the starts of candidate segments: unbroken, with a digit or after a cue, six characters at least (four for a whole value after a cue); bounded or a whole run."""
         n, text = len(self.tokens), self.text
         runs: dict[int, list[int]] = {}
         if n:
