@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking, lexical, models, vector
+from ..storage import materialize
 from . import evaluate, search
 
 #: Candidates graded below this are asked again.
@@ -99,6 +100,29 @@ def graded(hits: DataFrame, score: str = "rerank_score", below: float = REGRADE_
     return best.withColumn("grade", F.when(F.col("best") >= 2 * below, "good").when(F.col("best") >= below, "doubtful").otherwise("ask again"))
 
 
+def asked_again(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame, DataFrame], DataFrame], below: float, rounds: int = 2, score: str = "score") -> DataFrame:
+    """(query_id, round, and retrieve's other columns): the hits of each query's best round.
+
+    queries is (query_id, query). Each round retrieves for the queries that are still open: those whose best score in every
+    round before was below the limit, in the words that rewrite(open queries, their hits) gave them. Only these are joined
+    again; a query is closed by a good round, or by the last. Of a query's rounds the one with the best score stays,
+    of equal ones the first. A query that finds nothing stays open and has no rows; one that isn't rewritten is closed.
+    """
+    kept, waiting = None, queries.select("query_id", "query").filter("query_id is not null")
+    for number in range(1, rounds + 1):
+        waiting = materialize(waiting, "open-queries")
+        if waiting.isEmpty():
+            break
+        hits = materialize(retrieve(waiting).withColumn("round", F.lit(number)), "round-hits")
+        kept = hits if kept is None else kept.unionByName(hits)
+        good = hits.groupBy("query_id").agg(F.max(score).alias("best")).filter(F.col("best") >= below)
+        waiting = rewrite(waiting.join(good, "query_id", "left_anti"), hits)
+    if kept is None:
+        return retrieve(queries.select("query_id", "query").limit(0)).withColumn("round", F.lit(0))
+    best = kept.groupBy("query_id", "round").agg(F.max(score).alias("best")).groupBy("query_id").agg(F.min(F.struct((-F.col("best")).alias("worst"), F.col("round").alias("round"))).alias("b"))
+    return kept.join(best.select("query_id", F.col("b.round").alias("round")), ["query_id", "round"])
+
+
 def hypothetical(queries: DataFrame, generate: Callable[[Column], Column]) -> DataFrame:
     """Queries whose text is a generated answer to them, to be embedded in their place."""
     return queries.withColumn("query", F.coalesce(generate(F.col("query")), F.col("query")))
