@@ -64,3 +64,33 @@ def index_coverage(stored: DataFrame, expected: DataFrame, key: str) -> DataFram
     have, want = (df.select(key).distinct().withColumn(name, F.lit(True)) for df, name in ((stored, "have"), (expected, "want")))
     both = have.join(want, key, "full_outer")
     return both.agg(F.count("want").alias("expected"), F.count_if(F.expr("have and want")).alias("stored"), F.count_if(F.col("have").isNull()).alias("missing"), F.count_if(F.col("want").isNull()).alias("unexpected"))
+
+
+#: Size of a quantile sketch: ranks are off by less than a hundredth, nearly always, whatever the number of values.
+SKETCH_K = 400
+
+
+def daily_sketches(events: DataFrame, value: Column, by: tuple[str, ...] = (), k: int = SKETCH_K) -> DataFrame:
+    """(day, by, n, sketch): the values of each day, and of each of its groups, as a quantile sketch of some kilobytes; null and non-finite values don't count."""
+    kept = events.select(F.to_date("ts").alias("day"), *by, value.cast("double").alias("_value"))
+    usable = F.col("_value").isNotNull() & ~F.isnan("_value") & (F.abs("_value") < float("inf"))
+    kept = kept.filter(usable & F.col("day").isNotNull())
+    return kept.groupBy("day", *by).agg(F.count("*").alias("n"), F.kll_sketch_agg_double("_value", F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, period: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(period, by, n, sketch): stored sketches merged into those of longer periods, without the events."""
+    return sketches.groupBy(period.alias("period"), *by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantile(sketch: Column, share: float) -> Column:
+    """The value below or at which so large a share of a sketch's values lies, within the sketch's error."""
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(share))
+
+
+def sketch_distance(a: Column, b: Column, steps: int = 100) -> Column:
+    """The Kolmogorov distance of two sketches' distributions, to one part in steps and the sketches' error."""
+    shares = F.array(*[F.lit((i + 0.5) / steps) for i in range(steps)])
+    one, two = (F.kll_sketch_get_quantile_double(s, shares) for s in (a, b))
+    rank = lambda quantiles, x: F.size(F.filter(quantiles, lambda q: q <= x)) / F.lit(steps)
+    return F.array_max(F.transform(F.concat(one, two), lambda x: F.abs(rank(one, x) - rank(two, x))))

@@ -978,3 +978,18 @@ def low_confidence_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderstatus AS status, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM orders) AS percent FROM orders GROUP BY 1")
 def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.progress(read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
+
+
+@query("""
+SELECT date_trunc('week', ts)::DATE::VARCHAR AS week, event_type, count(*) AS n, true AS median_within, true AS p95_within FROM events WHERE value IS NOT NULL AND isfinite(value) GROUP BY ALL
+""")
+def sketched_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks merged from stored daily sketches, and whether their quantiles' true ranks are within a fiftieth of what was asked."""
+    e = read(spark, sf_dir, "events")
+    days = materialize(telemetry.daily_sketches(e, F.col("value"), ("event_type",)), "daily-sketches")
+    weeks = telemetry.merged_sketches(days, F.date_trunc("week", "day").cast("date"), ("event_type",)).withColumns({"p50": telemetry.sketch_quantile(F.col("sketch"), 0.5), "p95": telemetry.sketch_quantile(F.col("sketch"), 0.95)})
+    weeks = weeks.select(F.col("period").alias("week"), "event_type", "n", "p50", "p95")
+    values = e.select(F.to_date(F.date_trunc("week", "ts")).alias("week"), "event_type", "value").join(weeks, ["week", "event_type"])
+    # equal values span ranks, any of which will do
+    within = lambda q, share: (F.count_if(F.col("value") < F.col(q)) / F.first("n") <= share + 0.02) & (F.count_if(F.col("value") <= F.col(q)) / F.first("n") >= share - 0.02)
+    return values.groupBy(F.col("week").cast("string").alias("week"), "event_type").agg(F.first("n").alias("n"), within("p50", 0.5).alias("median_within"), within("p95", 0.95).alias("p95_within"))
