@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import graph
 from ..storage import materialize
 
 # What the gate tolerates, by metric: direction that is worse, and by how much.
@@ -228,3 +229,21 @@ def failure_clusters(scores: DataFrame, n_examples: int = 3) -> DataFrame:
     order = Window.partitionBy("failed").orderBy("id")
     ranked = failed.withColumn("place", F.row_number().over(order))
     return ranked.groupBy("failed").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= n_examples, F.col("id")))).alias("examples"))
+
+
+def failure_groups(failed: DataFrame, k: int = 5, least: float = 0.8, n_examples: int = 3) -> DataFrame:
+    """(first, n, reason, share, examples): failed questions (id, embedding, reason) grouped by what they ask.
+
+    Questions hang together that are among each other's k nearest with a cosine of at least `least`; a group is named by its
+    smallest id and has its commonest reason, the share of its questions with that, and its first examples. A question near no
+    other is a group by itself; so are those without a direction.
+    """
+    once = failed.filter("id is not null").groupBy("id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"), F.min("reason").alias("reason"))
+    once = materialize(once, "failed")
+    named = graph.groups(graph.mutual_neighbours(once.select("id", "embedding"), k, least))
+    rows = once.select("id", "reason").join(named, "id", "left").withColumn("first", F.coalesce("first", "id"))
+    reasons = rows.groupBy("first", "reason").agg(F.count("*").alias("c"))
+    common = reasons.groupBy("first").agg(F.sum("c").alias("n"), F.min(F.struct((-F.col("c")).alias("less"), "reason")).alias("top"))
+    place = F.row_number().over(Window.partitionBy("first").orderBy("id"))
+    examples = rows.withColumn("place", place).filter(F.col("place") <= n_examples).groupBy("first").agg(F.array_sort(F.collect_list("id")).alias("examples"))
+    return common.join(examples, "first").select("first", "n", F.col("top.reason").alias("reason"), F.round(-F.col("top.less") / F.col("n"), 6).alias("share"), "examples")

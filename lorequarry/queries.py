@@ -271,6 +271,23 @@ def phrase_match_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.phrase_match(index, materialize(fulltext.phrases(asked_sentences(spark, sf_dir), "phrase", key), "phrases"), key, "doc_id")
 
 
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) <= 5),
+mutual AS (SELECT x.a, x.b FROM near x JOIN near y ON x.a = y.b AND x.b = y.a WHERE x.s >= 0.35 AND y.s >= 0.35),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, m.b FROM reach r JOIN mutual m ON r.b = m.a),
+named AS (SELECT a AS id, min(b) AS first FROM reach GROUP BY a),
+reasons AS (SELECT first, 'label ' || coalesce(label::VARCHAR, 'none') AS reason, count(*) AS c FROM named JOIN embeddings ON vec_id = id GROUP BY ALL),
+tops AS (SELECT first, sum(c)::BIGINT AS n, arg_min(reason, struct_pack(less := -c, reason := reason)) AS reason, max(c) AS c FROM reasons GROUP BY first)
+SELECT t.first, n, reason, round(c / n, 6) AS share, (SELECT list(id ORDER BY id)[1:3] FROM named WHERE named.first = t.first) AS examples FROM tops t
+""")
+def failure_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as questions that failed, their label as the reason, grouped by what they ask (vectors of these tables are far apart, so 0.35 is near)."""
+    e = read(spark, sf_dir, "embeddings")
+    reason = F.concat(F.lit("label "), F.coalesce(F.col("label").cast("string"), F.lit("none")))
+    return evaluate.failure_groups(e.select(F.col("vec_id").alias("id"), "embedding", reason.alias("reason")), least=0.35)
+
+
 @query("""
 SELECT o_orderkey, round(o_totalprice * power(0.5::DOUBLE, greatest(date_diff('day', o_orderdate::DATE, DATE '1999-01-01'), 0) / (CASE WHEN o_orderpriority LIKE '1%' THEN 180.0::DOUBLE ELSE 730.0::DOUBLE END)), 6) AS score,
     round(0.7::DOUBLE * o_totalprice / 1e6 + 0.3::DOUBLE * power(0.5::DOUBLE, greatest(date_diff('day', o_orderdate::DATE, DATE '1999-01-01'), 0) / (CASE WHEN o_orderpriority LIKE '1%' THEN 180.0::DOUBLE ELSE 730.0::DOUBLE END)), 6) AS blended
