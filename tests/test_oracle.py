@@ -38,8 +38,3 @@ def test_query(spark, duck, sf_dir, name):
     assert sorted(got.columns) == sorted(rel.columns)
     found, wanted = rows(got.columns, [tuple(r) for r in got.collect()]), rows(rel.columns, rel.fetchall())
     assert len(found) == len(wanted) and found == wanted
-
-
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
-def test_query_without_sql_runs(spark, sf_dir, name):
-    assert queries.QUERIES[name](spark, sf_dir).count() > 0
