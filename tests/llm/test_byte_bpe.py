@@ -126,3 +126,14 @@ def test_pairs_stay_apart_exactly_if_merging_keeps_them():
         a, b = rng.choice(short), rng.choice(short)
         parts, _ = byte_bpe.merges(machine.tokens[a] + machine.tokens[b], RANKS)
         assert machine.stay_apart(a, b) == (parts == [machine.tokens[a], machine.tokens[b]])
+
+
+def test_the_faster_splitting_is_the_same():
+    narrow = byte_bpe.narrowed(public_tokenizers.PATTERN)
+    rng = random.Random(11)
+    signs = [chr(c) for c in range(256)] + list("'''  \n\tstremdl ")
+    for _ in range(20000):
+        text = "".join(rng.choices(signs, k=rng.randint(1, 14)))
+        assert narrow.findall(text) == CODEC.splitter.findall(text)
+    assert byte_bpe.narrowed(r"\p{Lu}+|.") is None and byte_bpe.narrowed(r"\d+|\D") is None
+    assert ids("naïve façade ¾ \xa0 ª") == THEIRS.encode_ordinary("naïve façade ¾ \xa0 ª") and ids("œuvre naïve 日") == THEIRS.encode_ordinary("œuvre naïve 日")
