@@ -113,8 +113,9 @@ def format_chunk(number: Column, source_id: Column, title: Column, heading_path:
 
 
 def request_token(source_id: Column) -> Column:
-    """A source id as letters, digits and single underscores, 50 characters at most."""
-    return F.substring(F.regexp_replace(F.regexp_replace(source_id, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""), 1, 50)
+    """A source id as letters, digits and single underscores, 50 characters at most; `x` for one that has none of them."""
+    token = F.substring(F.regexp_replace(F.regexp_replace(source_id, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""), 1, 50)
+    return F.coalesce(F.nullif(token, F.lit("")), F.lit("x"))
 
 
 def request_id(token: Column, chunk_index: Column) -> Column:

@@ -800,11 +800,10 @@ def embed_text_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, substr(trim(regexp_replace(text, '[^a-zA-Z0-9]+', '_', 'g'), '_'), 1, 50) || '__' || doc_id AS request_id FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9]')
+SELECT doc_id, coalesce(nullif(substr(trim(regexp_replace(text, '[^a-zA-Z0-9]+', '_', 'g'), '_'), 1, 50), ''), 'x') || '__' || doc_id AS request_id FROM documents
 """)
 def request_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").filter(F.col("text").rlike("[a-zA-Z0-9]"))
-    return d.select("doc_id", X.request_id(X.request_token(F.col("text")), F.col("doc_id")).alias("request_id"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.request_id(X.request_token(F.col("text")), F.col("doc_id")).alias("request_id"))
 
 
 @query("""
