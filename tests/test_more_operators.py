@@ -6,7 +6,6 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lorequarry import schemas
 from lorequarry.operators import lexical, maintenance, models, telemetry, vector
 from lorequarry.plans import evaluate, ingest
 from lorequarry.sources import files
