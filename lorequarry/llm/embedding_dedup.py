@@ -228,7 +228,8 @@ def in_buckets(codes: DataFrame, part: int) -> DataFrame:
     bucket = ["label", "dim", "table", "key"]
     sizes = hits.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / part).cast("int")
-    return hits.join(sizes, bucket).select("rep", *bucket, F.pmod(F.xxhash64("rep", "table"), parts).cast("int").alias("part"), parts.alias("parts"))
+    # Spark takes exploded rows for as small as the files that they come from and would broadcast them
+    return hits.hint("merge").join(sizes, bucket).select("rep", *bucket, F.pmod(F.xxhash64("rep", "table"), parts).cast("int").alias("part"), parts.alias("parts"))
 
 
 def link_counts(codes: DataFrame, bound: float, part: int, width: str) -> DataFrame:
@@ -236,7 +237,7 @@ def link_counts(codes: DataFrame, bound: float, part: int, width: str) -> DataFr
     hits = materialize(in_buckets(codes, part), "vector-buckets")
     # a part meets itself and every other part of its bucket, each pair of parts under a key of its own
     met = hits.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = met.join(codes.select("rep", "copies", "vec", "keys"), "rep")
+    rows = met.hint("merge").join(codes.select("rep", "copies", "vec", "keys"), "rep")
     unit_of_work = ["label", "dim", "table", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
     work = rows.groupBy(*unit_of_work).agg(F.collect_list(F.struct("part", "rep", "copies", "vec", "keys")).alias("rows"))
 

@@ -124,7 +124,8 @@ def shared_buckets(groups: DataFrame) -> DataFrame:
     marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
     known = spread.groupBy("band", "key").agg(F.count("*").alias("n"), *marks).filter("n > 1")
     one = known.groupBy("n", "mark1", "mark2").agg(F.min(F.struct("band", "key")).alias("m")).select("m.band", "m.key")
-    return spread.join(one, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
+    # Spark takes exploded rows for as small as the file that they come from and would broadcast them
+    return spread.hint("merge").join(one, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
 
 
 def meets_leader(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -98,7 +98,8 @@ def near_links(prints: DataFrame, max_bits: int = 2, crowded: int = CROWDED) ->
 
 def cell_pairs(placed: DataFrame, max_bits: int) -> DataFrame:
     """All pairs of fingerprints that meet in a cell and differ in max_bits or fewer."""
-    a, b = placed.select(F.col("fp").alias("a"), "cell"), placed.select(F.col("fp").alias("b"), "cell")
+    # Spark takes the exploded cells for as small as the fingerprints' file and would broadcast them
+    a, b = placed.select(F.col("fp").alias("a"), "cell").hint("merge"), placed.select(F.col("fp").alias("b"), "cell")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     return a.join(b, "cell").filter((F.col("a") < F.col("b")) & near).select("a", "b")
 
@@ -114,10 +115,10 @@ def stars(prints: DataFrame, max_bits: int) -> DataFrame:
     points = [F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)]
     if max_bits == 1:
         other = prints.select(F.explode(F.array(*points)).alias("a"), F.col("fp").alias("b"))
-        return other.join(prints.select(F.col("fp").alias("a")), "a", "left_semi")
+        return other.hint("merge").join(prints.select(F.col("fp").alias("a")), "a", "left_semi")
     spread = prints.select("fp", F.explode(F.array(F.col("fp"), *points)).alias("point"))
     low = spread.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a <> top").select("point", "a")
-    return spread.join(low, "point").filter("a <> fp").select("a", F.col("fp").alias("b"))
+    return spread.hint("merge").join(low, "point").filter("a <> fp").select("a", F.col("fp").alias("b"))
 
 
 def signed(x: int) -> int:
