@@ -253,8 +253,8 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int, scale: float = 64.0,
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = bounded.withColumn("row", lane("q_ids", q_lanes)).withColumn("column", every(x_lanes))
     dealt = buckets.withColumn("column", lane("ids", x_lanes)).withColumn("row", every(q_lanes))
-    # a bucket too short for every query of a block isn't even sent to it
-    met = asked.join(dealt, ["dim", "row", "column"]).filter(F.col("high") * (1 + 1e-9) >= F.col("least"))
+    # a bucket too short for every query of a block isn't even sent to it; Spark takes the copies for as small as the files that they come from
+    met = asked.hint("merge").join(dealt, ["dim", "row", "column"]).filter(F.col("high") * (1 + 1e-9) >= F.col("least"))
     found = met.select("dim", "q_ids", "q_norms", "q_matrix", "bounds", "ids", "norms", "matrix").mapInArrow(search, "query_id long, vec_id long, score long")
     # no more than k rows for each query and task
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

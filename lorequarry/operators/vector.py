@@ -186,7 +186,7 @@ def _blockwise(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool) -
                 best.meet(np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, width))
         yield from (b.rows() for b in held.values())
 
-    return asked.join(rows, ["width", "i", "j"]).select("width", "q_ids", "q", "ids", "matrix").mapInArrow(local, "query_id long, id long, score double")
+    return asked.hint("merge").join(rows, ["width", "i", "j"]).select("width", "q_ids", "q", "ids", "matrix").mapInArrow(local, "query_id long, id long, score double")
 
 
 def drift(vectors: DataFrame, group: str) -> DataFrame:
