@@ -1,7 +1,8 @@
 """Near copies of texts: components of all pairs whose sets of word shingles have a Jaccard similarity of a bound or more.
 
-This is the SimHash operator at a similarity bound, where fingerprints of 64 bits can't serve: at a similarity of 0.8 about 10 of
-the bits differ and 18 may, as they do in one of 4000 unrelated pairs. So candidates come from min-hashes in bands: two texts
+Candidates may be proposed by SimHash fingerprints of the sets (see simhash.near_duplicates_at); those that whole sets
+confirm are merged first. Fingerprints of 64 bits can't find all pairs: at a similarity of 0.8 about 10 of the bits differ
+and 18 may, as they do in one of 4000 unrelated pairs. The rest comes from min-hashes in bands: two texts
 at similarity s share one of BANDS buckets of ROWS minima with probability 1 - (1 - s^ROWS)^BANDS,
 which misses 1.4e-7 of the pairs at 0.8 and fewer above.
 
@@ -17,7 +18,7 @@ rows; an empty table gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 4
 SEED = 42
 CHUNK = 512
+BITS_CHUNK = 1 << 14
 ROUNDS = 2
 #: Members that meet their leader under one key of the join.
 MEMBERS = 1000
@@ -64,6 +66,15 @@ def set_id(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of hashes, 64 bits as a signed long; zero of an empty set."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), BITS_CHUNK):
+        some = found[at : at + BITS_CHUNK]
+        counts += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def multipliers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     r = np.random.default_rng(SEED)
     draw = lambda *shape: r.integers(0, 1 << 64, shape, np.uint64)
@@ -88,7 +99,7 @@ def lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, n_words, node, size, bands): a long for the set of shingles, its size, and its band keys."""
+    """(doc_id, n_words, node, size, fp, bands): a long for the set of shingles, its size, fingerprint and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = multipliers()
@@ -98,12 +109,12 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
                 words = words_of(x.as_py())
                 n_words.append(len(words))
                 sets.append(shingles(words, shingle_words))
-            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), lists([bands(s, mix) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "node", "size", "bands"])
+            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(fingerprint, sets), pa.int64()), lists([bands(s, mix) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "node", "size", "fp", "bands"])
         release_memory()
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, node long, size int, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, node long, size int, fp long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
@@ -128,6 +139,20 @@ def shared_buckets(groups: DataFrame) -> DataFrame:
     return spread.hint("merge").join(one, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
 
 
+def proposals(groups: DataFrame, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b) of sets whose fingerprints are equal or linked by propose: (a, b) of fingerprints (fp).
+
+    One set stands for its fingerprint: the others of it, and those that stand for linked ones, meet that set.
+    """
+    worded = groups.filter("size > 0").select("node", "fp")
+    heads = materialize(worded.groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads")
+    same = worded.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = propose(heads.select("fp"))
+    ends = heads.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), heads.select(F.col("fp").alias("b"), F.col("head").alias("head_b"))
+    linked = links.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return same.unionByName(linked).distinct()
+
+
 def meets_leader(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of asked that are similar. A leader a with many members stands under several keys."""
     leaders = asked.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("keys"))
@@ -191,9 +216,12 @@ def all_pairs(labelled: DataFrame, sets: DataFrame, similarity: float, part: int
     return work.select("low", "high", "rows").mapInArrow(run, "a long, b long")
 
 
-def components(buckets: DataFrame, sets: DataFrame, similarity: float, part: int = PART) -> DataFrame:
-    """(node, component) over all similar pairs of buckets (bucket, node, size), for nodes with such a pair."""
+def components(buckets: DataFrame, sets: DataFrame, similarity: float, part: int = PART, proposed: DataFrame | None = None) -> DataFrame:
+    """(node, component) over all similar pairs of buckets (bucket, node, size) and of proposed (a, b), for nodes with such a pair."""
     links = parts = None
+    if proposed is not None:
+        links = materialize(meets_leader(proposed, sets, similarity), "near-proposed")
+        parts = connected_components(links, "a", "b")
     for turn in range(ROUNDS + 1):
         labelled = buckets.withColumn("label", F.col("node")) if parts is None else buckets.join(parts, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("label"))
         # by turns the first and the last in an order of the members, so the first two leaders differ
@@ -216,19 +244,26 @@ def components(buckets: DataFrame, sets: DataFrame, similarity: float, part: int
     return parts
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
-    """(doc_id, component_id, n_words): the smallest doc_id reachable over pairs of texts of the similarity or more, and the text's words."""
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, part: int = PART, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, component_id, n_words): the smallest doc_id reachable over pairs of texts of the similarity or more, and the text's words.
+
+    propose, if given, links fingerprints (fp) as pairs (a, b), whose sets are compared before those that share a bucket.
+    """
     seen = materialize(sketches(docs, shingle_words), "sketches")
-    groups = materialize(seen.groupBy("node").agg(F.min(F.struct("doc_id", "size", "bands")).alias("m")).select("node", F.col("m.doc_id").alias("first"), "m.size", "m.bands"), "sketch-groups")
+    groups = materialize(seen.groupBy("node").agg(F.min(F.struct("doc_id", "size", "fp", "bands")).alias("m")).select("node", F.col("m.doc_id").alias("first"), "m.size", "m.fp", "m.bands"), "sketch-groups")
     buckets = materialize(shared_buckets(groups), "sketch-buckets")
     firsts = groups.select("node", "first")
-    wanted = firsts.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("first").alias("doc_id"), "node")
+    met = buckets.select("node")
+    proposed = None if propose is None else materialize(proposals(groups, propose), "proposals")
+    if proposed is not None:
+        met = met.unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node")))
+    wanted = firsts.join(met.distinct(), "node", "left_semi").select(F.col("first").alias("doc_id"), "node")
     # rows that share a doc_id may have other texts
     wanted = materialize(wanted, "sketch-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), shingle_words).dropDuplicates(["node"]), "shingle-sets")
-    labels = materialize(components(buckets, sets, similarity, part), "near-components")
-    discard(sets, buckets)
+    labels = materialize(components(buckets, sets, similarity, part, proposed), "near-components")
+    discard(sets, buckets, *([] if proposed is None else [proposed]))
     members = labels.join(firsts, "node")
     roots = members.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = members.join(roots, "component").select("node", "component_id")

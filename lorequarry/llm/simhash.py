@@ -140,6 +140,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2)
 def near_duplicates_at(docs: DataFrame, similarity: float = near_text.SIMILARITY, shingle_words: int = near_text.SHINGLE_WORDS) -> DataFrame:
     """(doc_id, component_id): the smallest doc_id reachable over pairs of texts whose shingle sets have the similarity or more.
 
-    Fingerprints within a bit radius can't find those pairs (see near_text), so it doesn't go by them.
+    Fingerprints of the shingle sets within two bits propose pairs, and whole sets verify them. Pairs of the similarity whose
+    fingerprints lie further apart (see near_text) are found by min-hashes, among sets that aren't in one component yet.
     """
-    return near_text.near_duplicates(docs, shingle_words, similarity).select("doc_id", "component_id")
+    return near_text.near_duplicates(docs, shingle_words, similarity, propose=near_links).select("doc_id", "component_id")
