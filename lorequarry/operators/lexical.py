@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
+#: Up to so many pairs of query and term go to every task.
+BROADCAST_TERMS = 500_000
 #: The published constant of reciprocal rank fusion.
 RRF_K = 60
 
@@ -23,22 +27,26 @@ def postings(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank): the k texts of highest BM25 for every query.
 
-    queries is (query_id, text), docs (id, text). Lengths come from the texts without a shuffle;
-    only postings of query terms are shuffled, and document frequencies are counted on those.
+    queries is (query_id, text), docs (id, text). Texts are dealt by id once; a document's postings, its parts and
+    its scores for all queries then stay in one task, and only the k best of each query and task are shuffled. Where the
+    queries have more terms than go to every task, postings are joined with them by a shuffle.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    worded = docs.select("id", tokens(F.col("text")).alias("words"))
+    asked = materialize(asked, "bm25-asked")
     length = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"))
     totals = docs.agg(F.count("*").alias("n"), F.avg(length).alias("avg_len"))
-    vocabulary = asked.select("term").distinct()
+    few = asked.count() <= BROADCAST_TERMS
+    to_all = F.broadcast if few else lambda rows: rows
+    dealt = docs.select("id", "text").repartition("id")
+    worded = dealt.select("id", tokens(F.col("text")).alias("words"))
     # the length travels with each term, so that neither text nor words are copied to every row
     spread = worded.select("id", F.inline(F.transform("words", lambda w: F.struct(F.size("words").alias("len"), w.alias("term")))))
-    hits = spread.join(vocabulary, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    hits = spread.join(to_all(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n = F.broadcast(totals)  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = hits.join(df, "term").join(asked, "term").crossJoin(n).select("query_id", "id", part.alias("part"))
+    scored = hits.join(to_all(asked.join(df, "term")), "term").crossJoin(n).select("query_id", "id", part.alias("part"))
     scored = scored.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(scored, k)
 
