@@ -30,10 +30,10 @@ def chunk_articles(docs: DataFrame, count: Callable[[str], int] = H.quarter, lim
     return rows.filter("c is not null or error is not null").select(*kept, *[F.col(f"c.{f}").alias(f) for f in FIELDS], "error")
 
 
-def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, chunk_index, content): the non-blank lines of a text in order, from 0."""
+def paragraphs(docs: DataFrame, key: str, text: str, *kept: str) -> DataFrame:
+    """(key, kept columns, chunk_index, content): the non-blank lines of a text in order, from 0."""
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return docs.select(key, F.posexplode(lines).alias("chunk_index", "content"))
+    return docs.select(key, *kept, F.posexplode(lines).alias("chunk_index", "content"))
 
 
 def merge_small(parts: Column, size: Callable[[Column], Column], small: int) -> Column:

@@ -43,17 +43,30 @@ def contextualize(chunks: DataFrame, known: DataFrame | None = None, make: Calla
     return chunks.withColumn("context", F.when(F.col("context") == "", own).otherwise(F.col("context")))
 
 
-def stored_tables(chunks: DataFrame, make: Callable[[], models.Embedder] = models.HashEmbedder) -> tuple[DataFrame, DataFrame]:
-    """Document and chunk tables of contextualized chunks, ready to be appended."""
-    chunks = chunks.filter("chunk_index is not null")
-    keyed = chunks.withColumns({"document_id": schemas.document_key(F.col("source_id")), "id": schemas.chunk_key(F.col("source_id"), F.col("chunk_index"))})
+def keyed(chunks: DataFrame) -> DataFrame:
+    """Chunks that have a place, with the keys of their document and their own."""
+    placed = chunks.filter("chunk_index is not null")
+    return placed.withColumns({"document_id": schemas.document_key(F.col("source_id")), "id": schemas.chunk_key(F.col("source_id"), F.col("chunk_index"))})
+
+
+def chunk_rows(rows: DataFrame, make: Callable[[], models.Embedder] = models.HashEmbedder) -> DataFrame:
+    """Rows of the chunk table, with their vectors, of keyed chunks."""
     text = X.embed_text(F.col("content"), F.col("oversized"), F.col("title"), F.col("heading_path"), F.col("context"))
-    embedded = models.embed(keyed.withColumn("embed_text", text), "embed_text", make)
-    stored = embedded.select("id", "document_id", "chunk_index", "content", "embed_text", "embedding", "heading_path", "chunk_type", "token_count", F.to_json(F.struct("oversized")).alias("metadata"))
+    embedded = models.embed(rows.withColumn("embed_text", text), "embed_text", make)
+    return embedded.select("id", "document_id", "chunk_index", "content", "embed_text", "embedding", "heading_path", "chunk_type", "token_count", F.to_json(F.struct("oversized")).alias("metadata"))
+
+
+def document_meta(chunks: DataFrame) -> DataFrame:
+    """(source_id, and what chunks say of their document)."""
     meta = [c for c in ("title", "source_url", "acl", "source_type", "content_category", "last_modified", "authority_tier") if c in chunks.columns]
-    firsts = chunks.groupBy("source_id").agg(*[F.first(c).alias(c) for c in meta])
-    docs = chunking.ordered_text(chunks, ["source_id"], "chunk_index", "content").join(firsts, "source_id")
-    return schemas.with_defaults(docs).withColumn("id", schemas.document_key(F.col("source_id"))), stored
+    return chunks.groupBy("source_id").agg(*[F.first(c).alias(c) for c in meta])
+
+
+def stored_tables(chunks: DataFrame, make: Callable[[], models.Embedder] = models.HashEmbedder) -> tuple[DataFrame, DataFrame]:
+    """Document and chunk tables of contextualized chunks, ready to be appended."""
+    placed = keyed(chunks)
+    docs = chunking.ordered_text(placed, ["source_id"], "chunk_index", "content").join(document_meta(placed), "source_id")
+    return schemas.with_defaults(docs).withColumn("id", schemas.document_key(F.col("source_id"))), chunk_rows(placed, make)
 
 
 def store_new(chunks: DataFrame, stored_documents: DataFrame | None, documents_path: str, chunks_path: str, stored_chunks: DataFrame | None = None) -> None:

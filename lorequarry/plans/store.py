@@ -11,10 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import maintenance, models
-from .ingest import stored_tables
+from ..operators import chunking, maintenance, models
+from ..storage import discard, materialize
+from . import ingest
+
+#: Up to so many document keys go to every task.
+BROADCAST_IDS = 500_000
 
 
 class ChunkStore:
@@ -40,19 +45,37 @@ class ChunkStore:
         return self.all_chunks().join(docs.hint("merge"), "document_id")
 
     def add(self, chunks: DataFrame, make: Callable[[], models.Embedder] = models.HashEmbedder) -> None:
-        """Stores the contextualized chunks of documents that aren't stored yet."""
-        docs, rows = stored_tables(chunks, make)
-        new = maintenance.not_yet(docs, self.documents(), ["source_id"])
-        rows = rows.join(new.select(new["id"].alias("document_id")), "document_id", "left_semi")
-        self.append("chunks", "document_id", maintenance.not_yet(rows, self.all_chunks(), ["id"]))
-        self.append("documents", "id", new)
+        """Stores the contextualized chunks of documents that aren't stored yet.
+
+        Only keys are compared. The texts of what is new are dealt to their buckets once; vectors are made there, in the
+        order of the files, and documents are put together from their stored chunks, within buckets.
+        """
+        rows = ingest.keyed(chunks)
+        new = materialize(rows.select("document_id").distinct().join(self.documents().select(F.col("id").alias("document_id")), "document_id", "left_anti"), "new-documents")
+        n = new.count()
+        if n:
+            wanted = F.broadcast(new) if n <= BROADCAST_IDS else new
+            rows = rows.join(wanted, "document_id", "left_semi")
+            # what a run that died has left: chunks without their document
+            known = self.documents().select(F.col("id").alias("document_id"))
+            left = materialize(self.all_chunks().select("document_id", "id").join(known, "document_id", "left_anti"), "left-chunks")
+            missing = rows if left.isEmpty() else maintenance.not_yet(rows, left, ["document_id", "id"])
+            self.append("chunks", "document_id", ingest.chunk_rows(self.dealt(missing, "document_id", "chunk_index"), make))
+            texts = self.all_chunks().join(wanted, "document_id", "left_semi").groupBy("document_id").agg(chunking.joined("chunk_index", "content").alias("raw_content"))
+            docs = ingest.document_meta(rows).withColumn("document_id", schemas.document_key(F.col("source_id"))).join(texts, "document_id")
+            self.append("documents", "id", self.dealt(schemas.with_defaults(docs).withColumnRenamed("document_id", "id"), "id"))
+            discard(left)
+        discard(new)
+
+    def dealt(self, rows: DataFrame, key: str, *order: str) -> DataFrame:
+        """Rows in their buckets, in the order of the tables' files, so that writing needs no sort of its own."""
+        return rows.repartition(self.buckets, key).sortWithinPartitions(F.pmod(F.hash(key), F.lit(self.buckets)), key, *order)
 
     def append(self, name: str, key: str, rows: DataFrame) -> None:
-        """Appends rows to a table, null where they lack a column; a task writes one bucket."""
+        """Appends dealt rows to a table, null where they lack a column; a task writes one bucket."""
         table = self.spark.table(self.names[name])
         have = set(rows.columns)
-        filled = rows.selectExpr(*(c if c in have else f"CAST(NULL AS {t}) AS {c}" for c, t in table.dtypes))
-        filled.repartition(self.buckets, key).write.insertInto(self.names[name])
+        rows.selectExpr(*(c if c in have else f"CAST(NULL AS {t}) AS {c}" for c, t in table.dtypes)).write.insertInto(self.names[name])
 
     def drop(self) -> None:
         """Forgets the tables; their files stay."""

@@ -729,8 +729,8 @@ FROM c JOIN documents USING (doc_id) JOIN (SELECT doc_id, string_agg(content, ch
 """)
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of all documents added to a bucketed store twice, and summed by document without a shuffle."""
-    d = read(spark, sf_dir, "documents")
-    parts = chunking.paragraphs(d, "doc_id", "text").join(d.select("doc_id", F.col("source").alias("title")), "doc_id")
+    d = read(spark, sf_dir, "documents").filter("doc_id is not null").withColumnRenamed("source", "title")
+    parts = chunking.paragraphs(d, "doc_id", "text", "title")
     chunks = parts.select(
         F.col("doc_id").cast("string").alias("source_id"), "chunk_index", "content", "title", X.count_tokens(F.col("content")).alias("token_count"), F.lit("text").alias("chunk_type"),
         F.array("title").alias("heading_path"), F.lit(False).alias("oversized"), F.lit("").alias("context"),
@@ -738,8 +738,9 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = store.ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets=16)
     for _ in range(2):
         kept.add(chunks)
-    joined = kept.joined().groupBy("document_id").agg(F.first("source_id").alias("source_id"), F.first("title").alias("title"), F.first("raw_content").alias("raw"), chunking.joined("chunk_index", "content").alias("again"), F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
-    return joined.select("source_id", "title", (F.col("raw") == F.col("again")).alias("whole"), "n_chunks", "n_tokens")
+    # chunks are summed before the join, so that no chunk carries its document's text
+    sums = kept.all_chunks().groupBy(F.col("document_id").alias("id")).agg(chunking.joined("chunk_index", "content").alias("again"), F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
+    return kept.documents().hint("merge").join(sums, "id").select("source_id", "title", (F.col("raw_content") == F.col("again")).alias("whole"), "n_chunks", "n_tokens")
 
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, content FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE content <> ''")

@@ -89,3 +89,20 @@ def test_counts_of_categories_and_headings(spark):
     metas = spark.createDataFrame([("p", 3), ("p", 0), (None, 2)], "content_category string, heading_count int")
     assert {r.content_category: r.n for r in enrich.category_counts(metas).collect()} == {"p": 2, None: 1}
     assert enrich.heading_stats(metas).first().asDict() == {"articles": 3, "with_headings": 2, "mean_headings": 2.5}
+
+
+def test_vectors_are_made_in_their_buckets(spark, store, monkeypatch):
+    """Nothing is shuffled or sorted once chunks have vectors, and where no document is new nothing is written."""
+    real, plans = ChunkStore.append, {}
+
+    def watched(self, name, key, rows):
+        plans.setdefault(name, []).append(rows._jdf.queryExecution().executedPlan().toString())
+        real(self, name, key, rows)
+
+    monkeypatch.setattr(ChunkStore, "append", watched)
+    store.add(chunks(spark, range(10)))
+    store.add(chunks(spark, range(10)))
+    assert {name: len(p) for name, p in plans.items()} == {"chunks": 1, "documents": 1}
+    above = plans["chunks"][0].split("ArrowEvalPython")[0]
+    assert "Exchange" not in above and "Join" not in above and "Sort" not in above
+    assert store.chunks().count() == 30
