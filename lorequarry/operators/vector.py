@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 #: Up to so many query vectors of so many bytes go to every task as one matrix (8192 x 1024 floats are 32 MB).
 MATRIX_QUERIES, MATRIX_BYTES = 8192, 64 << 20
-#: Bytes of query blocks, and of what is found for them, that a task holds while corpus blocks come.
+#: Bytes of blocks of one side that a task holds, about.
 HELD_BYTES = 64 << 20
 #: Rows of a block where queries and corpus meet block by block.
 BLOCK = 2048
-#: Pairs of blocks that a task scores, about.
-BLOCK_PAIRS = 16
+#: Pairs of blocks that a task scores at once, about.
+BLOCK_PAIRS = 64
 #: Scores that a task holds at once.
-CELLS = 1 << 22
+CELLS = 1 << 21
 #: Scores are rounded to this many decimals, so that engines agree on ties.
 DIGITS = 6
 
@@ -54,6 +54,9 @@ def units(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+
 class Best:
     """The k corpus rows of highest score for each query of a matrix, over any number of corpus matrices; ties go to the smaller id."""
 
@@ -66,19 +69,20 @@ class Best:
 
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
         step = max(64, CELLS // max(1, len(self.q_ids)))
+        slack = 2 * 10.0**-DIGITS  # of what rounding may lift to a bound
         for at in range(0, len(ids) if len(self.q_ids) else 0, step):
             some = ids[at : at + step]
-            scores = np.round(self.q @ x[at : at + step].T, DIGITS) + 0.0
+            scores = self.q @ x[at : at + step].T
             if self.skip_self:
                 own = np.flatnonzero(np.isin(some, self.q_ids))
                 scores[:, own] = np.where(self.q_ids[:, None] == some[own], -np.inf, scores[:, own])
             bound = self.bound
-            if len(some) > self.k:
+            if len(some) > self.k and np.isneginf(bound).any():
                 bound = np.maximum(bound, np.partition(scores, len(some) - self.k, axis=1)[:, len(some) - self.k])
-            rows, columns = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
-            self.waiting.append((rows, some[columns], scores[rows, columns]))
+            rows, columns = np.nonzero(scores >= np.maximum(bound - slack, -2)[:, None])
+            self.waiting.append((rows, some[columns], np.round(scores[rows, columns], DIGITS) + 0.0))
             self.n_waiting += len(rows)
-            if self.n_waiting > CELLS:
+            if self.n_waiting >= self.k * len(self.q_ids):
                 self.settle()
 
     def settle(self) -> None:
@@ -123,10 +127,24 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool = False)
         found = corpus.mapInArrow(local, "query_id long, id long, score double")
     else:
         found = _blockwise(queries, corpus, k, skip_self)
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def knn_within(queries: DataFrame, corpus: DataFrame, key: str, k: int, skip_self: bool = False) -> DataFrame:
+    """As knn, but a query meets the corpus rows of equal key only; of a query with several keys the k best over all of them.
+
+    queries is (query_id, key, embedding) and corpus (id, key, embedding); rows without a key take no part.
+    """
+    asked = queries.select(F.col("query_id").cast("long"), "embedding", F.col(key).alias("key")).dropna()
+    rows = corpus.select(F.col("id").cast("long"), "embedding", F.col(key).alias("key")).dropna()
+    return _ranked(_blockwise(asked, rows, k, skip_self), k)
+
+
 def grid(rows: int, columns: int, cells: int) -> tuple[int, int]:
     """Into how many lanes rows and columns of blocks are dealt, so that a pair of lanes is about `cells` block pairs and least is copied.
 
@@ -139,54 +157,67 @@ def grid(rows: int, columns: int, cells: int) -> tuple[int, int]:
 
 
 def _blocks(df: DataFrame, id_column: str) -> DataFrame:
-    """(width, ids, matrix): the unit vectors of each partition in blocks of up to BLOCK rows of one width."""
+    """(key, width, ids, matrix): the unit vectors of each partition in blocks of up to BLOCK rows of one key and width."""
+    kind = df.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        current = None
 
         def block(width: int) -> pa.RecordBatch:
             ids, x = (np.concatenate(c) for c in zip(*held.pop(width)))
-            return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["width", "ids", "matrix"])
+            return pa.RecordBatch.from_arrays([current, pa.array([width], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["key", "width", "ids", "matrix"])
 
         for batch in batches:
-            for width, (at, x) in units(batch.column(1)).items():
-                ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-                for i in range(0, len(ids), BLOCK):
-                    held.setdefault(width, []).append((ids[i : i + BLOCK], x[i : i + BLOCK]))
-                    if sum(len(v) for v, _ in held[width]) >= BLOCK:
+            start = 0
+            for end in pc.run_end_encode(batch.column(2)).run_ends.to_pylist():
+                own = batch.slice(start, end - start)
+                start = end
+                if current is not None and current[0] != own.column(2)[0]:  # keys come in order
+                    for width in list(held):
                         yield block(width)
+                current = own.column(2).slice(0, 1)
+                for width, (at, x) in units(own.column(1)).items():
+                    ids = own.column(0).to_numpy(zero_copy_only=False)[at]
+                    for i in range(0, len(ids), BLOCK):
+                        held.setdefault(width, []).append((ids[i : i + BLOCK], x[i : i + BLOCK]))
+                        if sum(len(v) for v, _ in held[width]) >= BLOCK:
+                            yield block(width)
         for width in list(held):
             yield block(width)
 
     # in a fixed order, so that a lost task makes the same blocks again
-    return df.sortWithinPartitions(id_column, "embedding").mapInArrow(run, "width int, ids binary, matrix binary")
+    return df.select(id_column, "embedding", "key").sortWithinPartitions("key", id_column, "embedding").mapInArrow(run, f"key {kind.simpleString()}, width int, ids binary, matrix binary")
 
 
 def _blockwise(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    n_q, n_x = (df.count() // BLOCK + df.rdd.getNumPartitions() for df in (queries, corpus))
-    q_lanes, x_lanes = grid(n_q, n_x, BLOCK_PAIRS)
+    """(query_id, id, score): at least the k best of each query, from every pair of lanes of its key's and width's blocks.
+
+    A task has one pair of lanes at a time, each block once, whatever the size of the tables. Rows without a key column are of one key.
+    """
+    keyed = [df if "key" in df.columns else df.withColumn("key", F.lit(0)) for df in (queries, corpus)]
+    counts = [df.groupBy("key").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).agg(F.max("n").alias("n"), F.max("width").alias("width")).first() for df in keyed]
+    n_q, n_x = ((c.n or 0) // BLOCK + df.rdd.getNumPartitions() for c, df in zip(counts, keyed))
+    block_bytes = 8 * BLOCK * max(1, *(c.width or 0 for c in counts))
+    q_lanes, x_lanes = grid(n_q, n_x, max(1, min(BLOCK_PAIRS, HELD_BYTES // block_bytes)))
     lane = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = _blocks(queries, "query_id").select("width", F.col("ids").alias("q_ids"), F.col("matrix").alias("q"), lane(q_lanes).alias("i"), every(x_lanes).alias("j"))
-    rows = _blocks(corpus, "id").select("width", "ids", "matrix", lane(x_lanes).alias("j"), every(q_lanes).alias("i"))
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the best of each query block over all the corpus blocks that it meets in the task
-        held: dict[tuple[int, bytes], Best] = {}
-        size = 0
-        for batch in batches:
-            for width, q_ids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns)):
-                best = held.get((width, q_ids))
-                if best is None:
-                    if size > HELD_BYTES:
-                        yield from (b.rows() for b in held.values())
-                        held, size = {}, 0
-                    best = held[width, q_ids] = Best(np.frombuffer(q_ids, np.int64), np.frombuffer(q).reshape(-1, width), k, skip_self)
-                    size += len(q) + 24 * k * len(best.q_ids)
-                best.meet(np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, width))
-        yield from (b.rows() for b in held.values())
-
-    return asked.hint("merge").join(rows, ["width", "i", "j"]).select("width", "q_ids", "q", "ids", "matrix").mapInArrow(local, "query_id long, id long, score double")
+    asked = _blocks(keyed[0], "query_id").select("*", lane(q_lanes).alias("i"), every(x_lanes).alias("j"))
+    rows = _blocks(keyed[1], "id").select("*", lane(x_lanes).alias("j"), every(q_lanes).alias("i"))
+
+    def local(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [pa.RecordBatch.from_pylist([], FOUND)]
+        blocks = [(np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(x.as_buffer()).reshape(len(ids.as_buffer()) // 8, -1)) for ids, x in zip(rows["ids"], rows["matrix"])]
+        for q_ids, q in zip(asked["ids"], asked["matrix"]) if blocks else ():
+            q_ids = np.frombuffer(q_ids.as_buffer(), np.int64)
+            best = Best(q_ids, np.frombuffer(q.as_buffer()).reshape(len(q_ids), -1), k, skip_self)
+            for ids, x in blocks:
+                best.meet(ids, x)
+            out.append(best.rows())
+        return pa.Table.from_batches(out, FOUND)
+
+    pairs = [df.groupBy("key", "width", "i", "j") for df in (asked, rows)]
+    return pairs[0].cogroup(pairs[1]).applyInArrow(local, "query_id long, id long, score double")
 
 
 def drift(vectors: DataFrame, group: str) -> DataFrame:
