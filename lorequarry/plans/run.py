@@ -76,9 +76,8 @@ def staged(queries: DataFrame, corpus: DataFrame, group: str, groups: int, k: in
     means = wide.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centroids = means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
     near = vector.knn(queries, centroids.select(F.col(group).cast("long").alias("id"), "embedding"), groups).select("query_id", F.col("id").alias("_group"))
-    pairs = near.join(queries, "query_id").join(corpus.select("id", F.col(group).cast("long").alias("_group"), F.col("embedding").alias("_v")), "_group")
-    scored = pairs.filter("query_id <> id").select("query_id", "id", F.round(vector.cosine(F.col("embedding"), F.col("_v")), vector.DIGITS).alias("score"))
-    return lexical.top_k(scored, k)
+    asked = near.join(queries, "query_id").select("query_id", "_group", "embedding")
+    return vector.knn_within(asked, corpus.select("id", F.col(group).cast("long").alias("_group"), "embedding"), "_group", k, skip_self=True)
 
 
 def lexical_then_vector(lexical_hits: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
