@@ -227,9 +227,12 @@ def drift(vectors: DataFrame, group: str) -> DataFrame:
 
 
 def guardrail(answers: DataFrame, chunks: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Each answer's best cosine with its own retrieved chunks, and whether it is grounded."""
-    scored = answers.join(chunks, key).select("answer_id", F.round(cosine(F.col("answer_vec"), F.col("chunk_vec")), DIGITS).alias("cos"))
-    return scored.groupBy("answer_id").agg(F.max("cos").alias("best")).withColumn("grounded", F.col("best") >= threshold)
+    """Each answer's best cosine with its own retrieved chunks, and whether it is grounded; null where no chunk of its key can be compared."""
+    numbered = chunks.select(key, F.monotonically_increasing_id().alias("id"), F.col("chunk_vec").alias("embedding"))
+    found = knn_within(answers.select(F.col("answer_id").alias("query_id"), key, F.col("answer_vec").alias("embedding")), numbered, key, 1)
+    best = found.groupBy(F.col("query_id").alias("answer_id")).agg(F.max("score").alias("best"))
+    met = answers.join(chunks.select(key).distinct(), key, "left_semi").select("answer_id").distinct()
+    return met.join(best, "answer_id", "left").select("answer_id", "best").withColumn("grounded", F.col("best") >= threshold)
 
 
 def probe_drift(before: DataFrame, now: DataFrame, key: str, limit: float = 0.99) -> DataFrame:
