@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 WORD = re.compile(r"[a-z0-9]+")
+ASCII_WORD = re.compile(rb"[a-z0-9]+")
 EMBED_BATCH = 32
 
 
@@ -63,9 +65,11 @@ class HashEmbedder:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in zip(out, texts):
-            words = WORD.findall(text.lower())
-            pairs = map(" ".join, zip(words, words[1:]))
-            h = np.array([zlib.crc32(w.encode()) for w in (*words, *pairs)], np.uint32)
+            words = ASCII_WORD.findall(text.lower().encode())
+            single = list(map(zlib.crc32, words))
+            # a pair's checksum goes on from its first word's over the blank and the second word
+            pairs = map(zlib.crc32, words[1:], map(zlib.crc32, repeat(b" "), single))
+            h = np.array([*single, *pairs], np.uint32)
             row[:] = np.bincount(h % self.dim, np.where(h >> 31, 1.0, -1.0), self.dim)
             n = np.linalg.norm(row)
             if n:
@@ -104,15 +108,23 @@ def vocabulary_counter(path: str) -> Callable[[str], int]:
     return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def vectors_array(vectors: np.ndarray) -> pa.ListArray:
+    """A matrix's rows as a list column, without an object for each number."""
+    n, width = vectors.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width, pa.int32()), pa.array(vectors.reshape(-1)))
+
+
 def embed(df: DataFrame, text: str, make: Callable[[], Embedder] = HashEmbedder, name: str = "embedding", batch: int = EMBED_BATCH) -> DataFrame:
     """df with the vectors of a text column; each task builds the model once."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for values in batches:
-            texts = [x.as_py() or "" for x in values]
-            vectors = [v.tolist() for at in range(0, len(texts), batch) for v in model.encode(texts[at : at + batch])]
-            yield pa.array(vectors, pa.list_(pa.float32()))
+            parts = [pa.array([], pa.list_(pa.float32()))]
+            for at in range(0, len(values), batch):
+                texts = [x or "" for x in values.slice(at, batch).to_pylist()]
+                parts.append(vectors_array(np.asarray(model.encode(texts), np.float32)))
+            yield pa.concat_arrays(parts)
 
     return df.withColumn(name, F.arrow_udf(run, "array<float>")(F.col(text)))
 
