@@ -98,8 +98,8 @@ def lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)])))
 
 
-def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, n_words, node, size, fp, bands): a long for the set of shingles, its size, fingerprint and band keys."""
+def sketches(docs: DataFrame, shingle_words: int, with_fingerprints: bool = True) -> DataFrame:
+    """(doc_id, n_words, node, size, fp, bands): a long for the set of shingles, its size, fingerprint (null where none is wanted) and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = multipliers()
@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
                 words = words_of(x.as_py())
                 n_words.append(len(words))
                 sets.append(shingles(words, shingle_words))
-            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(fingerprint, sets), pa.int64()), lists([bands(s, mix) for s in sets])]
+            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(fingerprint, sets) if with_fingerprints else [None] * len(sets), pa.int64()), lists([bands(s, mix) for s in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "node", "size", "fp", "bands"])
         release_memory()
 
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similar
 
     propose, if given, links fingerprints (fp) as pairs (a, b), whose sets are compared before those that share a bucket.
     """
-    seen = materialize(sketches(docs, shingle_words), "sketches")
+    seen = materialize(sketches(docs, shingle_words, propose is not None), "sketches")
     groups = materialize(seen.groupBy("node").agg(F.min(F.struct("doc_id", "size", "fp", "bands")).alias("m")).select("node", F.col("m.doc_id").alias("first"), "m.size", "m.fp", "m.bands"), "sketch-groups")
     buckets = materialize(shared_buckets(groups), "sketch-buckets")
     firsts = groups.select("node", "first")

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 
+from lorequarry.llm import near_text
 from lorequarry.operators import models
 
 
@@ -16,3 +17,10 @@ def test_vectors_become_a_column_without_objects():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 16 << 20 and np.array_equal(np.array(column[77].as_py(), np.float32), x[77])
+
+
+def test_fingerprints_only_where_proposed(spark):
+    """op10_packing: near copies without proposals need no fingerprints."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
+    assert [r.fp for r in near_text.sketches(docs, 5, False).collect()] == [None] * 3
+    assert {(r.doc_id, r.component_id) for r in near_text.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
