@@ -26,14 +26,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.words import spans, word_edges
 from .common import connected_components, discard, materialize, release_memory
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 4
 SEED = 42
-CHUNK = 512
+CHUNK = 256
 BITS_CHUNK = 1 << 14
+#: Words of more bytes than this are hashed by themselves.
+LONG_WORD = 64
+TIMES = np.uint64(0x9E3779B97F4A7C15)
+#: The first n of eight bytes.
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 ROUNDS = 2
 #: Members that meet their leader under one key of the join.
 MEMBERS = 1000
@@ -48,17 +57,63 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(words: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, in rising order; fewer words are one shingle."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    k = min(shingle_words, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):  # a hash of the sequence: order counts
-        out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words (as words_of has them) of large strings, and each text's number of words.
+
+    Words are read eight bytes at a time, all of them at once; only long ones are hashed one by one.
+    """
+    data, _, begins, closes, counts = word_edges(text, ~SPACE)
+    data = np.concatenate((LOWER[data], np.zeros(8, np.uint8)))
+    at_any = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    sizes = closes - begins
+    out = sizes.astype(np.uint64) * TIMES
+    for done in range(0, LONG_WORD, 8):
+        left = np.flatnonzero(sizes > done) if done else slice(None)
+        rest = np.minimum(sizes[left] - done, 8)
+        if not len(rest):
+            break
+        some = (out[left] ^ (at_any[begins[left] + done] & KEEP[rest])) * TIMES
+        out[left] = some ^ (some >> np.uint64(29))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[begins[i] : closes[i]])
+    out *= TIMES
+    return out ^ (out >> np.uint64(32)), counts
+
+
+def in_sequence(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k neighbours of h: order counts."""
+    n = max(len(h) - k + 1, 0)
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out ^= h[i : n + i]
+        out *= TIMES
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values in rising order, each once."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+def all_shingles(text: pa.Array, shingle_words: int = SHINGLE_WORDS) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each text its number of words, and the distinct hashes of its word shingles in rising order; fewer words are one shingle."""
+    for some in spans(text):
+        h, counts = word_hashes(some)
+        runs = in_sequence(h, shingle_words)
+        low = 0
+        for n in counts.tolist():
+            if n >= shingle_words:
+                yield n, distinct(runs[low : low + n - shingle_words + 1])
+            else:
+                yield n, in_sequence(h[low : low + n], n) if n else np.zeros(0, np.uint64)
+            low += n
+
+
+def shingles(words: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The shingles of a text of these words, as all_shingles has them."""
+    return next(all_shingles(pa.array([b" ".join(words)]).cast(pa.large_binary()).view(pa.large_string()), shingle_words))[1]
 
 
 def set_id(found: np.ndarray) -> int:
@@ -78,18 +133,22 @@ def fingerprint(found: np.ndarray) -> int:
 def multipliers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     r = np.random.default_rng(SEED)
     draw = lambda *shape: r.integers(0, 1 << 64, shape, np.uint64)
-    return draw(BANDS * ROWS, 1), draw(BANDS * ROWS, 1) | np.uint64(1), draw(BANDS, ROWS) | np.uint64(1)
+    high = lambda x: (x >> np.uint64(32)).astype(np.uint32)
+    return high(draw(BANDS * ROWS, 1)), high(draw(BANDS * ROWS, 1)) | np.uint32(1), draw(BANDS, ROWS) | np.uint64(1)
 
 
 def bands(found: np.ndarray, mix: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """One key for each band of minima; none of an empty set."""
+    """One key for each band of minima, over the upper halves of the hashes; none of an empty set."""
     if not len(found):
         return np.zeros(0, np.int64)
     flip, times, fold = mix
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    found = (found >> np.uint64(32)).astype(np.uint32)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(found), CHUNK):
-        np.minimum(low, ((found[None, at : at + CHUNK] ^ flip) * times).min(1), out=low)
-    return ((low.reshape(BANDS, ROWS) >> np.uint64(1)) * fold).sum(1, dtype=np.uint64).view(np.int64)
+        some = found[None, at : at + CHUNK] ^ flip
+        some *= times
+        np.minimum(low, some.min(1), out=low)
+    return (low.reshape(BANDS, ROWS).astype(np.uint64) * fold).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -104,11 +163,8 @@ def sketches(docs: DataFrame, shingle_words: int, with_fingerprints: bool = True
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = multipliers()
         for batch in batches:
-            n_words, sets = [], []
-            for x in batch.column(1):
-                words = words_of(x.as_py())
-                n_words.append(len(words))
-                sets.append(shingles(words, shingle_words))
+            found = list(all_shingles(batch.column(1), shingle_words))
+            n_words, sets = [n for n, _ in found], [s for _, s in found]
             columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(fingerprint, sets) if with_fingerprints else [None] * len(sets), pa.int64()), lists([bands(s, mix) for s in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "node", "size", "fp", "bands"])
         release_memory()
@@ -122,7 +178,7 @@ def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(node, s) for node, x in zip(batch.column(0).to_pylist(), batch.column(1)) if set_id(s := shingles(words_of(x.as_py()), shingle_words)) == node]
+            got = [(node, s) for node, (_, s) in zip(batch.column(0).to_pylist(), all_shingles(batch.column(1), shingle_words)) if set_id(s) == node]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), lists([s for _, s in got])], ["node", "tokens"])
         release_memory()
 
