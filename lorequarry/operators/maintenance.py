@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 SECRET = r"AKIA[0-9A-Z]{16}|(?i:password|passwd|token|secret|api_key)\s*[=:]\s*\S{6,}"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 INTERNAL_URL = r"https?://(?:localhost|[A-Za-z0-9.-]+\.(?:internal|local|corp))(?:[:/]\S*)?"
@@ -119,6 +121,8 @@ def explicit_links(docs: DataFrame, key: str, links: str) -> DataFrame:
 
 #: Titles with a word among their rarest that a task compares with as many others.
 TITLES_AT_ONCE = 2_000
+#: Ids of equal titles in a block, about; a task makes and holds the pairs of two blocks at once.
+BLOCK_IDS = 128
 
 
 def title_words(title: Column) -> Column:
@@ -169,13 +173,25 @@ def class_links(classes: DataFrame, threshold: float = 0.5) -> DataFrame:
 def title_links(docs: DataFrame, key: str, title: str, threshold: float = 0.5) -> DataFrame:
     """(a, b, similarity): documents whose titles' word sets have a Jaccard similarity of threshold or more, a < b.
 
-    All pairs of documents, those of equal titles too; `title_classes` and `class_links` say the same by classes,
-    which stays small where many titles are equal.
+    All pairs of documents, those of equal titles too, so its rows grow with the square of the titles that are equal;
+    `title_classes` and `class_links` say the same by classes, which stays small. Here a class is named by its words. Its
+    ids are cut into blocks, and a pair of blocks, which makes about BLOCK_IDS squared rows at most, is what is dealt out:
+    tasks get like shares of the pairs, and only blocks are shuffled.
     """
-    members = title_classes(docs, key, title)
-    links = class_links(members, threshold)
-    a, b = (members.select(F.col("class_id").alias(c), F.col("id").alias(i)) for c, i in (("a", "ia"), ("b", "ib")))
-    other = links.join(a, "a").join(b, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
-    x, y = (members.select("class_id", F.col("id").alias(i)) for i in ("a", "b"))
-    equal = x.join(y, "class_id").filter("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    return other.unionByName(equal)
+    titles = docs.select(F.col(key).alias("id"), title_words(F.col(title)).alias("words")).filter("id is not null and size(words) > 0")
+    named = materialize(titles.select("id", F.array_join("words", " ").alias("name")), "title-names")
+    sizes = materialize(named.groupBy("name").agg(F.ceil(F.count("*") / BLOCK_IDS).cast("int").alias("parts")), "title-sizes")
+    blocks = named.join(sizes, "name").groupBy("name", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")).agg(F.collect_list("id").alias("ids"))
+    links = class_links(sizes.select(F.col("name").alias("class_id"), F.split("name", " ").alias("words")), threshold)
+    links = links.unionByName(sizes.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("similarity")))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    for end, part in (("a", "i"), ("b", "j")):
+        links = links.join(sizes.withColumnRenamed("name", end), end).withColumn(part, every).drop("parts")
+    cells = links.filter("a <> b or i <= j").repartition("a", "i")
+    cells = cells.join(blocks.select(F.col("name").alias("a"), F.col("part").alias("i"), F.col("ids").alias("ids_a")), ["a", "i"])
+    # a number that is given stays: by their bytes, which are few beside the pairs they make, cells would come to too few tasks
+    cells = cells.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b", "j")
+    cells = cells.join(blocks.select(F.col("name").alias("b"), F.col("part").alias("j"), F.col("ids").alias("ids_b")), ["b", "j"])
+    pairs = cells.select(F.expr("a = b and i = j").alias("itself"), "similarity", "ids_b", F.explode("ids_a").alias("x"))
+    pairs = pairs.select("itself", "similarity", "x", F.explode("ids_b").alias("y")).filter("x <> y and (x < y or not itself)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")

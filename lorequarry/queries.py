@@ -912,7 +912,7 @@ WITH w AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split_regex(
 SELECT a, b, round(s / u, 6) AS similarity FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.ws, y.ws)) AS s, len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)) AS u FROM w x JOIN w y ON x.id < y.id) WHERE s > 0 AND s / u >= 0.6
 """)
 def title_similarity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("title"))
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("title"))
     return maintenance.title_links(parts, "p_partkey", "title", 0.6)
 
 
